@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat
+from loomgraph.llm import chat, quality
 
 QUERIES = {
+    "op4_quality_rules": quality.op4_quality_rules,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
