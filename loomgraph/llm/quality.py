@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.storage import cut
+
 BLANK = "[\\x20\\x09-\\x0D]+"
 SYMBOL = "[#*$%&|<>]"
-CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "blank": "[\\x20\\x09-\\x0D]", "symbol": SYMBOL, "mark": "[!-/:-@\\[-`{-~&&[^#*$%&|<>]]"}
+CLASSES = {"upper": "[A-Z]", "digit": "[0-9]"}
 
 
 @dataclass(frozen=True)
@@ -49,10 +51,13 @@ def let(value: Column, body) -> Column:
 def window_hashes(w: Column, size: int = 8) -> Column:
     """64-bit hashes of all windows of ``size`` words; null where there are none or one."""
 
-    def windows(hashed: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashed) - (size - 1)), lambda i: F.xxhash64(F.slice(hashed, i, size)))
+    def doubled(step: int):
+        return lambda a: F.zip_with(a, F.slice(a, F.lit(step + 1), F.size(a)), lambda x, y: F.xxhash64(x, y))
 
-    return F.when(F.size(w) > size, let(F.transform(w, lambda x: F.xxhash64(x)), windows))
+    h, step = w, 1
+    while step < size:  # hashes of 2, 4 and at last ``size`` words, a power of two, from each position on
+        h, step = let(h, doubled(step)), 2 * step
+    return F.when(F.size(w) > size, F.slice(h, F.lit(1), F.size(w) - (size - 1)))
 
 
 def covered(h: Column) -> Column:
@@ -89,29 +94,34 @@ def with_base(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def class_counts(text: Column) -> list[Column]:
-    """Characters in each class; the last is all others."""
-    some = [F.regexp_count(text, F.lit(p)).cast("bigint") for p in CLASSES.values()]
-    rest = F.char_length(text).cast("bigint")
-    for c in some:
-        rest = rest - c
-    return [*some, rest]
+    """Characters of ``text`` in each of CLASSES."""
+    return [F.regexp_count(text, F.lit(p)).cast("bigint") for p in CLASSES.values()]
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(_lang, _chars, _common, _shares): shares of each character class, the most common words and their shares, by language."""
-    src = docs.select(F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("text", F.lit("")).alias("text"))
-    names = [*CLASSES, "rest"]
-    sums = src.select("_lang", *[c.alias(k) for k, c in zip(names, class_counts(F.col("text")))]).groupBy("_lang").agg(*[F.sum(k).alias(k) for k in names])
-    total = sum((F.col(k) for k in names), F.lit(0))
-    chars = sums.select("_lang", F.array(*[(F.col(k) / F.greatest(total, F.lit(1))).cast("double") for k in names]).alias("_chars"))
-    counts = src.select("_lang", F.explode(words(F.col("text"))).alias("word")).groupBy("_lang", "word").count()
-    sizes = counts.groupBy("_lang").agg(F.sum("count").alias("_n"))
+    """(_lang, _chars, _common, _shares): shares of each class among word characters, the most common words and their shares, by language.
+
+    One pass counts words; all else follows from the counts. Ranks are taken behind
+    Spark's partial group limit, so no task sees more than n_common rows a language
+    from each task before it.
+    """
+    src = docs.select(F.coalesce("lang", F.lit("")).alias("_lang"), F.explode(words(F.coalesce("text", F.lit("")))).alias("word"))
+    counts = cut(src.groupBy("_lang", "word").count(), "words")
+    names = [*CLASSES, "symbol"]
+    each = [*class_counts(F.col("word")), F.regexp_count("word", F.lit(SYMBOL)).cast("bigint")]
+    sums = counts.groupBy("_lang").agg(F.sum("count").alias("_n"), F.sum(F.col("count") * F.char_length("word")).alias("_all"), *[F.sum(F.col("count") * c).alias(k) for k, c in zip(names, each)])
+    shares = [(F.col(k) / F.greatest("_all", F.lit(1))).cast("double") for k in names]
     best = counts.withColumn("k", F.row_number().over(W.partitionBy("_lang").orderBy(F.desc("count"), "word"))).filter(F.col("k") <= rules.n_common)
     best = best.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "count"))).alias("b"))
-    return best.join(sizes, "_lang").join(chars, "_lang").filter(F.col("_n") >= rules.min_reference).select(
+    return best.join(sums.select("_lang", "_n", with_rest(F.array(*shares)).alias("_chars")), "_lang").filter(F.col("_n") >= rules.min_reference).select(
         "_lang", "_chars", F.transform("b", lambda x: x["word"]).alias("_common"), F.transform("b", lambda x: (x["count"] / F.col("_n")).cast("double")).alias("_shares"))
 
 
+def with_rest(shares: Column) -> Column:
+    """``shares`` and, at the end, what they leave of 1."""
+    return let(shares, lambda a: F.concat(a, F.array(F.greatest(1 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))))
+
+
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of shares, base 2."""
 
@@ -124,8 +134,6 @@ def distance(p: Column, q: Column) -> Column:
 
 def judge(docs: DataFrame, rules: Rules = Rules(), reference: DataFrame | None = None) -> DataFrame:
     """``docs`` with the base counts, char_distance, word_distance (null where not judged) and kept."""
-    from loomgraph.storage import cut
-
     reference = cut(references(docs, rules) if reference is None else reference, "quality")
     if reference.count() <= rules.max_broadcast_rows:
         reference = F.broadcast(reference)
@@ -133,12 +141,11 @@ def judge(docs: DataFrame, rules: Rules = Rules(), reference: DataFrame | None =
     out = with_base(docs, rules).withColumn("_lang", F.coalesce("lang", F.lit(""))).join(reference, "_lang", "left")
     judged = (F.col("n_words") >= rules.min_words) & F.col("_common").isNotNull() & ~F.col("base_failed")
     out = out.withColumn("_hits", F.when(judged, F.filter("_w", lambda x: F.array_contains(F.col("_common"), x))))
-    n_chars = F.greatest(F.char_length(text), F.lit(1))
-    chars = F.when(judged, F.array(*[(c / n_chars).cast("double") for c in class_counts(text)]))
+    n_chars = F.greatest("word_chars", F.lit(1))
+    chars = F.when(judged, with_rest(F.array(*[(c / n_chars).cast("double") for c in [*class_counts(text), F.col("n_symbols")]])))
     seen = F.transform("_common", lambda c: ((F.size("_hits") - F.size(F.array_remove(F.col("_hits"), c))) / F.col("n_words")).cast("double"))
-    out = out.withColumns({"_p": chars, "_s": F.when(judged, seen)})
-    rest = lambda a: F.concat(a, F.array(F.greatest(1 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))))
-    out = out.withColumns({"char_distance": distance(F.col("_p"), F.col("_chars")), "word_distance": distance(rest(F.col("_s")), rest(F.col("_shares")))})
+    out = out.withColumns({"_p": chars, "_s": F.when(judged, with_rest(seen))})
+    out = out.withColumns({"char_distance": distance(F.col("_p"), F.col("_chars")), "word_distance": distance(F.col("_s"), with_rest(F.col("_shares")))})
     far = (F.col("char_distance") > rules.max_char_distance) | (F.col("word_distance") > rules.max_word_distance)
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     return out.drop("_w", "_lang", "_chars", "_common", "_shares", "_hits", "_p", "_s")
