@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, quality
+from loomgraph.llm import chat, packing, quality
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
