@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, packing, quality
+from loomgraph.llm import chat, packing, quality, secrets
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op7_secret_scans": secrets.op7_secret_scans,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
