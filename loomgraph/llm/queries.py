@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, embedding, packing, quality, secrets
+from loomgraph.llm import chat, embedding, jaccard, packing, quality, secrets
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
     "op6_embedding_near_dedup": embedding.op6_embedding_near_dedup,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op10_chat_formatting": chat.op10_chat_formatting,
