@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, embedding, jaccard, packing, quality, secrets, substring
+from loomgraph.llm import chat, embedding, jaccard, packing, pieces, quality, secrets, substring
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_rules": quality.op4_quality_rules,
