@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, embedding, jaccard, packing, pieces, quality, secrets, substring
+from loomgraph.llm import chat, embedding, jaccard, licenses, packing, pieces, quality, scoring, secrets, substring
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
     "op6_embedding_near_dedup": embedding.op6_embedding_near_dedup,
     "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_license_scans": licenses.op8_license_scans,
+    "op9_lm_scoring": scoring.op9_lm_scoring,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
