@@ -1,11 +1,11 @@
 """Embedding near-duplicates: cells by spherical k-means, exact cosines within cells.
 
 Equal directions are collapsed first. Centres are trained on a bounded sample; every
-vector is then assigned. For a pair in two cells, the one whose cell has the higher
-number lies within the search radius of the plane between the two centres (it can't be
-farther from it than from its partner), so it is also sent, as a guest, to the lower
-cell: every pair with cosine >= the threshold meets in exactly one cell, whatever the
-centres are. Cells of any size are compared in blocks; tasks return counts and a
+vector is then assigned. A pair in two cells has the plane between their centres in
+its middle, so one of the two lies within half the search radius of it, and is sent to
+the other's cell too, as a guest: every pair with cosine >= the threshold meets in a
+cell, whatever the centres are, and is counted in one. How many cells pay, the sample
+tells: where vectors have no clusters, more cells only mean more guests. Cells of any size are compared in blocks; tasks return counts and a
 spanning forest, never the pairs.
 
 Defined results: vectors that are null, zero, of another width than most, or hold null
@@ -25,7 +25,7 @@ from loomgraph.llm.components import components, stars
 from loomgraph.storage import cut
 
 #: sample rows for training; most centres; vectors a cell should have; rows of a block
-SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK = 20_000, 1024, 256, 512
+SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK = 10_000, 512, 256, 512
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -47,10 +47,10 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> n
 
 
 def _clean(vectors: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, v array<double>) of usable vectors."""
-    v = F.col("embedding").cast("array<double>")
-    fine = F.col("v").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select("vec_id", v.alias("v")).filter(F.coalesce(fine, F.lit(False)))
+    """(vec_id, v) of usable vectors."""
+    v = F.col("embedding")
+    fine = v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return vectors.filter(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"))
 
 
 def _unit(values) -> np.ndarray:
@@ -59,48 +59,74 @@ def _unit(values) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _guests(centres: np.ndarray, radius: float):
+def _cells(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit row's home cell, and which others it visits: those whose plane between the centres is within half the radius."""
     gap = np.linalg.norm(centres[:, None] - centres[None], axis=2)
-
+    scores = x @ centres.T
+    home = scores.argmax(1)
+    near = scores[np.arange(len(x)), home][:, None] - scores <= radius / 2 * gap[home] + 1e-9
+    near[np.arange(len(x)), home] = False
+    return home, near
+
+
+def choose_cells(x: np.ndarray, radius: float, most_cells: int, cell_rows: int, total: int, most_copies: float = 6.0) -> np.ndarray:
+    """The centres, of those for 1, 2, 4, ... cells, that leave fewest comparisons with ``most_copies`` visits a vector at most."""
+    best, least, k = np.zeros((1, x.shape[1])), 0.5, 2
+    while k <= min(most_cells, max(1, total // cell_rows), len(x) // 4):
+        centres = spherical_kmeans(x, k)
+        home, near = _cells(x, centres, radius)
+        here = np.bincount(home, minlength=k) / len(x)
+        cost = float((here * (here / 2 + near.mean(0))).sum())
+        if near.sum(1).mean() <= most_copies and cost < least:
+            best, least = centres, cost
+        k *= 2
+    return best
+
+
+def _guests(centres: np.ndarray, radius: float, rows: int = 1000):
     def run(frames):
         for pdf in frames:
-            if not len(pdf):
-                continue
-            x = _unit(pdf["v"])
-            scores = x @ centres.T
-            home = scores.argmax(1)
-            own = scores[np.arange(len(x)), home]
-            # distance to the plane between the home centre and each lower one
-            near = own[:, None] - scores <= radius * gap[home] + 1e-9
-            near &= np.arange(len(centres))[None] < home[:, None]
-            row, cell = np.nonzero(near)
-            row = np.concatenate([np.arange(len(x)), row])
-            yield pd.DataFrame({"cell": np.concatenate([home, cell]).astype(np.int64), "guest": row_flags(len(x), len(cell)), "rep": pdf["rep"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "v": [x[i] for i in row]})
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at : at + rows]
+                home, near = _cells(_unit(part["v"]), centres, radius)
+                row, cell = np.nonzero(near)
+                row = np.concatenate([np.arange(len(part)), row])
+                lower = [np.flatnonzero(near[i, : home[i]]).astype(np.int32) for i in range(len(part))]
+                yield pd.DataFrame({
+                    "cell": np.concatenate([home, cell]).astype(np.int32), "home": home[row].astype(np.int32), "lower": [*lower, *[None] * len(cell)],
+                    "rep": part["rep"].to_numpy()[row], "n": part["n"].to_numpy()[row], "v": part["v"].to_numpy()[row],
+                })
 
     return run
 
 
-def row_flags(homes: int, guests: int) -> np.ndarray:
-    return np.concatenate([np.zeros(homes, bool), np.ones(guests, bool)])
-
-
-def _compare(threshold: float, block: int = BLOCK):
+def _compare(threshold: float, cells: int):
     """Pairs within a cell's block, or between two blocks: per vector its links (weighed by copies), and forest edges."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
+        cell = int(pdf["cell"].iat[0])
         left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
-        a, b = np.stack(left["v"]), np.stack(right["v"])
-        ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
-        hit = a @ b.T >= threshold
-        hit &= ~(left["guest"].to_numpy()[:, None] & right["guest"].to_numpy()[None])
+        hit = _unit(left["v"]) @ _unit(right["v"]).T >= threshold
+        parts = []
+        for side in (left, right):
+            home = side["home"].to_numpy()
+            visits = np.zeros((len(side), cells), bool)
+            for k, lower in enumerate(side["lower"]):
+                if lower is not None and home[k] == cell:
+                    visits[k, np.asarray(lower, int)] = True
+            parts.append((home, visits, side["rep"].to_numpy(), side["n"].to_numpy()))
+        (ha, va, ra, na), (hb, vb, rb, nb) = parts
+        ga, gb = ha != cell, hb != cell
+        hit &= ~(ga[:, None] & gb[None])  # two guests meet elsewhere
+        # a pair whose two members visit each other counts in the lower of their cells
+        hit &= ~(va[:, hb] & gb[None]) & ~(vb[:, ha].T & ga[:, None])
         if i == j:
             hit = np.triu(hit, 1)
-        links_a, links_b = hit @ right["n"].to_numpy(), hit.T @ left["n"].to_numpy()
         x, y = np.nonzero(hit)
-        out = [pd.DataFrame({"a": ra, "b": ra, "links": links_a}), pd.DataFrame({"a": rb, "b": rb, "links": links_b})]
+        out = [pd.DataFrame({"a": ra, "b": ra, "links": hit @ nb}), pd.DataFrame({"a": rb, "b": rb, "links": hit.T @ na})]
         if len(x):
             v, root = stars(ra[x], rb[y])
             out.append(pd.DataFrame({"a": v, "b": root, "links": 0}))
@@ -118,21 +144,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SA
         return src.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     good = _clean(src, widths["d"])
     # equal vectors: one row for all, with their number and smallest id
-    key = F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
+    key = F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256)
     keyed = cut(good.select("vec_id", key.alias("key"), "v"), "vectors")
     reps = cut(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v")), "reps")
     total = reps.count()
-    k = max(1, min(most_cells, total // cell_rows))
     train = [r["v"] for r in reps.orderBy(F.xxhash64("rep")).select("v").limit(sample).collect()]
-    centres = spherical_kmeans(_unit(train), k) if train else np.zeros((1, widths["d"]))
     # |x - y| for two unit vectors with this cosine
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    cells = reps.select("rep", "n", "v").mapInPandas(_guests(centres, radius), "cell bigint, guest boolean, rep bigint, n bigint, v array<double>")
+    centres = choose_cells(_unit(train), radius, most_cells, cell_rows, total) if train else np.zeros((1, widths["d"]))
+    kind = keyed.schema["v"].dataType.simpleString()
+    cells = reps.select("rep", "n", "v").mapInPandas(_guests(centres, radius), f"cell int, home int, lower array<int>, rep bigint, n bigint, v {kind}")
     cells = cut(cells, "cells")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks"))  # at most ``most_cells`` rows
     placed = cells.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select("cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "guest", "rep", "n", "v")
-    found = cut(pairs.groupBy("cell", "i", "j").applyInPandas(_compare(threshold), "a bigint, b bigint, links bigint"), "links")
+    pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select("cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "home", "lower", "rep", "n", "v")
+    found = cut(pairs.groupBy("cell", "i", "j").applyInPandas(_compare(threshold, len(centres)), "a bigint, b bigint, links bigint"), "links")
     links = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(found.filter("a <> b").select("a", "b")).select(F.col("vertex").alias("rep"), "component")
     classes = reps.select("key", "rep", "n").join(links, "rep", "left").join(groups, "rep", "left")
