@@ -64,8 +64,15 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return words
     h = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
-        h = mix(h * np.uint64(0xFF51AFD7ED558CCD) + words[i : n - size + 1 + i])
-    return h
+        h += words[i : n - size + 1 + i] * np.uint64(pow(_R, i + 1, 1 << 64))
+    return mix(h)
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words that begin at ``at``, whatever k costs: from running sums."""
+    power, inverse = _tables(len(words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)], dtype=np.uint64)])
+    return mix((total[at + k] - total[at]) * inverse[at])
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:

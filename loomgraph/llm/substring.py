@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.jaccard import set_hash
 from loomgraph.llm.linking import link
-from loomgraph.llm.shingles import mix, parity, shingle_hashes, word_hashes
+from loomgraph.llm.shingles import mix, parity, run_hashes, shingle_hashes, word_hashes
 from loomgraph.storage import cut
 
 WINDOW, RADIUS, MIN_WORDS = 24, 6, 20
@@ -37,15 +37,14 @@ def tune_bands(threshold: float, recall: float = 0.99, rows: int = 2) -> int:
     return bands
 
 
-def paragraphs(text: str | None, least: int = MIN_WORDS) -> list[tuple[int, int, np.ndarray]]:
-    """(first word, words, word hashes) of each line with at least ``least`` words."""
+def paragraphs(text: str | None, k: int = 5, least: int = MIN_WORDS) -> list[tuple[int, int, np.ndarray]]:
+    """(first word, words, hashes of its k-word shingles) of each line with at least ``least`` words, of which there are k or more."""
     h, starts, _ = word_hashes(text, spans=True)
     if len(h) < least:
         return []
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    lines = np.searchsorted(np.flatnonzero(raw == 10), starts)
-    edge = np.concatenate([[0], np.flatnonzero(np.diff(lines)) + 1, [len(h)]])
-    return [(int(a), int(b - a), h[a:b]) for a, b in zip(edge, edge[1:]) if b - a >= least]
+    raw, all_shingles = np.frombuffer((text or "").encode(), np.uint8), shingle_hashes(h, k)
+    edge = [0, *np.searchsorted(starts, np.flatnonzero(raw == 10)).tolist(), len(h)]
+    return [(a, b - a, all_shingles[a : b - k + 1]) for a, b in zip(edge, edge[1:]) if b - a >= least]
 
 
 def anchors(h: np.ndarray, window: int = WINDOW, radius: int = RADIUS) -> np.ndarray:
@@ -56,9 +55,10 @@ def anchors(h: np.ndarray, window: int = WINDOW, radius: int = RADIUS) -> np.nda
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     # the hash of two words, so that a common word is no anchor wherever it stands
     own = np.concatenate([mix(h[:-1] * np.uint64(3) + h[1:]), mix(h[-1:])])
-    wide = np.concatenate([np.full(radius, top), own, np.full(radius, top)])
-    around = np.lib.stride_tricks.sliding_window_view(wide, radius)
-    before, after = around[:n].min(1), around[radius + 1 : radius + 1 + n].min(1)
+    before, after = np.full(n, top), np.full(n, top)
+    for d in range(1, radius + 1):
+        np.minimum(before[d:], own[:-d], out=before[d:])
+        np.minimum(after[:-d], own[d:], out=after[:-d])
     at = np.flatnonzero((own < before) & (own <= after))
     return at[at + window <= n]
 
@@ -66,16 +66,17 @@ def anchors(h: np.ndarray, window: int = WINDOW, radius: int = RADIUS) -> np.nda
 def _windows(window: int, radius: int):
     def run(frames):
         for pdf in frames:
-            out = []
+            docs, starts, one, two = [], [], [], []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 h = word_hashes(text)
                 at = anchors(h, window, radius)
                 if len(at):
-                    own = shingle_hashes(h, window)[at]
-                    check = shingle_hashes(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), window)[at]
-                    out.append(pd.DataFrame({"h1": own.view(np.int64), "h2": check.view(np.int64), "doc_id": doc, "start": at.astype(np.int32)}))
-            if out:
-                yield pd.concat(out)
+                    docs.append(np.full(len(at), doc, np.int64))
+                    starts.append(at.astype(np.int32))
+                    one.append(run_hashes(h, at, window))
+                    two.append(run_hashes(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), at, window))
+            if docs:
+                yield pd.DataFrame({"h1": np.concatenate(one).view(np.int64), "h2": np.concatenate(two).view(np.int64), "doc_id": np.concatenate(docs), "start": np.concatenate(starts)})
 
     return run
 
@@ -89,42 +90,53 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, radius: int = RADIUS
     return found.join(owner, ["h1", "h2"]).select("doc_id", "start", F.lit(window).alias("words"), "class_doc", (F.col("doc_id") == F.col("class_doc")).alias("kept"))
 
 
-def _info(k: int, least: int):
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                for start, words, h in paragraphs(text, least):
-                    s = np.unique(shingle_hashes(h, k))
-                    out.append((doc, start, words, len(s), *set_hash(s), parity(s)))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "words", "size", "h1", "h2", "sketch"])
-
-    return run
-
+def _signatures(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int, salt: np.ndarray) -> np.ndarray:
+    """Band keys of each run of ``shingles`` that begins at ``starts``: mixed least values of salted hashes."""
+    key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None], len(starts), axis=0)
+    for b in range(bands):
+        for r in range(rows):
+            low = np.minimum.reduceat(mix(shingles ^ salt[b * rows + r]), starts)
+            key[:, b] = mix(key[:, b] * np.uint64(0xFF51AFD7ED558CCD) + low)
+    return key
+
+
+def _info(k: int, least: int, bands: int, rows: int, seed: int = 11, at_once: int = 400_000):
+    """Rows of INFO for every paragraph; some ``at_once`` words are worked on together."""
+
+    def made(held: list) -> pd.DataFrame:
+        docs, starts, words, parts = zip(*held)
+        n = np.array([len(p) for p in parts])
+        owner = np.repeat(np.arange(len(parts)), n)
+        flat = np.concatenate(parts)
+        order = np.lexsort((flat, owner))
+        flat, owner = flat[order], owner[order]
+        own = np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
+        flat, owner = flat[own], owner[own]
+        at = np.searchsorted(owner, np.arange(len(parts)))
+        size = np.diff(np.concatenate([at, [len(flat)]]))
+        h1 = np.bitwise_xor.reduceat(mix(flat), at).view(np.int64)
+        h2 = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at).view(np.int64)
+        bit = owner * 256 + ((flat >> np.uint64(7)) % np.uint64(256)).astype(np.int64)
+        odd = (np.bincount(bit, minlength=256 * len(parts)) & 1).astype(np.uint8).reshape(-1, 256)
+        sketch = [x.tobytes() for x in np.packbits(odd, axis=1, bitorder="little")]
+        for i in np.flatnonzero(size > 256):
+            sketch[i] = parity(flat[at[i] : at[i] + size[i]])
+        salt = np.random.default_rng(seed).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
+        keys = _signatures(flat, at, bands, rows, salt).view(np.int64)
+        return pd.DataFrame({"doc_id": docs, "start": starts, "words": words, "size": size, "h1": h1, "h2": h2, "sketch": sketch, "bands": list(keys)})
 
-def _bands(k: int, least: int, bands: int, rows: int, seed: int = 11):
     def run(frames):
-        salt = np.random.default_rng(seed).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
-        seen = set()
+        held, count = [], 0
         for pdf in frames:
-            keys, items, sizes = [], [], []
-            for text in pdf["text"]:
-                for _, _, h in paragraphs(text, least):
-                    s = np.unique(shingle_hashes(h, k))
-                    own = set_hash(s)[0]
-                    if own in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(own)
-                    low = mix(s[None] ^ salt[:, None]).min(1).reshape(bands, rows)
-                    key = np.arange(1, bands + 1, dtype=np.uint64)
-                    for r in range(rows):
-                        key = mix(key * np.uint64(0xFF51AFD7ED558CCD) + low[:, r])
-                    keys.append(key.view(np.int64))
-                    items.append(np.full(bands, own, np.int64))
-                    sizes.append(np.full(bands, len(s), np.int32))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "item": np.concatenate(items), "size": np.concatenate(sizes), "pos": np.int32(0)})
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                for start, words, shingles in paragraphs(text, k, least):
+                    held.append((doc, start, words, shingles))
+                    count += words
+                if count >= at_once:
+                    yield made(held)
+                    held, count = [], 0
+        if held:
+            yield made(held)
 
     return run
 
@@ -134,9 +146,9 @@ def _sets(k: int, least: int):
         for pdf in frames:
             out = []
             for text, needed in zip(pdf["text"], pdf["needed"]):
-                own = {start: h for start, _, h in paragraphs(text, least)}
+                own = {start: s for start, _, s in paragraphs(text, k, least)}
                 for x in needed:
-                    s = np.unique(shingle_hashes(own[x["start"]], k)) if x["start"] in own else None
+                    s = np.unique(own[x["start"]]) if x["start"] in own else None
                     if s is not None and set_hash(s)[0] == x["h1"]:
                         out.append((x["node"], x["component"], x["blocks"], x["b"], s.tobytes()))
             yield pd.DataFrame(out, columns=["node", "component", "blocks", "b", "shingles"])
@@ -146,13 +158,13 @@ def _sets(k: int, least: int):
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, least: int = MIN_WORDS, recall: float = 0.99, rows: int = 2) -> DataFrame:
     """(doc_id, start, words, class_doc, kept) of paragraphs in clusters of two or more."""
-    kind = "doc_id bigint, start int, words int, size int, h1 bigint, h2 bigint, sketch binary"
-    info = cut(docs.mapInPandas(_info(k, least), kind).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
-    first = F.min(F.struct("doc_id", "start", "pid"))
-    reps = cut(info.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "reps")
-    reps = reps.select("h1", "h2", "n", "size", "sketch", F.col("f.pid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"))
+    kind = "doc_id bigint, start int, words int, size int, h1 bigint, h2 bigint, sketch binary, bands array<bigint>"
     bands = tune_bands(num / den, recall, rows)
-    keys = docs.select("text").mapInPandas(_bands(k, least, bands, rows), "key bigint, item bigint, size int, pos int")
+    info = cut(docs.mapInPandas(_info(k, least, bands, rows), kind).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
+    first = F.min(F.struct("doc_id", "start", "pid"))
+    reps = info.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    reps = cut(reps.select("h1", "h2", "n", "size", "sketch", "bands", F.col("f.pid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start")), "reps")
+    keys = reps.select(F.explode("bands").alias("key"), F.col("h1").alias("item"), "size", F.lit(0).alias("pos"))
 
     def sets(needed: DataFrame) -> DataFrame:
         at = needed.join(reps.select("node", "doc_id", "start", "h1"), "node")
