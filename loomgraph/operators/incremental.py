@@ -43,7 +43,7 @@ def index_complete(expected: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], root: str, keep: int = 3) -> int:
-    """Write a new version of every table under ``root``, then point _CURRENT at it; older versions but ``keep`` go."""
+    """Write a new version of every table under ``root``, then point CURRENT at it; older versions but ``keep`` go."""
     spark: SparkSession = next(iter(tables.values())).sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -53,16 +53,16 @@ def publish(tables: dict[str, DataFrame], root: str, keep: int = 3) -> int:
     version = (found[-1] if found else 0) + 1
     for name, df in tables.items():
         df.write.parquet(f"{root}/v{version}/{name}")
-    out = fs.create(path(f"{root}/_CURRENT.tmp"), True)
+    out = fs.create(path(f"{root}/CURRENT.tmp"), True)
     out.writeBytes(f"v{version}")
     out.close()
-    fs.delete(path(f"{root}/_CURRENT"), False)
-    fs.rename(path(f"{root}/_CURRENT.tmp"), path(f"{root}/_CURRENT"))
+    fs.delete(path(f"{root}/CURRENT"), False)
+    fs.rename(path(f"{root}/CURRENT.tmp"), path(f"{root}/CURRENT"))
     for old in [*found, version][:-keep]:
         fs.delete(path(f"{root}/v{old}"), True)
     return version
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/_CURRENT").first()[0]
+    version = spark.read.text(f"{root}/CURRENT").first()[0]
     return spark.read.parquet(f"{root}/{version}/{name}")
