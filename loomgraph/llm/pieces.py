@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 import struct
 
@@ -43,7 +44,7 @@ def model_path() -> str:
 class Model:
     """Pieces and scores of a SentencePiece BPE file, its encoder, and the steps of the scan."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,14 +53,17 @@ class Model:
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(n)]
         self.id = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
+        self.rank = {p: -x for p, x in self.score.items()}
         self.first_byte = next(i for i in range(n) if sp.is_byte(i))
         self.longest = max(map(len, self.id))
         self.beside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.bytes = [bytes([i - self.first_byte]) if sp.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
-        self.most, self.known, self.fits = most, {}, {}
+        self.most, self.known, self.parts, self.fits = most, {}, {}, {}
 
     def merge(self, s: str) -> list[str]:
-        """BPE of a short string: the neighbours whose joint piece scores best are joined, the leftmost of equals first."""
+        """BPE of a string: the neighbours whose joint piece scores best are joined, the leftmost of equals first."""
+        if len(s) <= 64:
+            return self.merge_short(s)
         parts: list = list(s)
         after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
         heap = []
@@ -85,6 +89,26 @@ class Model:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
+    def merge_short(self, s: str) -> list[str]:
+        parts, rank = list(s), self.rank.get
+        left = [rank(a + b, math.inf) for a, b in zip(parts, parts[1:])]
+        while left and (best := min(left)) < math.inf:
+            i = left.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del left[i]
+            if i < len(left):
+                left[i] = rank(parts[i] + parts[i + 1], math.inf)
+            if i:
+                left[i - 1] = rank(parts[i - 1] + parts[i], math.inf)
+        return parts
+
+    def part(self, s: str) -> bytes:
+        """Ids of a string without places that no piece spans, kept for the next time."""
+        if len(self.parts) >= self.most:
+            self.parts.clear()
+        got = self.parts[s] = self.ids(self.merge(s))
+        return got
+
     def ids(self, pieces: list[str]) -> bytes:
         out = []
         for p in pieces:
@@ -99,8 +123,8 @@ class Model:
         """Ids of a string, kept for the next time."""
         got = self.known.get(s)
         if got is None:
-            at = [0, *self.hard(s), len(s)]
-            got = self.ids([p for a, b in zip(at, at[1:]) for p in self.merge(s[a:b])])
+            at, parts = [0, *self.hard(s), len(s)], self.parts.get
+            got = b"".join([parts(x) or self.part(x) for x in [s[a:b] for a, b in zip(at, at[1:])]])
             if len(self.known) >= self.most:
                 self.known.clear()
             self.known[s] = got
@@ -318,7 +342,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
         m = model(path)
         for batch in batches:
-            texts = [m.decode(x) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            texts = [m.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
