@@ -16,6 +16,8 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from loomgraph.llm.components import components, stars
 from loomgraph.storage import cut
 
 #: sample rows for training; most centres; vectors a cell should have; rows of a block
-SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK = 10_000, 512, 256, 512
+SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK = 10_000, 2048, 256, 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -69,15 +71,24 @@ def _cells(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarra
     return home, near
 
 
-def choose_cells(x: np.ndarray, radius: float, most_cells: int, cell_rows: int, total: int, most_copies: float = 6.0) -> np.ndarray:
-    """The centres, of those for 1, 2, 4, ... cells, that leave fewest comparisons with ``most_copies`` visits a vector at most."""
-    best, least, k = np.zeros((1, x.shape[1])), 0.5, 2
-    while k <= min(most_cells, max(1, total // cell_rows), len(x) // 4):
-        centres = spherical_kmeans(x, k)
+#: estimated seconds for a comparison, and for sending a vector to a block
+PAIR_S, SEND_S = 2e-8, 1e-5
+
+
+def choose_cells(x: np.ndarray, radius: float, most_cells: int, cell_rows: int, total: int, block: int) -> np.ndarray:
+    """The centres, of those for 1, 2, 4, ... cells, that the sample ``x`` expects to cost ``total`` vectors least.
+
+    More cells leave fewer comparisons and cause more visits; which wins depends on how
+    clustered the vectors are and how many there are. Results are the same for any choice.
+    """
+    best, least, k = np.zeros((1, x.shape[1])), math.inf, 1
+    while k <= max(1, min(most_cells, total // cell_rows, len(x) // 4)):
+        centres = spherical_kmeans(x, k) if k > 1 else best
         home, near = _cells(x, centres, radius)
-        here = np.bincount(home, minlength=k) / len(x)
-        cost = float((here * (here / 2 + near.mean(0))).sum())
-        if near.sum(1).mean() <= most_copies and cost < least:
+        here, visits = np.bincount(home, minlength=k) / len(x), near.mean(0)
+        sends = (here + visits) * total
+        cost = PAIR_S * total**2 * float((here * (here / 2 + visits)).sum()) + SEND_S * float((sends * np.ceil(sends / block)).sum())
+        if cost < least:
             best, least = centres, cost
         k *= 2
     return best
@@ -109,7 +120,6 @@ def _compare(threshold: float, cells: int):
         left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
-        hit = _unit(left["v"]) @ _unit(right["v"]).T >= threshold
         parts = []
         for side in (left, right):
             home = side["home"].to_numpy()
@@ -120,16 +130,23 @@ def _compare(threshold: float, cells: int):
             parts.append((home, visits, side["rep"].to_numpy(), side["n"].to_numpy()))
         (ha, va, ra, na), (hb, vb, rb, nb) = parts
         ga, gb = ha != cell, hb != cell
-        hit &= ~(ga[:, None] & gb[None])  # two guests meet elsewhere
-        # a pair whose two members visit each other counts in the lower of their cells
-        hit &= ~(va[:, hb] & gb[None]) & ~(vb[:, ha].T & ga[:, None])
-        if i == j:
-            hit = np.triu(hit, 1)
-        x, y = np.nonzero(hit)
-        out = [pd.DataFrame({"a": ra, "b": ra, "links": hit @ nb}), pd.DataFrame({"a": rb, "b": rb, "links": hit.T @ na})]
-        if len(x):
-            v, root = stars(ra[x], rb[y])
-            out.append(pd.DataFrame({"a": v, "b": root, "links": 0}))
+        a, b = _unit(left["v"]), _unit(right["v"]).T
+        links_a, links_b, out = np.zeros(len(a)), np.zeros(b.shape[1]), []
+        for k in range(0, len(a), 512):  # in strips, so that a block of copies needs little memory
+            x, y = np.nonzero(a[k : k + 512] @ b >= threshold)
+            x += k
+            good = ~(ga[x] & gb[y])  # two guests meet elsewhere
+            # a pair whose two members visit each other counts in the lower of their cells
+            good &= ~(va[x, hb[y]] & gb[y]) & ~(vb[y, ha[x]] & ga[x])
+            if i == j:
+                good &= x < y
+            x, y = x[good], y[good]
+            links_a += np.bincount(x, weights=nb[y], minlength=len(ra))
+            links_b += np.bincount(y, weights=na[x], minlength=len(rb))
+            if len(x):
+                v, root = stars(ra[x], rb[y])
+                out.append(pd.DataFrame({"a": v, "b": root, "links": 0}))
+        out += [pd.DataFrame({"a": ra, "b": ra, "links": links_a}), pd.DataFrame({"a": rb, "b": rb, "links": links_b})]
         out = pd.concat(out)
         return out[(out["links"] > 0) | (out["a"] != out["b"])].astype("int64")
 
@@ -151,7 +168,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SA
     train = [r["v"] for r in reps.orderBy(F.xxhash64("rep")).select("v").limit(sample).collect()]
     # |x - y| for two unit vectors with this cosine
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    centres = choose_cells(_unit(train), radius, most_cells, cell_rows, total) if train else np.zeros((1, widths["d"]))
+    centres = choose_cells(_unit(train), radius, most_cells, cell_rows, total, block) if train else np.zeros((1, widths["d"]))
     kind = keyed.schema["v"].dataType.simpleString()
     cells = reps.select("rep", "n", "v").mapInPandas(_guests(centres, radius), f"cell int, home int, lower array<int>, rep bigint, n bigint, v {kind}")
     cells = cut(cells, "cells")
