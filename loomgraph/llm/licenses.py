@@ -1,13 +1,17 @@
 """License scans: candidate blocks compressed with each template as a raw zstandard dictionary.
 
-A block is a line with a license cue and the lines next to it that have one too. It is
-compressed alone and with each template as dictionary; the templates are ranked by how
-much smaller it gets, and the best few are confirmed by the words in which they differ
-from the best-fitting stretch of the block. Every text is scanned whole.
-
-Defined results: null and empty texts have no blocks; a block that no template confirms
-comes back unconfirmed with its best-ranked template; ties go to the template that
-stands first; repeated rows give repeated results.
+A block is a line with a license cue and the lines next to it that have one too. Around
+it, as many words as the longest template has are searched on either side, across blank
+lines and lines without a cue, for every stretch that differs from a template in few
+words; each such stretch is a confirmed license. Longer templates go first and stretches
+share no word, so a notice inside a full text is not a license of its own. A template is
+left out only where more of its words are missing than may differ. Blocks without a
+confirmed license are ranked: compressed alone and with each template as dictionary, by
+how much smaller they get. Every text is scanned whole.
+
+Defined results: null and empty texts have no blocks; a confirmed license comes back with
+the stretch it stands in, a block that touches none unconfirmed with its best-ranked
+template; ties go to the template that stands first; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "All-rights-reserved": "All rights reserved.",
 }
-CUE = re.compile(r"licen[sc]e|copyright|all rights reserved|permission is hereby|warrant(?:y|ies)|redistribut|spdx|creative commons|public domain|free software", re.IGNORECASE)
+#: Blanks between a cue's words, or a line's end with the next one's comment mark.
+GAP = r"\s+(?:[*#/;>-]+\s+)?"
+CUE = re.compile(r"licen[sc]e|copyright|all rights reserved|permission is hereby|warrant(?:y|ies)|redistribut|spdx|creative commons|public domain|free software".replace(" ", GAP), re.IGNORECASE)
 LEAD = 200  # characters that a block keeps of its line on either side of its cues
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
@@ -54,51 +60,120 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def wording_differences(template: list[str], block: list[str]) -> int:
-    """Fewest words put in, left out or changed between the template and any stretch of the block."""
+def _rows(template: list[int], block: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Differences between the template and the stretches that end at each word of the block; ``row`` has those of the empty template."""
+    steps = np.arange(len(block) + 1)
+    for w in template:
+        new = np.concatenate([[row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + (block != w))])
+        row = np.minimum.accumulate(new - steps) + steps
+    return row
+
+
+def _numbered(template: list[str], block: list[str]) -> tuple[list[int], np.ndarray]:
     ids: dict[str, int] = {}
     t = [ids.setdefault(w, len(ids)) for w in template]
-    b = np.array([ids.setdefault(w, len(ids)) for w in block], np.int64)
-    steps, row = np.arange(len(b) + 1), np.zeros(len(b) + 1, np.int64)
-    for i, w in enumerate(t):
-        new = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (b != w))])
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row.min())
+    return t, np.array([ids.setdefault(w, len(ids)) for w in block], np.int64)
+
+
+def wording_differences(template: list[str], block: list[str]) -> int:
+    """Fewest words put in, left out or changed between the template and any stretch of the block."""
+    t, b = _numbered(template, block)
+    return int(_rows(t, b, np.zeros(len(b) + 1, np.int64)).min())
+
+
+def stretches(template: list[str], block: list[str], free: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(first word, end, differences) of stretches of ``free`` words with at most ``most`` differences, best first; they are marked as taken."""
+    t, b = _numbered(template, block)
+    row = _rows(t, np.where(free, b, -1), np.zeros(len(b) + 1, np.int64))
+    ends = np.flatnonzero(row <= most)
+    out = []
+    for e in ends[np.lexsort((ends, row[ends]))].tolist():
+        a = max(0, e - len(t) - most)
+        taken = np.flatnonzero(~free[a:e])
+        back = b[a + taken[-1] + 1 if len(taken) else a : e][::-1]
+        fits = _rows(t[::-1], back, np.arange(len(back) + 1))
+        n = int(fits.argmin())
+        if fits[n] <= most:
+            out.append((e - n, e, int(fits[n])))
+            free[e - n : e] = False
+    return out
 
 
 class Scanner:
     """Compressors for every template, made once for a task."""
 
-    def __init__(self, templates: dict[str, str], level: int = 6, confirm: int = 3, most_changed: float = 0.1):
+    def __init__(self, templates: dict[str, str], level: int = 6, most_changed: float = 0.1):
         import zstandard
 
-        self.names, self.confirm, self.most_changed = list(templates), confirm, most_changed
+        self.names = list(templates)
         self.words = [words(t) for t in templates.values()]
+        self.most = [int(most_changed * len(w)) for w in self.words]
+        self.order = sorted(range(len(self.words)), key=lambda k: -len(self.words[k]))
+        self.around = max((len(w) + m for w, m in zip(self.words, self.most)), default=0)
         plain = " ".join
         self.alone = zstandard.ZstdCompressor(level=level)
         self.with_template = [
             zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(plain(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words
         ]
 
+    def saved(self, own: list[str], k: int) -> float:
+        """Share by which template ``k`` shrinks the words."""
+        raw = " ".join(own).encode()
+        size = len(self.alone.compress(raw))
+        return (size - len(self.with_template[k].compress(raw))) / size
+
     def block(self, text: str) -> tuple[str, float, int, bool]:
-        """(template, share by which it shrinks the block, words that differ, confirmed)."""
+        """(template, share by which it shrinks the block, words that differ, False) of the best-ranked template."""
         own = words(text)
         raw = " ".join(own).encode()
         size = len(self.alone.compress(raw))
         saved = [size - len(c.compress(raw)) for c in self.with_template]
-        ranked = sorted(range(len(saved)), key=lambda k: (-saved[k], k))[: self.confirm]
-        fits = [(wording_differences(self.words[k], own), k) for k in ranked]
-        good = [(d, k) for d, k in fits if d <= self.most_changed * len(self.words[k])]
-        # of confirmed templates the longest wording says most
-        diff, k = min(good, key=lambda x: (-len(self.words[x[1]]), x[0])) if good else fits[0]
-        return self.names[k], saved[k] / size, diff, bool(good)
+        k = max(range(len(saved)), key=lambda k: (saved[k], -k))
+        return self.names[k], saved[k] / size, wording_differences(self.words[k], own), False
+
+    def confirmed(self, own: list[str]) -> list[tuple[int, int, int, int]]:
+        """(first word, end, template, words that differ) of every license among these words."""
+        out, free, there = [], np.ones(len(own), bool), set(own)
+        for k in self.order:
+            if sum(w not in there for w in self.words[k]) <= self.most[k]:
+                out += [(a, b, k, d) for a, b, d in stretches(self.words[k], own, free, self.most[k])]
+        return out
+
+    def text(self, text: str) -> list[tuple[int, int, str, float, int, bool]]:
+        """(start, end, template, share by which it shrinks them, words that differ, confirmed) of licenses and of blocks without one."""
+        found = blocks(text)
+        if not found:
+            return []
+        at = [m.span() for m in WORD.finditer(text)]
+        starts, ends = np.array([a for a, _ in at], np.int64), np.array([b for _, b in at], np.int64)
+        regions: list[list[int]] = []
+        for a, b in found:
+            lo = max(0, int(np.searchsorted(ends, a, side="right")) - self.around)
+            hi = min(len(at), int(np.searchsorted(starts, b)) + self.around)
+            if regions and lo <= regions[-1][1]:
+                regions[-1][1] = max(hi, regions[-1][1])
+            else:
+                regions.append([lo, hi])
+        out = []
+        for lo, hi in regions:
+            own = [text[a:b].lower() for a, b in at[lo:hi]]
+            for a, b, k, d in self.confirmed(own):
+                out.append((at[lo + a][0], at[lo + b - 1][1], self.names[k], self.saved(own[a:b], k), d, True))
+        out.sort()
+        k, rest = 0, []
+        for a, b in found:
+            while k < len(out) and out[k][1] <= a:
+                k += 1
+            if k == len(out) or out[k][0] >= b:
+                rest.append((a, b, *self.block(text[a:b])))
+        return sorted(out + rest)
 
 
 SCHEMA = "doc_id bigint, start int, end int, license string, reduction double, differences int, confirmed boolean"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """A row for each candidate block of each document; start and end in code points."""
+    """A row for each license of each document and each candidate block without one; start and end in code points."""
     templates = templates or TEMPLATES
 
     def run(batches):
@@ -110,7 +185,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                rows += [(doc, a, b, *scanner.block(text[a:b])) for a, b in blocks(text or "")]
+                rows += [(doc, *found) for found in scanner.text(text or "")]
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -118,5 +193,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate block of every document, with its license."""
+    """Every license of every document, and every candidate block without one."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

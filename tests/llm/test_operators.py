@@ -369,6 +369,33 @@ def test_licenses(spark, odd):
     assert licenses.wording_differences(["a", "b", "c"], ["x", "a", "c", "y"]) == 1
 
 
+def test_licenses_wrapped_and_side_by_side(spark):
+    import textwrap
+
+    from loomgraph.llm import licenses
+
+    T = licenses.TEMPLATES
+    full = [n for n in T if len(T[n]) > 100]
+    texts = [(i, "some prose\n\n" + "\n".join(textwrap.wrap(T[n], 50, break_on_hyphens=False)) + "\n\nmore prose") for i, n in enumerate(full)]
+    texts += [(10 + i, "\n\n".join(" * " + x for x in textwrap.wrap(T[n], 60, break_on_hyphens=False))) for i, n in enumerate(full)]
+    texts += [
+        (20, f"{T['MIT-notice']}\n{T['Apache-2.0-notice']}"), (21, f"{T['All-rights-reserved']} {T['CC-BY-4.0']}"), (22, "\nx\n".join([T["All-rights-reserved"]] * 3)),
+        (23, "All rights\n# reserved."), (24, "\n".join(T.values())), (25, f"a license to chill\n\n{'word ' * 300}\n{T['MIT']}"),
+    ]
+    text, got = dict(texts), collections.defaultdict(list)
+    for r in licenses.scan(docs_of(spark, texts)).collect():
+        got[r.doc_id].append((r.start, r.license, r.confirmed))
+        if r.confirmed:
+            assert r.differences == 0 and licenses.words(text[r.doc_id][r.start : r.end]) == licenses.words(T[r.license])
+    names = {i: [(n, c) for _, n, c in sorted(x)] for i, x in got.items()}
+    for i, n in enumerate(full):
+        assert names[i] == names[10 + i] == [(n, True)]
+    assert names[20] == [("MIT-notice", True), ("Apache-2.0-notice", True)] and names[21] == [("All-rights-reserved", True), ("CC-BY-4.0", True)]
+    assert names[22] == [("All-rights-reserved", True)] * 3 and names[23] == [("All-rights-reserved", True)]
+    assert names[24] == [(n, True) for n in T]
+    assert [c for _, c in names[25]] == [False, True] and names[25][1][0] == "MIT"
+
+
 def test_lm_scores(spark, odd):
     from loomgraph.llm import scoring
 
