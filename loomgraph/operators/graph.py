@@ -6,6 +6,8 @@ neither lineage nor a lost executor makes a later round repeat an earlier one.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def blast(edges: DataFrame, files: DataFrame, depth: int = 4, total: int | None
     return out.withColumn("risk", risk_level(F.col("affected"), total))
 
 
-def levels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(id, level) of a directed graph: the longest path that leads to a vertex; what cycles hold back has level -1.
 
     Each round peels the vertices without incoming edges; a long chain takes as many rounds as it is long.
@@ -56,7 +58,7 @@ def levels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     loops = edges.filter("src = dst").select(F.col("src").alias("id")).distinct()
     rest = cut(vertices(edges), "rest")
     out = None
-    for level in range(max_rounds):
+    for level in itertools.count():
         free = rest.join(left.select(F.col("dst").alias("id")), "id", "left_anti").join(loops, "id", "left_anti")
         free = cut(free.select("id", F.lit(level).alias("level")), "level")
         if free.isEmpty():
@@ -89,27 +91,53 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         drop(label, low)
         label = new
         if same:
-            break
-    return label.select("id", F.col("c").alias("component"))
+            return label.select("id", F.col("c").alias("component"))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def scc(edges: DataFrame, depth: int = 64) -> DataFrame:
+def _colours(edges: DataFrame) -> DataFrame:
+    """(id, c) of every vertex: the smallest one that leads to it, or itself; labels jump to their label's label each round."""
+    label = cut(vertices(edges).select("id", F.col("id").alias("c")), "label")
+    while True:
+        near = edges.join(label.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+        low = cut(label.join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")), "low")
+        if low.filter("moved").isEmpty():
+            drop(low)
+            return label
+        new = cut(low.join(low.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", F.least("c", "cc").alias("c")), "label")
+        drop(label, low)
+        label = new
+
+
+def scc(edges: DataFrame) -> DataFrame:
     """(id, component) of strongly connected components of two or more vertices, named by their smallest.
 
-    Vertices that no cycle can hold are peeled off from both sides first; what is left
-    is searched by pairs of forward reach, which suits graphs with small cycles.
+    Vertices that no cycle can hold are peeled off from both sides. Each other one is
+    coloured by the smallest that leads to it; those that lead back to it within the
+    colour are its component. Edges between what is left of a colour go on, until none are.
     """
     core = cut(edges.filter("src <> dst").select("src", "dst").distinct(), "core")
-    while True:
+    out = None
+    while not core.isEmpty():
         n = core.count()
-        kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        core = cut(kept.select("src", "dst"), "core")
-        if core.count() == n:
-            break
-    pairs = cut(reach(core, depth=depth, reverse=False).select("root", "node"), "pairs")
-    back = pairs.select(F.col("node").alias("root"), F.col("root").alias("node"))
-    both = pairs.join(back, ["root", "node"])
-    return both.groupBy("root").agg(F.min("node").alias("m")).select(F.col("root").alias("id"), F.least("root", "m").alias("component"))
+        kept = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
+        drop(core)
+        core = kept
+        if core.count() < n:
+            continue
+        colour = _colours(core)
+        ends = [colour.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst")]
+        inside = cut(core.join(ends[0], "src").join(ends[1], "dst").filter("c_src = c_dst").select("src", "dst", F.col("c_src").alias("c")), "inside")
+        back = _colours(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = cut(back.withColumnRenamed("c", "component").join(colour, "id").filter("component = c").select("id", "component"), "found")
+        out = found if out is None else out.unionByName(found)
+        rest = inside.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
+        rest = cut(rest.select("src", "dst"), "core")
+        drop(core, colour, inside, back)
+        core = rest
+    if out is None:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    return out.join(out.filter("id <> component").select("component").distinct(), "component", "left_semi").select("id", "component")
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -127,15 +155,15 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return rank.select("id", "rank")
 
 
-def betweenness(edges: DataFrame, depth: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness), directed and not normalized: Brandes' sums over all sources at once, by depth.
 
-    Holds a row for each reachable pair, so it is for graphs of bounded reach.
+    Holds a row for each reachable pair, so it is for graphs of small reach; rounds go on until no path is new.
     """
     step = cut(edges.filter("src <> dst").select("src", "dst").distinct(), "step")
     front = cut(vertices(edges).select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"), F.lit(0).alias("depth")), "front")
     fronts, seen = [front], front.select("root", "node")
-    for d in range(1, depth + 1):
+    for d in itertools.count(1):
         met = front.join(step, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("to")).agg(F.sum("sigma").alias("sigma"))
         met = met.select("root", F.col("to").alias("node"), "sigma", F.lit(d).alias("depth"))
         front = cut(met.join(seen, ["root", "node"], "left_anti").select("root", "node", "sigma", "depth"), "front")

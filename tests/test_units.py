@@ -61,6 +61,36 @@ def test_feedback_arcs_leave_no_cycle(edges, name):
     assert G.is_dag(e.join(G.feedback_arcs(e), ["src", "dst"], "left_anti"))
 
 
+@pytest.fixture
+def held(monkeypatch):
+    """Cuts held in memory, so that many rounds are quick."""
+    from loomgraph.operators import graph as G
+
+    monkeypatch.setattr(G, "cut", lambda df, name="t": df.sparkSession.createDataFrame(df.toArrow(), df.schema))
+    monkeypatch.setattr(G, "drop", lambda *tables: None)
+
+
+def test_long_cycles(edges, held):
+    from loomgraph.operators import graph as G
+
+    ring = lambda name, n: [(f"{name}{k:03}", f"{name}{(k + 1) % n:03}") for k in range(n)]
+    e = edges([*ring("a", 70), *ring("p", 2), ("a000", "p000"), ("x", "a003"), ("p001", "y")])
+    assert pairs(G.scc(e)) == {(f"{name}{k:03}", f"{name}000") for name, n in (("a", 70), ("p", 2)) for k in range(n)}
+
+
+def test_long_chain_has_all_levels(edges, held):
+    from loomgraph.operators import graph as G
+
+    e = edges([(f"{k:03}", f"{k + 1:03}") for k in range(202)])
+    assert pairs(G.levels(e)) == {(f"{k:03}", k) for k in range(203)}
+
+
+def test_betweenness_of_long_paths(edges, held):
+    from loomgraph.operators import graph as G
+
+    assert dict(pairs(G.betweenness(edges([(f"{k:02}", f"{k + 1:02}") for k in range(67)])))) == {f"{k:02}": float(k * (67 - k)) for k in range(68)}
+
+
 def test_ranks_and_paths(edges):
     from loomgraph.operators import graph as G
 
