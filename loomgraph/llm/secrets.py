@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a character network over other candidates.
 
-Every text is scanned whole. The patterns' findings always stay. Tokens that no pattern
-took are candidates; a small convolutional network in numpy reads each one with its
-surroundings and adds those whose calibrated probability passes a threshold chosen for
+Every text is scanned whole. The patterns' findings always stay. What the
+patterns leave of tokens are candidates; a small convolutional network in numpy reads all
+of each one, in windows with its surroundings, and adds those whose calibrated probability passes a threshold chosen for
 recall on held-out labelled findings. The network is trained on the driver, in seconds,
 on ``n_train`` labelled findings that ``labelled`` makes, and goes to tasks as weights of
 fixed size.
@@ -25,7 +25,8 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates: such runs with letters that hold a digit or mix cases behind their first character.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 WIDTH, BEFORE, INSIDE = 96, 32, 48  # characters that the network reads, and where the candidate starts
 
 
@@ -38,30 +39,46 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Spans of candidate tokens that share no character with ``taken``."""
-    out, k, spans = [], 0, sorted((a, b) for a, b, _ in taken)
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last) of what ``taken`` leaves of candidate tokens, and the stretch of the token to judge it by.
+
+    A part shorter than a candidate is judged with the token's characters around it.
+    """
+    out, k, spans = [], 0, []
+    for a, b in sorted((a, b) for a, b, _ in taken):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
+        a, b = at, end = m.span()
         while k < len(spans) and spans[k][1] <= a:
             k += 1
-        if k < len(spans) and spans[k][0] < b:
-            continue
-        token = m[0]
-        if any(c.isalpha() for c in token) and (any(c.isdigit() for c in token) or not (token.isupper() or token[1:].islower())):
-            out.append((a, b))
+        parts, j = [], k
+        while j < len(spans) and spans[j][0] < b:
+            parts.append((at, spans[j][0]))
+            at, j = max(at, spans[j][1]), j + 1
+        for x, y in [*parts, (at, b)]:
+            if x >= y:
+                continue
+            lo = max(a, x - max(0, LEAST - (y - x)))
+            hi = min(end, max(y, lo + LEAST))
+            token = text[lo:hi]
+            if any(c.isalpha() for c in token) and (any(c.isdigit() for c in token) or not (token.isupper() or token[1:].islower())):
+                out.append((x, y, lo, hi))
     return out
 
 
-def window(text: str, start: int, end: int) -> bytes:
-    """The candidate and its surroundings as WIDTH character codes; a long candidate's middle is left out."""
-    inside = text[start:end]
-    if len(inside) > INSIDE:
-        inside = inside[: INSIDE // 2] + inside[-INSIDE // 2 :]
-    before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
-    after = text[end : end + WIDTH]
-    line = (before + inside.ljust(INSIDE, "\1") + after)[:WIDTH].ljust(WIDTH, "\0")
-    return bytes(min(ord(c), 127) for c in line)
+def windows(text: str, start: int, end: int) -> list[bytes]:
+    """The candidate and its surroundings as WIDTH character codes; of a long one, a window each half of INSIDE, so that all of it is read."""
+    last = max(start, end - INSIDE)
+    out = []
+    for a in [*range(start, last, INSIDE // 2), last]:
+        b = min(end, a + INSIDE)
+        before = text[max(0, a - BEFORE) : a].rjust(BEFORE, "\0")
+        line = (before + text[a:b].ljust(INSIDE, "\1") + text[b : b + WIDTH])[:WIDTH].ljust(WIDTH, "\0")
+        out.append(bytes(min(ord(c), 127) for c in line))
+    return out
 
 
 class Net:
@@ -126,15 +143,15 @@ ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 SYLLABLES = ("an the re ing ti on er en st ou le ment de la que ver ein lich und heit keit cion ado los con per tra men tion able ness auf schaft es or at al ic").split()
 
 
-def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """``n`` labelled findings as windows and 0/1: keys, tokens and passwords of several forms, and words, paths, numbers, links and rules that look alike."""
+def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``n`` labelled findings as windows, 0/1 of each window, and the first window of each finding: keys, tokens and passwords of several forms, and words, paths, numbers, links and rules that look alike."""
     rng = np.random.default_rng(seed)
     pick = lambda s, k: "".join(s[i] for i in rng.integers(0, len(s), k))
     word = lambda k=4: "".join(SYLLABLES[i] for i in rng.integers(0, len(SYLLABLES), rng.integers(1, k + 1)))
     prose = lambda: " ".join(word() for _ in range(rng.integers(3, 9)))
     leads = ["key: ", "auth=", "Authorization: Bearer ", "credential ", "client ", "private ", "", "", "", "export KEY=", "pwd ", "access "]
     dull = ["see ", "file ", "in ", "https://example.org/", "order ", "", "", "", "part ", "from ", "| ", "chapter "]
-    xs, ys = [], []
+    xs, ys, first = [], [], []
     for _ in range(n):
         if y := int(rng.random() < 0.5):
             form = rng.integers(0, 6)
@@ -147,27 +164,27 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             ][form]()
             lead = dull[rng.integers(0, len(dull))]
         text = f"{prose()} {lead}"
-        xs.append(window(f"{text}{body} {prose()}", len(text), len(text) + len(body)))
-        ys.append(y)
-    return np.array([list(x) for x in xs], np.uint8), np.array(ys, np.float32)
+        first.append(len(xs))
+        xs += windows(f"{text}{body} {prose()}", len(text), len(text) + len(body))
+        ys += [y] * (len(xs) - len(ys))
+    return np.array([list(x) for x in xs], np.uint8), np.array(ys, np.float32), np.array(first)
 
 
 @functools.cache
-def trained(n_train: int = 4000, epochs: int = 4, recall: float = 0.98, most_false: float = 0.002, seed: int = 7) -> Net:
+def trained(n_train: int = 4000, epochs: int = 4, recall: float = 0.98, seed: int = 7) -> Net:
     """A network trained on ``n_train`` findings, calibrated (Platt) and thresholded on others.
 
-    The threshold is the one of highest precision among those that keep ``recall`` on
-    held-out findings; where more than ``most_false`` of the held-out others would pass
-    it, it is raised until they don't.
+    The threshold is the highest of those that keep ``recall`` on held-out findings, each
+    judged by its likeliest window; the share of held-out others that pass it is in ``held_out``.
     """
     net, state, rng = Net(np.random.default_rng(seed)), {}, np.random.default_rng(seed + 1)
-    x, y = labelled(n_train, seed)
+    x, y, _ = labelled(n_train, seed)
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(x), 128):
             part = order[i : i + 128]
             net.step(x[part], y[part], state, 0.006 / (1 + epoch))
-    hx, hy = labelled(n_train // 2, seed + 2)
+    hx, hy, first = labelled(n_train // 2, seed + 2)
     logits = np.concatenate([net.forward(hx[i : i + 2048])[0] for i in range(0, len(hx), 2048)])
     a, b = 1.0, 0.0
     for _ in range(300):
@@ -175,10 +192,8 @@ def trained(n_train: int = 4000, epochs: int = 4, recall: float = 0.98, most_fal
         a -= 0.05 * ((p - hy) * logits).mean()
         b -= 0.05 * (p - hy).mean()
     net.scale, net.shift = float(a), float(b)
-    p = net.probability(hx)
-    cuts = np.unique(np.round(p[hy == 1], 4))
-    good = [t for t in cuts if (p[hy == 1] >= t).mean() >= recall]
-    net.threshold = float(max([max(good, default=0.5), np.quantile(p[hy == 0], 1 - most_false) + 1e-6]))
+    p, hy = np.maximum.reduceat(net.probability(hx), first), hy[first]
+    net.threshold = float(max(t for t in p[hy == 1] if (p[hy == 1] >= t).mean() >= recall))
     net.held_out = {"recall": float((p[hy == 1] >= net.threshold).mean()), "false": float((p[hy == 0] >= net.threshold).mean())}
     return net
 
@@ -186,14 +201,15 @@ def trained(n_train: int = 4000, epochs: int = 4, recall: float = 0.98, most_fal
 def all_spans(texts: list[str], net: Net) -> list[list[tuple[int, int, str]]]:
     """Patterns' and network's spans of each text, by start, then kind."""
     base = [base_spans(t) for t in texts]
-    found, seen = [], []
+    found, seen, first = [], [], []
     for k, (text, taken) in enumerate(zip(texts, base)):
-        for a, b in candidates(text, taken):
+        for a, b, lo, hi in candidates(text, taken):
             found.append((k, a, b))
-            seen.append(window(text, a, b))
-    for i in range(0, len(seen), 4096):
-        p = net.probability(np.frombuffer(b"".join(seen[i : i + 4096]), np.uint8).reshape(-1, WIDTH))
-        for (k, a, b), q in zip(found[i : i + 4096], p):
+            first.append(len(seen))
+            seen += windows(text, lo, hi)
+    if seen:
+        p = np.concatenate([net.probability(np.frombuffer(b"".join(seen[i : i + 4096]), np.uint8).reshape(-1, WIDTH)) for i in range(0, len(seen), 4096)])
+        for (k, a, b), q in zip(found, np.maximum.reduceat(p, first)):
             if q >= net.threshold:
                 base[k].append((a, b, "net"))
     return [sorted(s, key=lambda x: (x[0], KINDS.index(x[2]))) for s in base]

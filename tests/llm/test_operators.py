@@ -358,6 +358,21 @@ def test_secrets(spark, odd):
     assert clean.text == "[secret]\" end" and clean.n_chars == len(clean.text)
 
 
+def test_secrets_read_whole_tokens():
+    from loomgraph.llm import secrets
+
+    net, key = secrets.trained(), "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hJ6"
+    assert net.held_out["recall"] >= 0.98
+    path = "content/chapter/section/"
+    text = f"see {path * 3}{key}/{path * 3}"
+    lone = secrets.windows(text, 4 + 3 * len(path), 4 + 3 * len(path) + len(key))[0]
+    whole = secrets.windows(text, 4, len(text))
+    assert any(bytes(key[:24], "ascii") in w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] for w in whole) and len(lone) == secrets.WIDTH
+    assert secrets.all_spans([text], net)[0] == [(4, len(text), "net")]
+    hexed = "key " + key + "-" + "0123456789abcdef01234567" + "-" + key
+    assert [hexed[a:b] for a, b, k in secrets.all_spans([hexed], net)[0] if k == "net"] == [key + "-", "-" + key]
+
+
 def test_licenses(spark, odd):
     from loomgraph.llm import licenses
 
