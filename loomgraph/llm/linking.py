@@ -118,9 +118,14 @@ def _lists(num: int, den: int, block: int):
                 return
             at = range(0, len(item), block)
             for a in at:
+                alone = True
                 for b in at:
                     if a < b and size[min(a + block, len(item)) - 1] * den >= size[b] * num:
                         put(np.concatenate([item[a : a + block], item[b : b + block]]))
+                        alone = False
+                # its own pairs, where no list with the next block has them
+                if alone and a + 1 < len(item):
+                    put(item[a : a + block])
 
         def drain():
             if len(seen) > 500_000:

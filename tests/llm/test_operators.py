@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -149,6 +150,18 @@ def test_jaccard_hot_groups_in_blocks(spark):
     assert rows == brute_classes(texts, 3, 9, 10)[0]
 
 
+def test_lists_of_blocks_between_which_sizes_step():
+    from loomgraph.llm import linking
+
+    def pairs(block, sizes):
+        rows = pd.DataFrame({"key": 1, "item": range(len(sizes)), "size": sizes, "pos": 0})
+        lists = pd.concat(linking._lists(9, 10, block)(iter([rows])))
+        return {(a, b) for _, g in lists.groupby("list") for a in g["item"] for b in g["item"] if a < b and sizes[b] * 9 <= sizes[a] * 10}
+
+    for sizes in ([20] * 4 + [200] * 6, [20] * 8 + [200] * 4, [20] * 4 + [100] * 4 + [200] * 4, [20] * 9, [20] * 4 + [200] * 5):
+        assert pairs(4, sizes) == pairs(100, sizes)
+
+
 def test_substring(spark, odd):
     from loomgraph.llm import substring
 
