@@ -27,6 +27,8 @@ from loomgraph.llm.shingles import mix, word_hashes
 from loomgraph.storage import cut
 
 BACKOFF, ORDER = 0.4, 2
+#: words of the longest n-grams that the query counts
+QUERY_ORDER = 3
 #: documents of a batch, and of the corpus for each bucket of n-grams
 BATCH_DOCS, BUCKET_DOCS = 2048, 2048
 
@@ -130,6 +132,6 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's words, log score and its mean for a word."""
-    scored = backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document's words, log score by n-grams of up to QUERY_ORDER words, and its mean for a word."""
+    scored = backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_ORDER)
     return scored.withColumn("mean_score", F.col("log_score") / F.greatest("n_words", F.lit(1)))

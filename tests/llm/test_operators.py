@@ -447,6 +447,27 @@ def test_lm_scores(spark, odd):
     assert collections.Counter((r.doc_id, r.n_words, round(r.log_score, 4) + 0.0) for r in rows) == want
 
 
+def test_lm_query_counts_trigrams(spark, tmp_path):
+    from loomgraph.llm import scoring
+
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(40)))) for i in range(12)]
+    docs_of(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    counts = lambda ts, n: collections.Counter(tuple(w[k : k + n]) for w in map(words_of, ts) for k in range(len(w) - n + 1))
+    want = {}
+    for i, t in docs:
+        others = [x for j, x in docs if j != i]
+        c, w, s = {n: counts(others, n) for n in (1, 2, 3)}, words_of(t), 0.0
+        for k in range(len(w)):
+            for n in (3, 2, 1):
+                gram = tuple(w[k - n + 1 : k + 1])
+                if n <= k + 1 and c[n][gram]:
+                    s += math.log(0.4 ** (min(3, k + 1) - n) * c[n][gram] / (c[n - 1][gram[:-1]] if n > 1 else sum(c[1].values())))
+                    break
+        want[i] = (len(w), round(s, 6) + 0.0)
+    assert {r.doc_id: (r.n_words, round(r.log_score, 6) + 0.0) for r in scoring.op9_lm_scoring(spark, str(tmp_path)).collect()} == want
+
+
 # --- chat ------------------------------------------------------------------
 
 
