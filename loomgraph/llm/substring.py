@@ -5,8 +5,8 @@ signature whose bands bring similar paragraphs together; colliding ones are veri
 exact Jaccard similarity and clustered by connected components; the first paragraph of a
 cluster stays. Passages inside longer lines surface as short paragraphs of their own:
 windows of WINDOW words that begin at anchors, words whose hash is the smallest for
-RADIUS words on both sides, so that equal passages have equal windows wherever they
-stand. A window's only band is its whole hash. Its first document keeps it.
+RADIUS words on both sides or in a run of places in a passage of SHARED words, so that
+equal passages of that length have an equal window wherever they stand. A window's only band is its whole hash. Its first document keeps it.
 
 Defined results: null and empty texts have no paragraphs; rows with a null id are left
 as they are; equal texts under different ids repeat each other, and rows that repeat an
@@ -26,6 +26,8 @@ from loomgraph.llm.shingles import mix, parity, run_hashes, shingle_hashes, word
 from loomgraph.storage import cut
 
 WINDOW, RADIUS, MIN_WORDS = 24, 6, 20
+#: words of a copied passage that has a window in common with its original for certain
+SHARED = 51
 SCHEMA = "doc_id bigint, start int, words int"
 
 
@@ -48,7 +50,7 @@ def paragraphs(text: str | None, k: int = 5, least: int = MIN_WORDS) -> list[tup
 
 
 def anchors(h: np.ndarray, window: int = WINDOW, radius: int = RADIUS) -> np.ndarray:
-    """Words, with a whole window behind them, whose mixed hash is least among ``radius`` on both sides; the first of equals."""
+    """Words, with a whole window behind them, whose mixed hash is least among ``radius`` on both sides, the first of equals, or in a run of SHARED - window + 1."""
     n = len(h)
     if n < window:
         return np.zeros(0, np.int64)
@@ -59,8 +61,12 @@ def anchors(h: np.ndarray, window: int = WINDOW, radius: int = RADIUS) -> np.nda
     for d in range(1, radius + 1):
         np.minimum(before[d:], own[:-d], out=before[d:])
         np.minimum(after[:-d], own[d:], out=after[:-d])
-    at = np.flatnonzero((own < before) & (own <= after))
-    return at[at + window <= n]
+    local = np.flatnonzero((own < before) & (own <= after))
+    # winnowing: the least of every run of places, the last of equals, so that passages of SHARED words have one in common
+    last = n - window
+    runs = np.lib.stride_tricks.sliding_window_view(own[: last + 1][::-1], min(SHARED - window + 1, last + 1))
+    least = last - (np.arange(len(runs)) + runs.argmin(axis=1))
+    return np.union1d(local[local <= last], least)
 
 
 def _windows(window: int, radius: int):

@@ -190,6 +190,17 @@ def test_substring_pieces():
     assert set(at[at >= 10] + 13) <= set(moved)  # where a text begins doesn't matter
 
 
+def test_copied_passages_share_an_anchor():
+    from loomgraph.llm.substring import anchors
+
+    rng = np.random.default_rng(4)
+    words = lambda n: rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    for _ in range(3000):
+        passage = words(51)
+        a, b = (anchors(np.concatenate([words(40), passage, words(40)])), anchors(np.concatenate([words(23), passage, words(31)])))
+        assert {x - 40 for x in a if 40 <= x <= 67} & {x - 23 for x in b if 23 <= x <= 50}
+
+
 # --- embeddings ------------------------------------------------------------
 
 
