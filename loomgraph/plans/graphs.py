@@ -102,7 +102,7 @@ def gr_betweenness(spark, d):
 
 @query("gr_feedback_arcs")
 def gr_feedback(spark, d):
-    return G.feedback_arcs(S.edges(spark, d, 100))
+    return G.feedback_arcs(S.edges(spark, d, 1))
 
 
 @query("gr_neighbors", WITH10 + ", k AS (SELECT min(src) AS id FROM edges) SELECT 'in' AS direction, src AS id FROM edges WHERE dst = (SELECT id FROM k) UNION SELECT 'out', dst FROM edges WHERE src = (SELECT id FROM k)")

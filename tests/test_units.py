@@ -91,6 +91,15 @@ def test_betweenness_of_long_paths(edges, held):
     assert dict(pairs(G.betweenness(edges([(f"{k:02}", f"{k + 1:02}") for k in range(67)])))) == {f"{k:02}": float(k * (67 - k)) for k in range(68)}
 
 
+def test_feedback_arcs_of_the_whole_table(spark, tmp_path, held):
+    from loomgraph.plans import graphs
+
+    orders = [[1, 2, 3, 1], [4, 5], [5, 4, 4], [3, 6], [9, 8, 7], [7, 9]]
+    rows = [(k + 1, i + 1, part) for k, parts in enumerate(orders) for i, part in enumerate(parts)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert pairs(graphs.gr_feedback(spark, str(tmp_path))) == {(3, 1), (5, 4), (9, 8), (8, 7)}
+
+
 def test_ranks_and_paths(edges):
     from loomgraph.operators import graph as G
 
