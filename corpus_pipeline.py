@@ -49,7 +49,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The stages on word sets, components and the network have no SQL form; tests hold them against brute force.
+#: The stages on word sets, components and the network have no SQL form; tests hold some of the operators against brute force, and the pipeline to its columns and row counts.
 ORACLE_SQL = None
 
 
