@@ -8,7 +8,9 @@ what remains is verified exactly. Equal sets are one from the start.
 
 Defined results: documents without words have no shingles and link with nothing; with
 fewer words than a shingle takes, the whole sequence is the one shingle; rows with a
-null id link with nothing and have no component; repeated rows are listed again.
+null id link with nothing and have no component; repeated rows are listed again, and
+different texts under one id are judged apart; texts of any length are taken whole; an
+empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.linking import link, prefix_length
+from loomgraph.llm.linking import HEAVY, link, prefix_length
 from loomgraph.llm.shingles import mix, parity, shingle_set
 from loomgraph.storage import cut, drop
 
@@ -82,11 +84,18 @@ def rare_first(shingles: np.ndarray, table: np.ndarray) -> np.ndarray:
     return shingles[np.argsort((often << np.uint64(40)) | (shingles >> np.uint64(24)), kind="stable")]
 
 
+def salts(shingles: np.ndarray, h1: int, table: np.ndarray, usual: int, heavy: int = HEAVY) -> np.ndarray:
+    """0, or for shingles whose counter stands out from the ``usual`` one by more than ``heavy`` one of as many salts as give each about that many documents."""
+    n = np.maximum(table[shingles & np.uint64(COUNTERS - 1)].astype(np.int64) - usual, 0) // heavy
+    return np.where(n > 0, 1 + (h1 & 0x7FFFFFFFFFFFFFFF) % (n + 1), 0).astype(np.int32)
+
+
 def _prefixes(k: int, num: int, den: int, shared):
     def run(frames):
         table, seen = shared.value, set()
+        usual = int(np.median(table))
         for pdf in frames:
-            keys, items, sizes, at = [], [], [], []
+            keys, salt, items, sizes, at = [], [], [], [], []
             for text in pdf["text"]:
                 s = shingle_set(text, k)
                 if not len(s):
@@ -94,15 +103,17 @@ def _prefixes(k: int, num: int, den: int, shared):
                 h1, h2 = set_hash(s)
                 if (h1, h2) in seen:  # equal sets need stand in the index once
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 100_000:
                     seen.add((h1, h2))
                 p = prefix_length(len(s), num, den)
-                keys.append(rare_first(s, table)[:p].view(np.int64))
+                rare = rare_first(s, table)[:p]
+                keys.append(rare.view(np.int64))
+                salt.append(salts(rare, h1, table, usual))
                 items.append(np.full(p, h1, np.int64))
                 sizes.append(np.full(p, len(s), np.int32))
                 at.append(np.arange(p, dtype=np.int32))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "item": np.concatenate(items), "size": np.concatenate(sizes), "pos": np.concatenate(at)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "salt": np.concatenate(salt), "item": np.concatenate(items), "size": np.concatenate(sizes), "pos": np.concatenate(at)})
 
     return run
 
@@ -111,9 +122,8 @@ def _sets(k: int):
     def run(frames):
         for pdf in frames:
             sets = [shingle_set(t, k) for t in pdf["text"]]
-            own = [set_hash(s)[0] == h for s, h in zip(sets, pdf["h1"])]  # another text under the same id is another item
-            out = pdf.drop(columns=["text", "h1"]).assign(shingles=[s.tobytes() for s in sets])
-            yield out[own]
+            own = [set_hash(s) == h for s, h in zip(sets, zip(pdf["h1"], pdf["h2"]))]  # another text under the same id is another node
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [s.tobytes() for s in sets]})[own]
 
     return run
 
@@ -127,16 +137,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     shared = spark.sparkContext.broadcast(count_table(scanned))
     info = scanned.filter(F.col("part").isNull()).select("doc_id", "size", "h1", "h2", "sketch")
     full = info.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    reps = cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "reps")
-    keys = src.filter(F.col("doc_id").isNotNull()).mapInPandas(_prefixes(k, num, den, shared), "key bigint, item bigint, size int, pos int")
+    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    keys = src.filter(F.col("doc_id").isNotNull()).mapInPandas(_prefixes(k, num, den, shared), "key bigint, salt int, item bigint, size int, pos int")
 
     def sets(needed: DataFrame) -> DataFrame:
-        with_hash = needed.join(reps.select("node", "h1"), "node")
-        met = with_hash.join(src.withColumnRenamed("doc_id", "node"), "node")
-        return met.select("node", "component", "blocks", "b", "h1", "text").mapInPandas(_sets(k), "node bigint, component bigint, blocks int, b int, shingles binary")
+        met = needed.join(reps.select("node", "doc_id", "h1", "h2"), "node").join(src, "doc_id")
+        return met.select("node", "h1", "h2", "text").mapInPandas(_sets(k), "node bigint, shingles binary")
 
     linked = link(keys, reps.select(F.col("h1").alias("item"), "node", "size", "sketch"), sets, num, den)
-    classes = reps.select("h1", "h2", "node").join(linked.withColumnRenamed("vertex", "node"), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    classes = reps.select("h1", "h2", "node", "doc_id").join(linked.withColumnRenamed("vertex", "node"), "node", "left")
+    least = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(least, "component", "left").select("h1", "h2", F.coalesce("least", "doc_id").alias("component"))
     out = full.select("doc_id", "size", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
     rest = info.filter((F.col("size") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)

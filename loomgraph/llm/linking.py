@@ -1,23 +1,28 @@
 """Sets that overlap enough, linked into classes without ever listing all pairs.
 
-Shared by the n-gram join and by substring dedup. Given rows (key, item, size, pos) that
-say which items a key brings together, and a sketch of each item's set:
-
-1. keys are dealt and sorted; one task streams each key's items in order of size, drops
-   those without a partner that length and position allow, and emits what is left as
-   lists (long ones as pairs of blocks); equal lists, which near copies make by the
-   dozen, stay one;
+Shared by the n-gram join and by substring dedup. Given rows (key, salt, item, size, pos)
+that say which items a key brings together, and a sketch of each item's set:
+
+1. keys are dealt and sorted; a task streams each key's items in order of size, drops
+   those without a partner that length and position allow, and emits what is left as a
+   list; equal lists, which near copies make by the dozen, stay one. The items of a hot
+   key (more than two blocks of them, or one dealt over several tasks by its salt) become
+   a star instead: one row each;
 2. lists meet the items' sketches; within a list, pairs whose sketches differ in more
    bits than the threshold lets the sets differ in fall (the suffix filter's lower
-   bound); of the rest a spanning forest is emitted. No linked pair is lost, as the
-   bounds are exact;
-3. components of that forest are verified: each one's sets meet in blocks, every
-   remaining pair that could still join two classes is compared exactly, and a forest of
-   true links is emitted, whose components are the result.
+   bound); of the rest a spanning forest is emitted. Stars go into it as they are. No
+   linked pair is lost: its two sets are in one component of what remains;
+3. components are verified. Each one's sets are dealt into blocks, all pairs of a block
+   and all pairs with a few hubs of the component are compared exactly, and a forest of
+   true links is emitted. Components of several blocks are then dealt again by the classes
+   found so far and by size: blocks meet blocks, but neither those of one class nor those
+   too different in size, so near copies by the thousand cost no pairs of blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,8 +32,8 @@ from loomgraph.llm.components import components, stars
 from loomgraph.llm.shingles import fold
 from loomgraph.storage import cut, drop
 
-#: most items in a list's block; shingles that a verifying task's block should have
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: sets of a block; shingles that a block should have; hubs of a component of several blocks; rows of a key that one task takes
+BLOCK, BLOCK_SHINGLES, HUBS, HEAVY = 512, 2_000_000, 4, 200_000
 
 
 def overlap_needed(a, b, num: int, den: int):
@@ -41,9 +46,15 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
+def _runs(*keys: np.ndarray) -> np.ndarray:
     """Starts of runs of equal keys, and the end."""
-    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+    n = len(keys[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    new = np.zeros(n - 1, bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [n]])
 
 
 def _partners(size: np.ndarray, pos: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -61,82 +72,95 @@ def _partners(size: np.ndarray, pos: np.ndarray, num: int, den: int) -> np.ndarr
     return keep
 
 
-def _stream(frames, columns: list[str], handle):
-    """Calls ``handle`` for each run of equal first columns in sorted frames; a run may span frames."""
+def _stream(frames, columns: list[str], handle, most: int | None = None, keys: int = 1):
+    """Calls ``handle`` for each run of equal first ``keys`` columns in sorted frames; a run may span frames, but is cut at ``most`` rows or more."""
     held: list[pd.DataFrame] = []
+
+    def call(parts: list[pd.DataFrame]) -> None:
+        whole = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        handle(*(whole[c].to_numpy() for c in columns))
+
     for pdf in frames:
         if not len(pdf):
             continue
-        if held and held[-1][columns[0]].iat[-1] != pdf[columns[0]].iat[0]:
-            whole = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            handle(*(whole[c].to_numpy() for c in columns))
+        if held and any(held[-1][c].iat[-1] != pdf[c].iat[0] for c in columns[:keys]):
+            call(held)
             held = []
-        bounds = _runs(pdf[columns[0]].to_numpy())
+        bounds = _runs(*(pdf[c].to_numpy() for c in columns[:keys]))
         if len(bounds) == 2:
             held.append(pdf)
-            continue
-        first, *_ = bounds[1:]
-        whole = pd.concat([*held, pdf.iloc[:first]], ignore_index=True) if held else pdf.iloc[:first]
-        handle(*(whole[c].to_numpy() for c in columns))
-        arrays = [pdf[c].to_numpy() for c in columns]
-        for a, b in zip(bounds[1:-2], bounds[2:-1]):
-            if b - a > 1:
-                handle(*(x[a:b] for x in arrays))
-        held = [pdf.iloc[bounds[-2] :]]
+        else:
+            first, *_ = bounds[1:]
+            call([*held, pdf.iloc[:first]])
+            arrays = [pdf[c].to_numpy() for c in columns]
+            for a, b in zip(bounds[1:-2], bounds[2:-1]):
+                if b - a > 1:
+                    handle(*(x[a:b] for x in arrays))
+            held = [pdf.iloc[bounds[-2] :]]
+        if most and sum(map(len, held)) >= most:
+            call(held)
+            held = []
         yield
     if held:
-        whole = pd.concat(held, ignore_index=True)
-        handle(*(whole[c].to_numpy() for c in columns))
+        call(held)
     yield
 
 
-def _lists(num: int, den: int, block: int):
+def _none(n: int) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(np.zeros(n, np.int64), np.ones(n, bool))
+
+
+LISTS = "list bigint, item bigint, hub bigint, key bigint"
+
+
+def _lists(num: int, den: int, block: int, most: int = HEAVY):
+    """Lists (list, item), and the stars of hot keys (key, item, hub). A key of over ``most`` rows is taken in parts, which are stars."""
+
     def run(frames):
-        out, seen = [], set()
+        lists, hot, seen, parts = [], [], set(), [None]
 
         def put(items: np.ndarray) -> None:
             items = np.unique(items)
             name = hash(items.tobytes()) & 0x7FFFFFFFFFFFFFFF
             if name not in seen:
                 seen.add(name)
-                out.append((np.full(len(items), name, np.int64), items))
+                lists.append((np.full(len(items), name, np.int64), items))
+
+        def star(key: int, items: np.ndarray) -> None:
+            hot.append((np.full(len(items), key, np.int64), items, np.full(len(items), items[0], np.int64)))
 
-        def handle(key, item, size, pos):
-            if len(item) == 2:
+        def handle(key, salt, item, size, pos):
+            part = len(key) >= most or parts[0] == (key[0], salt[0])
+            parts[0] = (key[0], salt[0]) if len(key) >= most else None
+            if len(item) == 2 and not salt[0] and not part:
                 if item[0] != item[1] and 1 + min(size[0] - pos[0], size[1] - pos[1]) - 1 >= overlap_needed(int(size[0]), int(size[1]), num, den) and size[0] * den >= size[1] * num:
                     put(item)
                 return
-            if len(item) < 2:
+            if len(item) < 2 and not salt[0] and not part:
                 return
             first = np.sort(np.unique(item, return_index=True)[1])
             item, size, pos = item[first], size[first], pos[first]
-            keep = _partners(size, pos, num, den)
-            item, size = item[keep], size[keep]
-            if len(item) <= 2 * block:
-                if len(item) > 1:
-                    put(item)
+            if salt[0] or part or len(item) > 2 * block:
+                star(key[0], item)
                 return
-            at = range(0, len(item), block)
-            for a in at:
-                alone = True
-                for b in at:
-                    if a < b and size[min(a + block, len(item)) - 1] * den >= size[b] * num:
-                        put(np.concatenate([item[a : a + block], item[b : b + block]]))
-                        alone = False
-                # its own pairs, where no list with the next block has them
-                if alone and a + 1 < len(item):
-                    put(item[a : a + block])
+            keep = _partners(size, pos, num, den)
+            if keep.sum() > 1:
+                put(item[keep])
 
         def drain():
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
-            lists, items = zip(*out)
-            out.clear()
-            return pd.DataFrame({"list": np.concatenate(lists), "item": np.concatenate(items)})
-
-        for _ in _stream(frames, ["key", "item", "size", "pos"], handle):
-            if out:
-                yield drain()
+            if lists:
+                name, item = (np.concatenate(x) for x in zip(*lists))
+                lists.clear()
+                yield pd.DataFrame({"list": name, "item": item, "hub": _none(len(item)), "key": _none(len(item))})
+            if hot:
+                key, item, hub = (np.concatenate(x) for x in zip(*hot))
+                hot.clear()
+                yield pd.DataFrame({"list": _none(len(item)), "item": item, "hub": hub, "key": key})
+
+        for _ in _stream(frames, ["key", "salt", "item", "size", "pos"], handle, most, 2):
+            yield from drain()
 
     return run
 
@@ -202,21 +226,21 @@ def _filter(num: int, den: int):
 
 
 def _verify(num: int, den: int):
+    """Forest of the true links of a group (node, class, side, shingles): of nodes of side 0 with all, else of nodes of different sides; never within a class."""
     from loomgraph.llm.shingles import parity
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i0, j0 = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
         pdf = pdf.drop_duplicates("node")
         sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
         size = np.array([len(s) for s in sets], np.int64)
         order = np.lexsort((pdf["node"].to_numpy(), size))
         sets, size = [sets[k] for k in order], size[order]
-        node, left = pdf["node"].to_numpy()[order], pdf["b"].to_numpy()[order] == i0
+        node, side = pdf["node"].to_numpy()[order], pdf["side"].to_numpy()[order]
         near = _Near(size, [parity(s) for s in sets], num, den)
-        group, edges = np.arange(len(node)), []
+        group, edges = np.unique(pdf["class"].to_numpy()[order], return_inverse=True)[1], []
         for i in range(len(node) - 1):
             j = near.behind(i)
-            j = j[(group[j] != group[i]) & ((left[j] != left[i]) | (i0 == j0))]
+            j = j[(group[j] != group[i]) & ((side[j] != side[i]) | (side[j] == 0))]
             for k in range(0, len(j), 64):
                 part = j[k : k + 64]
                 part = part[group[part] != group[i]]
@@ -235,25 +259,80 @@ def _verify(num: int, den: int):
     return run
 
 
+EDGE = "a bigint, b bigint"
+
+
+def salted(keys: DataFrame, most: int = HEAVY) -> DataFrame:
+    """``keys`` (key, item, ...) with a salt: 0, or for keys of over ``most`` rows one of as many as give each about that many."""
+    heavy = cut(keys.groupBy("key").count().filter(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("n")), "heavy")
+    if heavy.isEmpty():
+        return keys.withColumn("salt", F.lit(0))
+    return keys.join(heavy, "key", "left").withColumn("salt", F.coalesce(1 + F.pmod(F.xxhash64("item"), "n"), F.lit(0)).cast("int")).drop("n")
+
+
+def _candidates(keys: DataFrame, sketches: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(vertex, component) of what keys bring together and the cheap filters leave."""
+    dealt = keys.select("key", "salt", "item", "size", "pos").repartition("key", "salt").sortWithinPartitions("key", "salt", "size", "item")
+    lists = cut(dealt.mapInPandas(_lists(num, den, block), LISTS), "lists")
+    met = lists.filter("list IS NOT NULL").select("list", "item").distinct().join(sketches, "item").select("list", "node", "size", "sketch")
+    edges = met.repartition("list").sortWithinPartitions("list", "size", "node").mapInPandas(_filter(num, den), EDGE)
+    hot = lists.filter("key IS NOT NULL")
+    if not hot.isEmpty():
+        # the parts of a key have a hub each; hubs hang together by the least of the key's
+        hubs = hot.select("key", "hub").distinct()
+        top = hubs.groupBy("key").agg(F.min("hub").alias("top"))
+        pairs = hot.select(F.col("item").alias("x"), F.col("hub").alias("y")).unionByName(hubs.join(top, "key").select(F.col("hub").alias("x"), F.col("top").alias("y"))).filter("x <> y").distinct()
+        ids = sketches.select("item", "node")
+        pairs = pairs.join(ids.select(F.col("item").alias("x"), F.col("node").alias("a")), "x").join(ids.select(F.col("item").alias("y"), F.col("node").alias("b")), "y")
+        edges = edges.unionByName(pairs.select("a", "b"))
+    out = components(edges)
+    drop(lists)
+    return out
+
+
 def link(keys: DataFrame, sketches: DataFrame, sets, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """(vertex, component) of every node that is linked with another.
 
-    ``keys``: (key, item, size, pos) bigint, bigint, int, int; ``sketches``: (item, node,
-    size, sketch); ``sets``: takes (node, ...) rows and returns them with ``shingles``,
-    the sorted 64-bit hashes of the node's set. Two nodes link when den * intersection
-    >= num * union.
+    ``keys``: (key, salt, item, size, pos), bigint, int, bigint, int, int; ``sketches``:
+    (item, node, size, sketch), one row a node; ``sets``: takes rows (node) and returns
+    (node, shingles), the sorted 64-bit hashes of the node's set. Two nodes link when
+    den * intersection >= num * union.
     """
-    dealt = keys.repartition("key").sortWithinPartitions("key", "size", "item")
-    lists = cut(dealt.mapInPandas(_lists(num, den, block), "list bigint, item bigint"), "lists")
-    met = lists.distinct().join(sketches, "item").select("list", "node", "size", "sketch")
-    dealt = met.repartition("list").sortWithinPartitions("list", "size", "node")
-    maybe = components(dealt.mapInPandas(_filter(num, den), "a bigint, b bigint"))
-    maybe = cut(maybe.join(sketches.select(F.col("node").alias("vertex"), "size"), "vertex"), "maybe")
-    room = maybe.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    parts = maybe.join(room, "component").withColumn("b", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
-    filled = sets(parts.select(F.col("vertex").alias("node"), "component", "blocks", "b"))
-    pairs = filled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "shingles")
-    true = cut(pairs.groupBy("component", "i", "j").applyInPandas(_verify(num, den), "a bigint, b bigint"), "true")
-    out = components(true)
-    drop(lists, maybe)
+    found = _candidates(keys, sketches, num, den, block)
+    maybe = cut(found.join(sketches.select(F.col("node").alias("vertex"), "size"), "vertex").withColumnRenamed("vertex", "node"), "maybe")
+    room = cut(maybe.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "room")
+    full = cut(sets(maybe.select("node")).select("node", "shingles"), "sets")
+
+    placed = maybe.join(room, "component").select("component", "node", "blocks")
+    own = placed.select("node", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b"))
+    first = placed.filter("blocks > 1").groupBy("component", "blocks").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.greatest((F.col("blocks") * block / 64).cast("bigint"), F.lit(1))) == 0, F.col("node")))), 1, HUBS).alias("h"))
+    hubs = first.select("component", "blocks", F.explode("h").alias("node")).select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    dealt = own.unionByName(hubs).distinct().join(full, "node").select("component", "b", "node", F.col("node").alias("class"), F.lit(0).alias("side"), "shingles")
+    true = cut(dealt.groupBy("component", "b").applyInPandas(_verify(num, den), EDGE), "true")
+    many = room.filter("blocks > 1")
+    if many.isEmpty():
+        out = components(true)
+        drop(maybe, room, full, true)
+        return out
+
+    # components of several blocks, by the classes so far: bands of size, and parts of a block's size in them
+    wide = maybe.join(many.select("component"), "component", "left_semi")
+    so_far = components(true.join(wide.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
+    band = F.floor(F.log(F.col("size").cast("double")) / (math.log(den / num) * 1.000001)).cast("int")  # linked sets are of one band or two next to each other
+    units = wide.join(so_far.select(F.col("vertex").alias("node"), F.col("component").alias("class")), "node", "left").select("node", "component", "size", F.coalesce("class", "node").alias("class"), band.alias("band"))
+    big = units.groupBy("component", "band", "class").count().filter(F.col("count") >= max(2, block // 2)).select("component", "band", "class", F.lit(True).alias("big"))
+    units = cut(units.join(big, ["component", "band", "class"], "left").withColumn("g", F.when(F.col("big"), F.col("class"))).drop("big"), "units")
+    parts = units.groupBy("component", "band", "g").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    uid = F.xxhash64("component", "band", F.col("g").isNull(), "g", F.pmod(F.xxhash64("node", F.lit(2)), "parts"))
+    units = cut(units.alias("u").join(parts.alias("p"), (F.col("u.component") == F.col("p.component")) & (F.col("u.band") == F.col("p.band")) & F.col("u.g").eqNullSafe(F.col("p.g"))).select("u.component", "u.band", "u.g", "node", "class", "parts").select("component", "band", "g", "node", "class", uid.alias("uid")), "blocks")
+    each = units.select("component", "band", "g", "uid").distinct()
+    x = each.select("component", "band", F.col("g").alias("gx"), F.col("uid").alias("ux"), F.explode(F.array("band", F.col("band") + 1)).alias("met"))
+    y = each.select("component", F.col("band").alias("met"), F.col("g").alias("gy"), F.col("uid").alias("uy"))
+    apart = ~F.coalesce(F.col("gx") == F.col("gy"), F.lit(False))
+    meets = cut(x.join(y, ["component", "met"]).filter(((F.col("band") < F.col("met")) | (F.col("ux") <= F.col("uy"))) & apart).select("ux", "uy"), "meets")
+    left = meets.join(units, F.col("ux") == F.col("uid")).select("ux", "uy", "node", "class", F.when(F.col("ux") == F.col("uy"), 0).otherwise(1).alias("side"))
+    right = meets.filter("ux <> uy").join(units, F.col("uy") == F.col("uid")).select("ux", "uy", "node", "class", F.lit(2).alias("side"))
+    again = left.unionByName(right).join(full, "node").groupBy("ux", "uy").applyInPandas(_verify(num, den), EDGE)
+    out = components(true.unionByName(cut(again, "true")))
+    drop(maybe, room, full, units, meets)
     return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.jaccard import set_hash
-from loomgraph.llm.linking import link
+from loomgraph.llm.linking import link, salted
 from loomgraph.llm.shingles import mix, parity, run_hashes, shingle_hashes, word_hashes
 from loomgraph.storage import cut
 
@@ -155,9 +155,9 @@ def _sets(k: int, least: int):
                 own = {start: s for start, _, s in paragraphs(text, k, least)}
                 for x in needed:
                     s = np.unique(own[x["start"]]) if x["start"] in own else None
-                    if s is not None and set_hash(s)[0] == x["h1"]:
-                        out.append((x["node"], x["component"], x["blocks"], x["b"], s.tobytes()))
-            yield pd.DataFrame(out, columns=["node", "component", "blocks", "b", "shingles"])
+                    if s is not None and set_hash(s) == (x["h1"], x["h2"]):
+                        out.append((x["node"], s.tobytes()))
+            yield pd.DataFrame(out, columns=["node", "shingles"])
 
     return run
 
@@ -170,12 +170,12 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     first = F.min(F.struct("doc_id", "start", "pid"))
     reps = info.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     reps = cut(reps.select("h1", "h2", "n", "size", "sketch", "bands", F.col("f.pid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start")), "reps")
-    keys = reps.select(F.explode("bands").alias("key"), F.col("h1").alias("item"), "size", F.lit(0).alias("pos"))
+    keys = salted(reps.select(F.explode("bands").alias("key"), F.col("h1").alias("item"), "size", F.lit(0).alias("pos")))
 
     def sets(needed: DataFrame) -> DataFrame:
-        at = needed.join(reps.select("node", "doc_id", "start", "h1"), "node")
-        at = at.groupBy("doc_id").agg(F.collect_list(F.struct("node", "component", "blocks", "b", "start", "h1")).alias("needed"))  # a document's own lines
-        return docs.join(at, "doc_id").select("text", "needed").mapInPandas(_sets(k, least), "node bigint, component bigint, blocks int, b int, shingles binary")
+        at = needed.join(reps.select("node", "doc_id", "start", "h1", "h2"), "node")
+        at = at.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "h1", "h2")).alias("needed"))  # a document's own lines
+        return docs.join(at, "doc_id").select("text", "needed").mapInPandas(_sets(k, least), "node bigint, shingles binary")
 
     linked = link(keys, reps.select(F.col("h1").alias("item"), "node", "size", "sketch"), sets, num, den)
     classes = reps.join(linked.withColumnRenamed("vertex", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))

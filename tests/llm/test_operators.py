@@ -150,16 +150,41 @@ def test_jaccard_hot_groups_in_blocks(spark):
     assert rows == brute_classes(texts, 3, 9, 10)[0]
 
 
-def test_lists_of_blocks_between_which_sizes_step():
-    from loomgraph.llm import linking
+def test_jaccard_nested_sizes_in_small_blocks(spark):
+    """Near copies in three sizes of one text, and texts that make the additions common: links within each size survive blocks of any size."""
+    from loomgraph.llm import jaccard, linking
+
+    rng = random.Random(5)
+    base, common = prose(rng, 150).split(), prose(rng, 750).split()
+    texts = []
+    for more in (0, 100, 750):
+        for _ in range(6):
+            w = list(base)
+            w[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+            texts.append((len(texts), " ".join(w + common[:more])))
+    texts += [(100 + i, " ".join(common + prose(rng, 300).split())) for i in range(20)]
+    texts.append((3, prose(rng, 60)))  # another text under an id
+    want = brute_classes([t for t in texts if t[1] != texts[-1][1]], 3, 9, 10)[0]
+    small = linking.link.__defaults__
+    for block in (2, 4, 512):
+        linking.link.__defaults__ = (block,)
+        try:
+            rows = jaccard.jaccard_classes(docs_of(spark, texts), 3, 9, 10).collect()
+        finally:
+            linking.link.__defaults__ = small
+        assert sorted((r.doc_id, r.component_id) for r in rows) == sorted([*want.items(), (3, 3)])
 
-    def pairs(block, sizes):
-        rows = pd.DataFrame({"key": 1, "item": range(len(sizes)), "size": sizes, "pos": 0})
-        lists = pd.concat(linking._lists(9, 10, block)(iter([rows])))
-        return {(a, b) for _, g in lists.groupby("list") for a in g["item"] for b in g["item"] if a < b and sizes[b] * 9 <= sizes[a] * 10}
 
-    for sizes in ([20] * 4 + [200] * 6, [20] * 8 + [200] * 4, [20] * 4 + [100] * 4 + [200] * 4, [20] * 9, [20] * 4 + [200] * 5):
-        assert pairs(4, sizes) == pairs(100, sizes)
+def test_hot_key_gives_rows_in_proportion():
+    from loomgraph.llm import linking
+
+    sizes = [20] * 10_000 + [200] * 10_000
+    rows = pd.DataFrame({"key": 1, "salt": 0, "item": range(len(sizes)), "size": sizes, "pos": 0})
+    for most in (1000, 200_000):
+        made = pd.concat(linking._lists(9, 10, 512, most)(iter(rows.iloc[i : i + 777] for i in range(0, len(rows), 777))))
+        assert len(made) <= 1.1 * len(rows) and set(made["item"]) == set(rows["item"]) and made["list"].isna().all()
+    rows["salt"] = 1  # part of a key: even a single row is kept
+    assert len(pd.concat(linking._lists(9, 10, 512)(iter([rows.iloc[:1]])))) == 1
 
 
 def test_substring(spark, odd):
