@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import jaccard, packing, quality, secrets, substring
-from loomgraph.storage import cut
+from loomgraph.storage import cut, drop
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +49,16 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The stages on word sets, components and the network have no SQL form; tests hold some of the operators against brute force, and the pipeline to its columns and row counts.
+#: The stages on word sets, components and the network have no SQL form; tests hold the pipeline's rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if done is not None:
+            drop(done)
+        done = docs
     return docs
