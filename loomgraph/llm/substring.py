@@ -1,6 +1,6 @@
 """Substring dedup: repeated passages across documents, found by paragraph MinHash and anchored windows.
 
-Paragraphs are lines of enough words. Each one's five-word shingles give a MinHash
+Paragraphs are lines of enough words, or runs of shorter ones. Each one's five-word shingles give a MinHash
 signature whose bands bring similar paragraphs together; colliding ones are verified by
 exact Jaccard similarity and clustered by connected components; the first paragraph of a
 cluster stays. Passages inside longer lines surface as short paragraphs of their own:
@@ -8,9 +8,12 @@ windows of WINDOW words that begin at anchors, words whose hash is the smallest
 RADIUS words on both sides or in a run of places in a passage of SHARED words, so that
 equal passages of that length have an equal window wherever they stand. A window's only band is its whole hash. Its first document keeps it.
 
+Hashes are of words with A-Z lower-cased, so passages that differ in case alone are equal.
+
 Defined results: null and empty texts have no paragraphs; rows with a null id are left
 as they are; equal texts under different ids repeat each other, and rows that repeat an
-id too are judged as one document; other columns are left alone.
+id too are judged as one document; texts of any length are taken whole; an empty table
+gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -40,13 +43,38 @@ def tune_bands(threshold: float, recall: float = 0.99, rows: int = 2) -> int:
 
 
 def paragraphs(text: str | None, k: int = 5, least: int = MIN_WORDS) -> list[tuple[int, int, np.ndarray]]:
-    """(first word, words, hashes of its k-word shingles) of each line with at least ``least`` words, of which there are k or more."""
+    """(first word, words, hashes of its k-word shingles) of each line with at least ``least`` words, of which there are k or more.
+
+    Neighbouring shorter lines are joined: a paragraph of them ends, once it is long
+    enough, before a line that its own words choose, so that equal lines after different
+    ones soon fall into equal paragraphs; what is left at the end goes to the one before.
+    """
     h, starts, _ = word_hashes(text, spans=True)
     if len(h) < least:
         return []
     raw, all_shingles = np.frombuffer((text or "").encode(), np.uint8), shingle_hashes(h, k)
     edge = [0, *np.searchsorted(starts, np.flatnonzero(raw == 10)).tolist(), len(h)]
-    return [(a, b - a, all_shingles[a : b - k + 1]) for a, b in zip(edge, edge[1:]) if b - a >= least]
+    out: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []  # paragraphs of the short lines in hand
+
+    def close() -> None:
+        if len(run) > 1 and run[-1][1] - run[-1][0] < least:
+            run[-2:] = [(run[-2][0], run[-1][1])]
+        out.extend(x for x in run if x[1] - x[0] >= least)
+        run.clear()
+
+    for a, b in zip(edge, edge[1:]):
+        if b - a >= least:
+            close()
+            out.append((a, b))
+        elif b > a:
+            long_enough = run and run[-1][1] - run[-1][0] >= least
+            if not run or long_enough and (int(h[a] ^ h[b - 1]) & 1 or run[-1][1] - run[-1][0] >= 4 * least):
+                run.append((a, b))
+            else:
+                run[-1] = (run[-1][0], b)
+    close()
+    return [(a, b - a, all_shingles[a : b - k + 1]) for a, b in out]
 
 
 def anchors(h: np.ndarray, window: int = WINDOW, radius: int = RADIUS) -> np.ndarray:
