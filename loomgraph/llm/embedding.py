@@ -1,17 +1,20 @@
-"""Embedding near-duplicates: cells by spherical k-means, exact cosines within cells.
-
-Equal directions are collapsed first. Centres are trained on a bounded sample; every
-vector is then assigned. A pair in two cells has the plane between their centres in
-its middle, so one of the two lies within half the search radius of it, and is sent to
-the other's cell too, as a guest: every pair with cosine >= the threshold meets in a
-cell, whatever the centres are, and is counted in one. How many cells pay, the sample
-tells: where vectors have no clusters, more cells only mean more guests. Cells of any size are compared in blocks; tasks return counts and a
-spanning forest, never the pairs.
-
-Defined results: vectors that are null, zero, of another width than most, or hold null
-or non-finite components link with nothing and are kept; rows with equal vectors are
-linked; a repeated vec_id is one vector for each of its rows; an empty table gives an
-empty result.
+"""Embedding near-duplicates: cells by spherical k-means, cosines within cells.
+
+Equal directions are collapsed first. About half as many centres as the square root of
+the vectors are trained on a bounded sample; every vector is then assigned to the nearest.
+A pair in two cells has the plane between their centres in its middle. A vector so near to
+a plane that a step of the search radius may cross it is sent to the other cell too, as a
+guest, so the pair meets there; it is counted in one cell. A step in any of d dimensions
+moves along the plane's normal by the radius over the square root of d, as a standard
+deviation; SIGMAS of these are allowed for, and never more than the radius itself, which
+makes the search exact up to SIGMAS squared dimensions. Recall against brute force is
+tested. Cells of any size are compared in blocks; tasks return counts and a spanning
+forest, never the pairs.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components link
+with nothing and are kept; vectors of different widths don't link; rows with equal vectors
+are linked; a repeated vec_id is one vector for each of its rows; an empty table gives an
+empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.components import components, stars
 from loomgraph.storage import cut
 
-#: sample rows for training; most centres; vectors a cell should have; rows of a block
-SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK = 10_000, 2048, 256, 4096
+#: sample rows for training; most centres; rows of a block; deviations of a step across a plane
+SAMPLE, MOST_CELLS, BLOCK, SIGMAS = 10_000, 2048, 4096, 3.0
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -48,58 +51,55 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> n
     return c
 
 
-def _clean(vectors: DataFrame, dim: int) -> DataFrame:
+def _clean(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of usable vectors."""
     v = F.col("embedding")
-    fine = v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.filter(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"))
 
 
-def _unit(values) -> np.ndarray:
-    x = np.stack([np.asarray(a, dtype=np.float64) for a in values])
-    x = x / np.abs(x).max(1)[:, None]  # so that squares neither vanish nor overflow
+def _unit(values, dim: int) -> np.ndarray:
+    """Unit rows; shorter vectors are filled up with zeros."""
+    x = np.zeros((len(values), dim))
+    for row, a in zip(x, values):
+        row[: len(a)] = a
+    x /= np.abs(x).max(1)[:, None]  # so that squares neither vanish nor overflow
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _cells(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each unit row's home cell, and which others it visits: those whose plane between the centres is within half the radius."""
-    gap = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+def reach(radius: float, dim: int, sigmas: float = SIGMAS) -> float:
+    """How far a step of ``radius`` is taken to go along a plane's normal."""
+    return radius * min(1.0, sigmas / math.sqrt(dim))
+
+
+def _cells(x: np.ndarray, centres: np.ndarray, gap: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit row's home cell, and which others it visits: those whose plane between the centres (``gap`` apart) is within half the step."""
     scores = x @ centres.T
     home = scores.argmax(1)
-    near = scores[np.arange(len(x)), home][:, None] - scores <= radius / 2 * gap[home] + 1e-9
+    near = scores[np.arange(len(x)), home][:, None] - scores <= step / 2 * gap[home] + 1e-9
     near[np.arange(len(x)), home] = False
     return home, near
 
 
-#: estimated seconds for a comparison, and for sending a vector to a block
-PAIR_S, SEND_S = 2e-8, 1e-5
-
+def gaps(centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
 
-def choose_cells(x: np.ndarray, radius: float, most_cells: int, cell_rows: int, total: int, block: int) -> np.ndarray:
-    """The centres, of those for 1, 2, 4, ... cells, that the sample ``x`` expects to cost ``total`` vectors least.
 
-    More cells leave fewer comparisons and cause more visits; which wins depends on how
-    clustered the vectors are and how many there are. Results are the same for any choice.
-    """
-    best, least, k = np.zeros((1, x.shape[1])), math.inf, 1
-    while k <= max(1, min(most_cells, total // cell_rows, len(x) // 4)):
-        centres = spherical_kmeans(x, k) if k > 1 else best
-        home, near = _cells(x, centres, radius)
-        here, visits = np.bincount(home, minlength=k) / len(x), near.mean(0)
-        sends = (here + visits) * total
-        cost = PAIR_S * total**2 * float((here * (here / 2 + visits)).sum()) + SEND_S * float((sends * np.ceil(sends / block)).sum())
-        if cost < least:
-            best, least = centres, cost
+def cells_for(n: int, most_cells: int = MOST_CELLS) -> int:
+    """A power of two about half the square root of ``n``; one only for fewer than 16 vectors."""
+    k = 1
+    while k < most_cells and (2 * k) ** 2 * 4 <= n:
         k *= 2
-    return best
+    return k
 
 
-def _guests(centres: np.ndarray, radius: float, rows: int = 1000):
+def _guests(centres: np.ndarray, step: float, rows: int = 1000):
     def run(frames):
+        gap = gaps(centres)
         for pdf in frames:
             for at in range(0, len(pdf), rows):
                 part = pdf.iloc[at : at + rows]
-                home, near = _cells(_unit(part["v"]), centres, radius)
+                home, near = _cells(_unit(part["v"], centres.shape[1]), centres, gap, step)
                 row, cell = np.nonzero(near)
                 row = np.concatenate([np.arange(len(part)), row])
                 lower = [np.flatnonzero(near[i, : home[i]]).astype(np.int32) for i in range(len(part))]
@@ -111,7 +111,7 @@ def _guests(centres: np.ndarray, radius: float, rows: int = 1000):
     return run
 
 
-def _compare(threshold: float, cells: int):
+def _compare(threshold: float, cells: int, dim: int):
     """Pairs within a cell's block, or between two blocks: per vector its links (weighed by copies), and forest edges."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,15 +127,15 @@ def _compare(threshold: float, cells: int):
             for k, lower in enumerate(side["lower"]):
                 if lower is not None and home[k] == cell:
                     visits[k, np.asarray(lower, int)] = True
-            parts.append((home, visits, side["rep"].to_numpy(), side["n"].to_numpy()))
-        (ha, va, ra, na), (hb, vb, rb, nb) = parts
+            parts.append((home, visits, side["rep"].to_numpy(), side["n"].to_numpy(), side["v"].map(len).to_numpy()))
+        (ha, va, ra, na, wa), (hb, vb, rb, nb, wb) = parts
         ga, gb = ha != cell, hb != cell
-        a, b = _unit(left["v"]), _unit(right["v"]).T
+        a, b = _unit(left["v"], dim), _unit(right["v"], dim).T
         links_a, links_b, out = np.zeros(len(a)), np.zeros(b.shape[1]), []
         for k in range(0, len(a), 512):  # in strips, so that a block of copies needs little memory
             x, y = np.nonzero(a[k : k + 512] @ b >= threshold)
             x += k
-            good = ~(ga[x] & gb[y])  # two guests meet elsewhere
+            good = ~(ga[x] & gb[y]) & (wa[x] == wb[y])  # two guests meet elsewhere
             # a pair whose two members visit each other counts in the lower of their cells
             good &= ~(va[x, hb[y]] & gb[y]) & ~(vb[y, ha[x]] & ga[x])
             if i == j:
@@ -153,29 +153,28 @@ def _compare(threshold: float, cells: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE, most_cells: int = MOST_CELLS, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE, most_cells: int = MOST_CELLS, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
     src = vectors.select("vec_id", "embedding")
-    widths = src.groupBy(F.size("embedding").alias("d")).count().filter("d > 0").orderBy(F.desc("count"), "d").first()
-    if widths is None:
-        return src.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = _clean(src, widths["d"])
+    good = _clean(src)
     # equal vectors: one row for all, with their number and smallest id
     key = F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256)
     keyed = cut(good.select("vec_id", key.alias("key"), "v"), "vectors")
     reps = cut(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v")), "reps")
-    total = reps.count()
+    total, dim = reps.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not total:
+        return src.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     train = [r["v"] for r in reps.orderBy(F.xxhash64("rep")).select("v").limit(sample).collect()]
     # |x - y| for two unit vectors with this cosine
-    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    centres = choose_cells(_unit(train), radius, most_cells, cell_rows, total, block) if train else np.zeros((1, widths["d"]))
+    step = reach(float(np.sqrt(max(0.0, 2 - 2 * threshold))), dim, sigmas)
+    centres = spherical_kmeans(_unit(train, dim), cells_for(total, most_cells))
     kind = keyed.schema["v"].dataType.simpleString()
-    cells = reps.select("rep", "n", "v").mapInPandas(_guests(centres, radius), f"cell int, home int, lower array<int>, rep bigint, n bigint, v {kind}")
+    cells = reps.select("rep", "n", "v").mapInPandas(_guests(centres, step), f"cell int, home int, lower array<int>, rep bigint, n bigint, v {kind}")
     cells = cut(cells, "cells")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks"))  # at most ``most_cells`` rows
     placed = cells.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select("cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "home", "lower", "rep", "n", "v")
-    found = cut(pairs.groupBy("cell", "i", "j").applyInPandas(_compare(threshold, len(centres)), "a bigint, b bigint, links bigint"), "links")
+    found = cut(pairs.groupBy("cell", "i", "j").applyInPandas(_compare(threshold, len(centres), dim), "a bigint, b bigint, links bigint"), "links")
     links = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(found.filter("a <> b").select("a", "b")).select(F.col("vertex").alias("rep"), "component")
     classes = reps.select("key", "rep", "n").join(links, "rep", "left").join(groups, "rep", "left")

@@ -240,7 +240,7 @@ def test_embeddings_against_brute_force(spark):
         rows.append([float(x) for x in v])
     rows += [rows[0], rows[0], [0.0] * 16, None, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1e-200] + [0.0] * 15, [1.0] * 5]
     df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")
-    got = {r.vec_id: r for r in embedding.near_duplicates(df, cell_rows=20, block=16).collect()}
+    got = {r.vec_id: r for r in embedding.near_duplicates(df, block=16, sigmas=4).collect()}
     assert len(got) == len(rows)
     good = [i for i, v in enumerate(rows) if v and len(v) == 16 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     x = np.array([rows[i] for i in good])
@@ -264,6 +264,35 @@ def test_embeddings_against_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (links.get(i, 0), find(i), find(i) == i), i
 
 
+def test_embedding_recall_in_many_dimensions():
+    from loomgraph.llm import embedding as E
+
+    assert [E.cells_for(n) for n in (1, 15, 16, 2000, 51_282, 10**9)] == [1, 1, 2, 16, 64, 2048]
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    turn = rng.normal(size=base.shape)
+    turn -= (turn * base).sum(1)[:, None] * base
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    x = np.concatenate([base, 0.905 * base + np.sqrt(1 - 0.905**2) * turn])  # pairs just above the threshold
+    centres = E.spherical_kmeans(x, E.cells_for(len(x)))
+    home, near = E._cells(x, centres, E.gaps(centres), E.reach(np.sqrt(0.2), 64))
+    near[np.arange(len(x)), home] = True
+    i, j = np.arange(1500), np.arange(1500) + 1500
+    assert (near[i, home[j]] | near[j, home[i]]).mean() > 0.99 and len(set(home)) > 8
+
+
+def test_embedding_widths_and_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm import embedding
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.05])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("v", F.lit("x")).withColumn("rep", F.lit(0))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3)}
+
+
 def test_empty_tables(spark):
     from loomgraph.llm import chat, embedding, jaccard, licenses, packing, pieces, quality, scoring, secrets, substring
 
