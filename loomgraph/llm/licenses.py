@@ -1,17 +1,20 @@
 """License scans: candidate blocks compressed with each template as a raw zstandard dictionary.
 
-A block is a line with a license cue and the lines next to it that have one too. Around
+A block is a line with a license cue and the lines next to it that have one too. Cues are
+taken from the templates: of each one so many of its words that no stretch can differ in
+few words and have none of them, so no license is missed for want of a cue. Around
 it, as many words as the longest template has are searched on either side, across blank
 lines and lines without a cue, for every stretch that differs from a template in few
 words; each such stretch is a confirmed license. Longer templates go first and stretches
 share no word, so a notice inside a full text is not a license of its own. A template is
 left out only where more of its words are missing than may differ. Blocks without a
-confirmed license are ranked: compressed alone and with each template as dictionary, by
-how much smaller they get. Every text is scanned whole.
+confirmed license that speak of licensing are ranked: compressed alone and with each
+template as dictionary, by how much smaller they get. Every text is scanned whole.
 
 Defined results: null and empty texts have no blocks; a confirmed license comes back with
 the stretch it stands in, a block that touches none unconfirmed with its best-ranked
-template; ties go to the template that stands first; repeated rows give repeated results.
+template; ties go to the template that stands first; repeated rows give repeated results;
+an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,6 +32,14 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -41,10 +52,24 @@ LEAD = 200  # characters that a block keeps of its line on either side of its cu
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
+def cue_words(templates: dict[str, str], most_changed: float) -> set[str]:
+    """Words, long ones first, of which each template has more than may be changed in it."""
+    out = set()
+    for t in templates.values():
+        own = words(t)
+        left = int(most_changed * len(own)) + 1
+        for w in sorted(set(own), key=lambda w: (-len(w), w)):
+            if left <= 0:
+                break
+            out.add(w)
+            left -= own.count(w)
+    return out
+
+
+def blocks(text: str, cue: re.Pattern = CUE) -> list[tuple[int, int]]:
     """Spans around cues, by line: cues on one line or on neighbouring lines, with no more than 2 * LEAD between them, share a block."""
     out: list[list[int]] = []
-    for m in CUE.finditer(text):
+    for m in cue.finditer(text):
         a, b = m.span()
         a = max(text.rfind("\n", 0, a) + 1, a - LEAD)
         end = text.find("\n", b)
@@ -110,6 +135,7 @@ class Scanner:
         self.most = [int(most_changed * len(w)) for w in self.words]
         self.order = sorted(range(len(self.words)), key=lambda k: -len(self.words[k]))
         self.around = max((len(w) + m for w, m in zip(self.words, self.most)), default=0)
+        self.cue = re.compile(rf"{CUE.pattern}|\b(?:{'|'.join(map(re.escape, sorted(cue_words(templates, most_changed), reverse=True)))})\b", re.IGNORECASE)
         plain = " ".join
         self.alone = zstandard.ZstdCompressor(level=level)
         self.with_template = [
@@ -133,15 +159,21 @@ class Scanner:
 
     def confirmed(self, own: list[str]) -> list[tuple[int, int, int, int]]:
         """(first word, end, template, words that differ) of every license among these words."""
-        out, free, there = [], np.ones(len(own), bool), set(own)
+        found, there = [], set(own)
         for k in self.order:
             if sum(w not in there for w in self.words[k]) <= self.most[k]:
-                out += [(a, b, k, d) for a, b, d in stretches(self.words[k], own, free, self.most[k])]
+                found += [(a, b, k, d) for a, b, d in stretches(self.words[k], own, np.ones(len(own), bool), self.most[k])]
+        # of licenses that are alike, the one with most words in common; a difference weighs as four
+        out, free = [], np.ones(len(own), bool)
+        for a, b, k, d in sorted(found, key=lambda x: (4 * x[3] - len(self.words[x[2]]), x[2], x[0])):
+            if free[a:b].all():
+                free[a:b] = False
+                out.append((a, b, k, d))
         return out
 
     def text(self, text: str) -> list[tuple[int, int, str, float, int, bool]]:
         """(start, end, template, share by which it shrinks them, words that differ, confirmed) of licenses and of blocks without one."""
-        found = blocks(text)
+        found = blocks(text, self.cue)
         if not found:
             return []
         at = [m.span() for m in WORD.finditer(text)]
@@ -164,7 +196,7 @@ class Scanner:
         for a, b in found:
             while k < len(out) and out[k][1] <= a:
                 k += 1
-            if k == len(out) or out[k][0] >= b:
+            if (k == len(out) or out[k][0] >= b) and CUE.search(text, a, b):
                 rest.append((a, b, *self.block(text[a:b])))
         return sorted(out + rest)
 

@@ -462,6 +462,25 @@ def test_licenses(spark, odd):
     assert licenses.wording_differences(["a", "b", "c"], ["x", "a", "c", "y"]) == 1
 
 
+def test_licenses_without_usual_words():
+    """Templates of made-up words, changed as much as may be, are found; against trying every stretch."""
+    from loomgraph.llm import licenses
+
+    rng = random.Random(12)
+    made = {f"T{k}": prose(rng, 40 + 7 * k) for k in range(4)}
+    scanner = licenses.Scanner(made)
+    for k, (name, t) in enumerate(made.items()):
+        own = t.split()
+        for _ in range(10):
+            w = list(own)
+            for _ in range(int(0.1 * len(own))):
+                w[rng.randrange(len(w))] = "qq"
+            text = prose(rng, 300) + "\n" + "\n# ".join(" ".join(w[i : i + 6]) for i in range(0, len(w), 6)) + "\n" + prose(rng, 300)
+            assert licenses.wording_differences(licenses.words(t), licenses.words(text)) <= scanner.most[k]
+            assert [x[2] for x in scanner.text(text) if x[5]] == [name]
+    assert not scanner.text(prose(rng, 5000))
+
+
 def test_licenses_wrapped_and_side_by_side(spark):
     import textwrap
 
@@ -469,8 +488,8 @@ def test_licenses_wrapped_and_side_by_side(spark):
 
     T = licenses.TEMPLATES
     full = [n for n in T if len(T[n]) > 100]
-    texts = [(i, "some prose\n\n" + "\n".join(textwrap.wrap(T[n], 50, break_on_hyphens=False)) + "\n\nmore prose") for i, n in enumerate(full)]
-    texts += [(10 + i, "\n\n".join(" * " + x for x in textwrap.wrap(T[n], 60, break_on_hyphens=False))) for i, n in enumerate(full)]
+    texts = [(200 + i, "some prose\n\n" + "\n".join(textwrap.wrap(T[n], 50, break_on_hyphens=False)) + "\n\nmore prose") for i, n in enumerate(full)]
+    texts += [(100 + i, "\n\n".join(" * " + x for x in textwrap.wrap(T[n], 60, break_on_hyphens=False))) for i, n in enumerate(full)]
     texts += [
         (20, f"{T['MIT-notice']}\n{T['Apache-2.0-notice']}"), (21, f"{T['All-rights-reserved']} {T['CC-BY-4.0']}"), (22, "\nx\n".join([T["All-rights-reserved"]] * 3)),
         (23, "All rights\n# reserved."), (24, "\n".join(T.values())), (25, f"a license to chill\n\n{'word ' * 300}\n{T['MIT']}"),
@@ -482,7 +501,7 @@ def test_licenses_wrapped_and_side_by_side(spark):
             assert r.differences == 0 and licenses.words(text[r.doc_id][r.start : r.end]) == licenses.words(T[r.license])
     names = {i: [(n, c) for _, n, c in sorted(x)] for i, x in got.items()}
     for i, n in enumerate(full):
-        assert names[i] == names[10 + i] == [(n, True)]
+        assert names[200 + i] == names[100 + i] == [(n, True)]
     assert names[20] == [("MIT-notice", True), ("Apache-2.0-notice", True)] and names[21] == [("All-rights-reserved", True), ("CC-BY-4.0", True)]
     assert names[22] == [("All-rights-reserved", True)] * 3 and names[23] == [("All-rights-reserved", True)]
     assert names[24] == [(n, True) for n in T]
