@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.expressions import risk_level
@@ -19,17 +20,17 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
 
 
-def reach(edges: DataFrame, roots: DataFrame | None = None, depth: int = 4, reverse: bool = True) -> DataFrame:
-    """(root, node, depth) for all nodes within ``depth`` steps of each root, itself left out.
+def reach(edges: DataFrame, roots: DataFrame | None = None, depth: int | None = None, reverse: bool = True) -> DataFrame:
+    """(root, node, depth) for all nodes that each root reaches, itself left out; with ``depth``, within as many steps.
 
-    Reversed edges lead from a file to those that depend on it. ``depth`` bounds the
-    rounds; a round without new pairs ends them. Without ``roots`` every vertex is one.
+    Reversed edges lead from a file to those that depend on it. Rounds go on until one has
+    no new pairs. Without ``roots`` every vertex is one.
     """
     step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("to")).distinct()
     step = cut(step.filter("at <> to"), "step")
     front = (vertices(edges) if roots is None else roots.select("id")).select(F.col("id").alias("root"), F.col("id").alias("node"))
     seen = None
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         new = front.join(step, front["node"] == step["at"]).select("root", F.col("to").alias("node")).distinct().filter("root <> node")
         if seen is not None:
             new = new.join(seen.select(F.col("root").alias("r"), F.col("node").alias("n")), (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")), "left_anti")
@@ -40,15 +41,47 @@ def reach(edges: DataFrame, roots: DataFrame | None = None, depth: int = 4, reve
     return seen
 
 
-def blast(edges: DataFrame, files: DataFrame, depth: int = 4, total: int | None = None) -> DataFrame:
-    """(id, direct, transitive, affected, risk) of every file in ``files`` (id); files without dependents are low."""
+def blast(edges: DataFrame, files: DataFrame, depth: int | None = None, total: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """(id, direct, transitive, affected, risk) of every file in ``files`` (id); files without dependents are low.
+
+    ``hidden`` (id), tests and stories, are walked through but not counted.
+    """
     total = files.count() if total is None else total
-    each = reach(edges, depth=depth).groupBy(F.col("root").alias("id")).agg(F.sum((F.col("depth") == 1).cast("int")).alias("direct"), F.sum((F.col("depth") > 1).cast("int")).alias("transitive"))
+    met = reach(edges, depth=depth)
+    if hidden is not None:
+        met = met.join(hidden.select(F.col("id").alias("node")), "node", "left_anti")
+    each = met.groupBy(F.col("root").alias("id")).agg(F.sum((F.col("depth") == 1).cast("int")).alias("direct"), F.sum((F.col("depth") > 1).cast("int")).alias("transitive"))
     out = files.select("id").join(each, "id", "left").na.fill(0, ["direct", "transitive"])
     out = out.withColumn("affected", F.col("direct") + F.col("transitive"))
     return out.withColumn("risk", risk_level(F.col("affected"), total))
 
 
+def centrality(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(id, fan_in, fan_out, pagerank, betweenness) of every vertex, ranks rounded to six and four places."""
+    from loomgraph.operators.relational import degrees
+
+    out = degrees(edges).withColumnRenamed("node", "id").join(pagerank(edges, rounds), "id").join(betweenness(edges), "id")
+    return out.select("id", "fan_in", "fan_out", F.round("rank", 6).alias("pagerank"), F.round("betweenness", 4).alias("betweenness"))
+
+
+def top_central(scores: DataFrame, n: int = 10) -> DataFrame:
+    """(measure, rank, id, value): the ``n`` highest by betweenness and by page rank, ids breaking ties."""
+    out = None
+    for m in ("betweenness", "pagerank"):
+        top = scores.select("id", F.col(m).alias("value")).orderBy(F.desc("value"), "id").limit(n)  # n rows
+        top = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("value"), "id"))).select(F.lit(m).alias("measure"), "rank", "id", "value")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def focused(edges: DataFrame, n: int = 50) -> DataFrame:
+    """Edges among the ``n`` vertices that most others point at and what these point at."""
+    top = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "id").limit(n).select("id")
+    near = edges.join(top.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
+    nodes = cut(top.unionByName(near).distinct(), "focus")
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """(id, level) of a directed graph: the longest path that leads to a vertex; what cycles hold back has level -1.
 
@@ -77,12 +110,12 @@ def is_dag(edges: DataFrame) -> bool:
     return levels(edges).filter("level < 0").isEmpty()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the undirected graph: smallest vertex; labels jump to their label's label each round."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = cut(both, "both")
     label = cut(vertices(edges).select("id", F.col("id").alias("c")), "label")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
         low = label.join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
         low = cut(low, "low")
@@ -92,7 +125,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         label = new
         if same:
             return label.select("id", F.col("c").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _colours(edges: DataFrame) -> DataFrame:
@@ -186,27 +218,28 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return all_ids.join(total.groupBy("id").agg(F.sum("delta").alias("b")), "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 
 
-def shortest_path(edges: DataFrame, start, goal, depth: int = 30) -> list:
-    """One shortest path from ``start`` to ``goal``, its parents the smallest possible; empty if there is none."""
+def shortest_path(edges: DataFrame, start, goal) -> list:
+    """One shortest path from ``start`` to ``goal``, its parents the smallest possible; empty if there is none.
+
+    Rounds go on until the goal is met or nothing is new; the path comes back in one
+    query a round from the goal's side, over the parents of that round alone.
+    """
     step = cut(edges.filter("src <> dst").select("src", "dst").distinct(), "step")
-    spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    front = seen = cut(spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("d")), "seen")
-    for d in range(1, depth + 1):
-        if not seen.filter(F.col("node") == goal).isEmpty() or start == goal:
-            break
+    front = cut(edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent")), "front")
+    fronts, seen = [front], front.select("node")
+    while start != goal:
         new = front.join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min("src").alias("parent"))
-        front = cut(new.select(F.col("to").alias("node"), "parent", F.lit(d).alias("d")).join(seen.select("node"), "node", "left_anti"), "front")
+        front = cut(new.select(F.col("to").alias("node"), "parent").join(seen, "node", "left_anti"), "front")
         if front.isEmpty():
             return []
-        seen = seen.unionByName(front)
-    path, at = [], goal
-    while at is not None:  # as many lookups as the path is long
-        row = seen.filter(F.col("node") == at).first()
-        if row is None:
-            return []
-        path.append(at)
-        at = row["parent"]
+        fronts.append(front)
+        seen = seen.unionByName(front.select("node"))
+        if not front.filter(F.col("node") == goal).isEmpty():
+            break
+    path = [goal]
+    for rows in reversed(fronts[1:]):
+        path.append(rows.filter(F.col("node") == path[-1]).first()["parent"])
     return path[::-1]
 
 

@@ -10,7 +10,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import relational as R
 
 
-def module_blast(edges: DataFrame, files: DataFrame, depth: int = 4) -> DataFrame:
+def module_blast(edges: DataFrame, files: DataFrame, depth: int | None = None) -> DataFrame:
     """(module, direct, transitive, affected, projects, risk): files outside a module that depend on any of its files, each once at its least depth."""
     inside = files.select(F.col("file_id").alias("root"), "module")
     outer = files.select(F.col("file_id").alias("node"), F.col("module").alias("node_module"), project_of(F.col("path")).alias("project"))

@@ -13,24 +13,24 @@ from loomgraph.plans.graphs import reach_sql
 from loomgraph.session import table
 
 
-@query("ret_module_blast", reach_sql(40, 2) + f", x AS (SELECT a.module, m.node, b.path, min(m.depth) AS depth FROM m JOIN files a ON a.file_id = m.root JOIN files b ON b.file_id = m.node WHERE a.module <> b.module GROUP BY 1, 2, 3), t AS (SELECT count(*) AS total FROM files), c AS (SELECT module, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS transitive, count(DISTINCT string_split(path, '/')[1]) AS projects, count(*) AS affected FROM x GROUP BY module) SELECT module, direct, transitive, projects, affected, {RISK} AS risk FROM c, t")
+@query("ret_module_blast", reach_sql() + f", x AS (SELECT a.module, m.node, b.path, min(m.depth) AS depth FROM m JOIN files a ON a.file_id = m.root JOIN files b ON b.file_id = m.node WHERE a.module <> b.module GROUP BY 1, 2, 3), t AS (SELECT count(*) AS total FROM files), c AS (SELECT module, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS transitive, count(DISTINCT string_split(path, '/')[1]) AS projects, count(*) AS affected FROM x GROUP BY module) SELECT module, direct, transitive, projects, affected, {RISK} AS risk FROM c, t")
 def ret_module_blast(spark, d):
-    return Q.module_blast(S.edges(spark, d, 40), S.files(spark, d), 2).select("module", *BIG("direct", "transitive"), "projects", *BIG("affected"), "risk")
+    return Q.module_blast(S.tree(spark, d), S.files(spark, d)).select("module", *BIG("direct", "transitive"), "projects", *BIG("affected"), "risk")
 
 
 @query("ret_execution_flow", WITH10 + "SELECT src, dst, a.module AS source, b.module AS target, CASE WHEN a.module = b.module THEN 'inside' ELSE 'cross' END AS scope FROM edges JOIN files a ON a.file_id = src JOIN files b ON b.file_id = dst")
 def ret_flow(spark, d):
-    return Q.execution_flow(S.edges(spark, d, 10), S.files(spark, d))
+    return Q.execution_flow(S.edges(spark, d), S.files(spark, d))
 
 
 @query("ret_overview", DEPS500 + ", c AS (SELECT target AS module, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, module LIMIT 3) SELECT 'size' AS kind, 'files' AS name, count(*) AS value FROM files UNION ALL SELECT 'size', 'edges', count(*) FROM edges UNION ALL SELECT 'entry', module, 0 FROM (SELECT DISTINCT module FROM files) WHERE module NOT IN (SELECT target FROM x) UNION ALL SELECT 'core', module, n FROM c")
 def ret_overview(spark, d):
-    return Q.overview(S.edges(spark, d, 500), S.files(spark, d))
+    return Q.overview(S.edges(spark, d), S.files(spark, d))
 
 
 @query("ret_module_details", WITH10 + ", l AS (SELECT module, CAST(count(*) AS BIGINT) AS file_count FROM files GROUP BY 1), e AS (SELECT module, count(*) AS entries FROM files f WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN files s ON s.file_id = e.src WHERE e.dst = f.file_id AND s.module = f.module) GROUP BY 1), x AS (SELECT a.module AS s, b.module AS t FROM edges JOIN files a ON a.file_id = src JOIN files b ON b.file_id = dst WHERE a.module <> b.module) SELECT module, file_count, coalesce(entries, 0) AS entries, (SELECT count(*) FROM x WHERE s = module) AS outgoing, (SELECT count(*) FROM x WHERE t = module) AS incoming FROM l LEFT JOIN e USING (module)")
 def ret_module_details(spark, d):
-    return Q.module_details(S.edges(spark, d, 10), S.files(spark, d)).select("module", "file_count", "entries", "outgoing", "incoming")
+    return Q.module_details(S.edges(spark, d), S.files(spark, d)).select("module", "file_count", "entries", "outgoing", "incoming")
 
 
 @query("ret_explain_symbol", f"WITH {S.CALLS}, k AS (SELECT 1 AS own), r AS (SELECT DISTINCT 'caller' AS relation, caller AS symbol_id, line FROM calls, k WHERE callee = own AND caller <> own UNION SELECT DISTINCT 'callee', callee, line FROM calls, k WHERE caller = own AND callee <> own) SELECT relation, symbol_id, CAST(line AS BIGINT) AS line FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY symbol_id, line) AS rn FROM r) WHERE rn <= 10")

@@ -14,7 +14,7 @@ from loomgraph.plans import standins as S
 from loomgraph.plans.catalogue import query
 from loomgraph.session import table
 
-WITH10 = f"WITH {S.FILES}, {S.edges_sql(10)} "
+WITH10 = f"WITH {S.FILES}, {S.edges_sql()} "
 BIG = lambda *cs: [F.col(c).cast("bigint").alias(c) for c in cs]
 
 
@@ -23,30 +23,30 @@ BIG = lambda *cs: [F.col(c).cast("bigint").alias(c) for c in cs]
 
 @query("jn_import_edges", WITH10 + "SELECT a.path AS source_path, b.path AS target_path FROM edges JOIN files a ON a.file_id = src JOIN files b ON b.file_id = dst")
 def jn_import_edges(spark, d):
-    return R.import_edges(S.edges(spark, d, 10), S.files(spark, d))
+    return R.import_edges(S.edges(spark, d), S.files(spark, d))
 
 
 @query("jn_importers", WITH10 + "SELECT dst AS file_id, path FROM edges JOIN files ON src = file_id WHERE dst IN (SELECT file_id FROM files WHERE module = 'Brand#11')")
 def jn_importers(spark, d):
     f = S.files(spark, d)
-    return R.importers(S.edges(spark, d, 10), f, f.filter("module = 'Brand#11'"))
+    return R.importers(S.edges(spark, d), f, f.filter("module = 'Brand#11'"))
 
 
 @query("jn_imports", WITH10 + "SELECT src AS file_id, path FROM edges JOIN files ON dst = file_id WHERE src IN (SELECT file_id FROM files WHERE module = 'Brand#11')")
 def jn_imports(spark, d):
     f = S.files(spark, d)
-    return R.imports_of(S.edges(spark, d, 10), f, f.filter("module = 'Brand#11'"))
+    return R.imports_of(S.edges(spark, d), f, f.filter("module = 'Brand#11'"))
 
 
-@query("jn_callers", f"WITH {S.CALLS} SELECT callee, s_name, n_name, CAST(line AS BIGINT) AS line FROM calls JOIN supplier ON s_suppkey = caller JOIN nation ON n_nationkey = s_nationkey WHERE line = 1")
+@query("jn_callers", f"WITH {S.CALLS} SELECT callee, s_name, n_name, CAST(line AS BIGINT) AS line FROM calls JOIN supplier ON s_suppkey = caller JOIN nation ON n_nationkey = s_nationkey")
 def jn_callers(spark, d):
     sup, nat = table(spark, d, "supplier"), table(spark, d, "nation")
-    return S.calls(spark, d).filter("line = 1").join(sup, F.col("s_suppkey") == F.col("caller")).join(nat, F.col("n_nationkey") == F.col("s_nationkey")).select("callee", "s_name", "n_name", *BIG("line"))
+    return S.calls(spark, d).join(sup, F.col("s_suppkey") == F.col("caller")).join(nat, F.col("n_nationkey") == F.col("s_nationkey")).select("callee", "s_name", "n_name", *BIG("line"))
 
 
-@query("jn_callees", f"WITH {S.CALLS}, {S.FILES} SELECT caller, path, CAST(line AS BIGINT) AS line FROM calls JOIN files ON file_id = callee WHERE caller <= 10")
+@query("jn_callees", f"WITH {S.CALLS}, {S.FILES} SELECT caller, path, CAST(line AS BIGINT) AS line FROM calls JOIN files ON file_id = callee")
 def jn_callees(spark, d):
-    return S.calls(spark, d).filter("caller <= 10").join(S.files(spark, d), F.col("file_id") == F.col("callee")).select("caller", "path", *BIG("line"))
+    return S.calls(spark, d).join(S.files(spark, d), F.col("file_id") == F.col("callee")).select("caller", "path", *BIG("line"))
 
 
 @query("jn_symbols_left_metadata", "SELECT d.doc_id, lang, source, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -58,23 +58,23 @@ def jn_symbols_left_metadata(spark, d):
 @query("jn_neighbors_semi_anti", WITH10 + ", seeds AS (SELECT file_id FROM files WHERE module = 'Brand#11') SELECT DISTINCT dst FROM edges WHERE src IN (SELECT file_id FROM seeds) AND dst NOT IN (SELECT file_id FROM seeds)")
 def jn_neighbors_semi_anti(spark, d):
     seeds = S.files(spark, d).filter("module = 'Brand#11'").select(F.col("file_id").alias("id"))
-    return R.neighbours_outside(S.edges(spark, d, 10), seeds)
+    return R.neighbours_outside(S.edges(spark, d), seeds)
 
 
 @query("jn_edges_within_set", WITH10 + ", s AS (SELECT file_id FROM files WHERE language LIKE 'P%') SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT file_id FROM s) AND dst IN (SELECT file_id FROM s)")
 def jn_edges_within_set(spark, d):
     nodes = S.files(spark, d).filter("language LIKE 'P%'").select(F.col("file_id").alias("id"))
-    return R.edges_within(S.edges(spark, d, 10), nodes)
+    return R.edges_within(S.edges(spark, d), nodes)
 
 
-@query("jn_call_resolution_prefer_same_group", """WITH c AS (SELECT DISTINCT l_orderkey AS call_id, l_suppkey % 25 AS file_id, l_partkey % 64 AS name FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 = 0),
+@query("jn_call_resolution_prefer_same_group", """WITH c AS (SELECT DISTINCT l_orderkey AS call_id, l_suppkey % 25 AS file_id, l_partkey % 64 AS name FROM lineitem),
  c1 AS (SELECT call_id, min(file_id) AS file_id, min(name) AS name FROM c GROUP BY call_id),
  s AS (SELECT p_partkey AS symbol_id, p_partkey % 25 AS file_id, p_partkey % 64 AS name FROM part),
  r AS (SELECT call_id, symbol_id, CASE WHEN c1.file_id = s.file_id THEN 1 ELSE 0 END AS same_file FROM c1 JOIN s USING (name)),
  n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY same_file DESC, symbol_id) AS rn FROM r)
  SELECT call_id, symbol_id, CAST(same_file AS BIGINT) AS same_file FROM n WHERE rn = 1""")
 def jn_call_resolution(spark, d):
-    c = table(spark, d, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 20 = 0").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.min(F.expr("l_suppkey % 25")).alias("file_id"), F.min(F.expr("l_partkey % 64")).alias("name"))
+    c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.min(F.expr("l_suppkey % 25")).alias("file_id"), F.min(F.expr("l_partkey % 64")).alias("name"))
     s = table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.expr("p_partkey % 25").alias("file_id"), F.expr("p_partkey % 64").alias("name"))
     return R.resolve_calls(c, s).select("call_id", "symbol_id", *BIG("same_file"))
 
@@ -164,7 +164,7 @@ def agg_module_languages(spark, d):
 
 @query("agg_degrees", WITH10 + "SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY node")
 def agg_degrees(spark, d):
-    return R.degrees(S.edges(spark, d, 10))
+    return R.degrees(S.edges(spark, d))
 
 
 CROSS = WITH10 + ", x AS (SELECT a.module AS source, b.module AS target FROM edges JOIN files a ON a.file_id = src JOIN files b ON b.file_id = dst WHERE a.module <> b.module)"
@@ -172,21 +172,21 @@ CROSS = WITH10 + ", x AS (SELECT a.module AS source, b.module AS target FROM edg
 
 @query("agg_coupling", CROSS + " SELECT module, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming FROM (SELECT source AS module, 1 AS o, 0 AS i FROM x UNION ALL SELECT target, 0, 1 FROM x) GROUP BY module")
 def agg_coupling(spark, d):
-    return R.coupling(S.edges(spark, d, 10), S.files(spark, d))
+    return R.coupling(S.edges(spark, d), S.files(spark, d))
 
 
 @query("agg_module_deps", CROSS + " SELECT DISTINCT source, target FROM x")
 def agg_module_deps(spark, d):
-    return R.module_deps(S.edges(spark, d, 10), S.files(spark, d))
+    return R.module_deps(S.edges(spark, d), S.files(spark, d))
 
 
-DEPS500 = f"WITH {S.FILES}, {S.edges_sql(500)}, x AS (SELECT DISTINCT a.module AS source, b.module AS target FROM edges JOIN files a ON a.file_id = src JOIN files b ON b.file_id = dst WHERE a.module <> b.module)"
+DEPS500 = f"WITH {S.FILES}, {S.edges_sql()}, x AS (SELECT DISTINCT a.module AS source, b.module AS target FROM edges JOIN files a ON a.file_id = src JOIN files b ON b.file_id = dst WHERE a.module <> b.module)"
 
 
 @query("agg_entry_core_modules", DEPS500 + ", c AS (SELECT target AS module, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, module LIMIT 3) SELECT 'entry' AS kind, module FROM (SELECT DISTINCT module FROM files) WHERE module NOT IN (SELECT target FROM x) UNION ALL SELECT 'core', module FROM c")
 def agg_entry_core(spark, d):
     f = S.files(spark, d)
-    deps = R.module_deps(S.edges(spark, d, 500), f)
+    deps = R.module_deps(S.edges(spark, d), f)
     return R.entry_modules(deps, f.select("module").distinct()).select(F.lit("entry").alias("kind"), "module").unionByName(R.core_modules(deps).select(F.lit("core").alias("kind"), "module"))
 
 
@@ -196,7 +196,7 @@ DIRECT = WITH10 + ", c AS (SELECT dst AS file_id, count(*) AS affected FROM edge
 
 def _direct(spark, d):
     f = S.files(spark, d)
-    c = S.edges(spark, d, 10).groupBy(F.col("dst").alias("file_id")).agg(F.count("*").alias("affected"))
+    c = S.edges(spark, d).groupBy(F.col("dst").alias("file_id")).agg(F.count("*").alias("affected"))
     out = f.select("file_id").join(c, "file_id", "left").na.fill(0, ["affected"])
     return out.withColumn("risk", X.risk_level(F.col("affected"), f.count()))
 
@@ -257,9 +257,9 @@ def agg_module_depth(spark, d):
     return c.agg(F.count("*").alias("children"), shared.alias("shared"), F.round(shared / F.count("*"), 6).alias("share"))
 
 
-@query("agg_clean_batches", "SELECT CAST(event_id % 100 AS BIGINT) AS batch, count(*) AS n FROM events GROUP BY 1 HAVING max(value) < 99 ORDER BY batch LIMIT 20")
+@query("agg_clean_batches", "SELECT CAST(event_id % 100 AS BIGINT) AS batch, count(*) AS n FROM events GROUP BY 1 HAVING avg(value) < 50 ORDER BY batch LIMIT 20")
 def agg_clean_batches(spark, d):
-    return table(spark, d, "events").groupBy((F.col("event_id") % 100).alias("batch")).agg(F.count("*").alias("n"), F.max("value").alias("m")).filter("m < 99").orderBy("batch").limit(20).select("batch", "n")
+    return table(spark, d, "events").groupBy((F.col("event_id") % 100).alias("batch")).agg(F.count("*").alias("n"), F.avg("value").alias("m")).filter("m < 50").orderBy("batch").limit(20).select("batch", "n")
 
 
 @query("agg_source_projects", "WITH p AS (SELECT url, string_split(regexp_replace(url, '^https?://', ''), '/')[1] AS project, string_split(url, '/')[-1] AS name FROM pages) SELECT project, count(DISTINCT name) AS n_names, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM p GROUP BY project")
@@ -305,11 +305,11 @@ def win_char_windows(spark, d):
     return N.char_windows(table(spark, d, "documents")).select("doc_id", *BIG("chunk"), F.md5("text").alias("h"))
 
 
-@query("win_merge_ranges", f"""WITH r AS (SELECT l_suppkey AS g, l_partkey % 500 AS s, l_partkey % 500 + l_linenumber AS e FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("win_merge_ranges", f"""WITH r AS (SELECT l_suppkey AS g, l_partkey % 500 AS s, l_partkey % 500 + l_linenumber AS e FROM lineitem),
  f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 WHEN max(e) OVER (PARTITION BY g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END AS new FROM r),
  i AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT g, min(s) AS "start", max(e) AS "end" FROM i GROUP BY g, island""")
 def win_merge(spark, d):
-    r = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").selectExpr("l_suppkey AS g", "l_partkey % 500 AS start", "l_partkey % 500 + l_linenumber AS end")
+    r = table(spark, d, "lineitem").selectExpr("l_suppkey AS g", "l_partkey % 500 AS start", "l_partkey % 500 + l_linenumber AS end")
     return N.merge_ranges(r, "g")
 
 
@@ -338,12 +338,12 @@ def fold_packing(spark, d):
     return N.pack_batches(p, "g", "cost", 100, 5, "item").select("g", "item", *BIG("batch"))
 
 
-@query("win_diff_cap", """WITH RECURSIVE t AS (SELECT l_orderkey AS g, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS line, CAST(floor(l_quantity) AS BIGINT) AS c, l_returnflag = 'R' AS a FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("win_diff_cap", """WITH RECURSIVE t AS (SELECT l_orderkey AS g, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS line, CAST(floor(l_quantity) AS BIGINT) AS c, l_returnflag = 'R' AS a FROM lineitem),
  u AS (SELECT g, line, min(c) AS c, bool_or(a) AS a FROM t GROUP BY g, line), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY line) AS k FROM u),
  f AS (SELECT g, line, k, CASE WHEN a OR c + 1 <= 60 THEN c + 1 ELSE 0 END AS used, a OR c + 1 <= 60 AS keep FROM r WHERE k = 1 UNION ALL
  SELECT r.g, r.line, r.k, CASE WHEN a OR f.used + c + 1 <= 60 THEN f.used + c + 1 ELSE f.used END, a OR f.used + c + 1 <= 60 FROM f JOIN r ON r.g = f.g AND r.k = f.k + 1) SELECT g, line FROM f WHERE keep""")
 def win_diff_cap(spark, d):
-    t = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").selectExpr("l_orderkey AS g", "CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS line", "CAST(floor(l_quantity) AS BIGINT) AS n_chars", "l_returnflag = 'R' AS always")
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey AS g", "CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS line", "CAST(floor(l_quantity) AS BIGINT) AS n_chars", "l_returnflag = 'R' AS always")
     t = t.groupBy("g", "line").agg(F.min("n_chars").alias("n_chars"), F.bool_or("always").alias("always"))
     return N.diff_cap(t, "g", 60, "line")
 
@@ -351,16 +351,16 @@ def win_diff_cap(spark, d):
 # --- sets ------------------------------------------------------------------
 
 
-@query("set_orphans", f"WITH {S.FILES}, {S.edges_sql(10)} SELECT path FROM files WHERE file_id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
+@query("set_orphans", f"WITH {S.FILES}, {S.edges_sql()} SELECT path FROM files WHERE file_id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
 def set_orphans(spark, d):
     from loomgraph.operators.graph import vertices
 
-    return S.files(spark, d).join(vertices(S.edges(spark, d, 10)).withColumnRenamed("id", "file_id"), "file_id", "left_anti").select("path")
+    return S.files(spark, d).join(vertices(S.edges(spark, d)).withColumnRenamed("id", "file_id"), "file_id", "left_anti").select("path")
 
 
-@query("set_transitive_minus_direct", f"WITH {S.edges_sql(40)} SELECT DISTINCT a.dst AS root, b.src AS node FROM edges a JOIN edges b ON b.dst = a.src WHERE a.dst <> b.src AND NOT EXISTS (SELECT 1 FROM edges c WHERE c.dst = a.dst AND c.src = b.src)")
+@query("set_transitive_minus_direct", f"WITH {S.TREE} SELECT DISTINCT a.dst AS root, b.src AS node FROM edges a JOIN edges b ON b.dst = a.src WHERE a.dst <> b.src AND NOT EXISTS (SELECT 1 FROM edges c WHERE c.dst = a.dst AND c.src = b.src)")
 def set_transitive(spark, d):
-    e = S.edges(spark, d, 40)
+    e = S.tree(spark, d)
     a, b = e.select(F.col("dst").alias("root"), F.col("src").alias("mid")), e.select(F.col("dst").alias("mid"), F.col("src").alias("node"))
     two = a.join(b, "mid").filter("root <> node").select("root", "node").distinct()
     return two.join(e.select(F.col("dst").alias("root"), F.col("src").alias("node")), ["root", "node"], "left_anti")
@@ -383,14 +383,14 @@ def set_catchup(spark, d):
 @query("set_entry_files", WITH10 + "SELECT file_id FROM files f WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN files s ON s.file_id = e.src WHERE e.dst = f.file_id AND s.module = f.module)")
 def set_entry_files(spark, d):
     f = S.files(spark, d)
-    inner = R.module_edges(S.edges(spark, d, 10), f).filter("source = target").select(F.col("dst").alias("file_id"))
+    inner = R.module_edges(S.edges(spark, d), f).filter("source = target").select(F.col("dst").alias("file_id"))
     return f.join(inner, "file_id", "left_anti").select("file_id")
 
 
 @query("set_affected_union", WITH10 + "SELECT DISTINCT src AS file_id FROM edges WHERE dst IN (SELECT file_id FROM files WHERE language LIKE 'S%')")
 def set_affected(spark, d):
     f = S.files(spark, d).filter("language LIKE 'S%'").select(F.col("file_id").alias("dst"))
-    return S.edges(spark, d, 10).join(f, "dst", "left_semi").select(F.col("src").alias("file_id")).distinct()
+    return S.edges(spark, d).join(f, "dst", "left_semi").select(F.col("src").alias("file_id")).distinct()
 
 
 # --- projections and filters -----------------------------------------------
@@ -442,9 +442,9 @@ def flt_ignore_rules(spark, d):
     return S.files(spark, d).filter(~ignored(F.col("path"), ["*1", "Brand#12/", "Brand#2?/*/??"])).select("path")
 
 
-@query("flt_commented_keywords", f"WITH {S.LINES}, c AS (SELECT doc_id, line, lower(trim('# ' || content)) AS t FROM lines WHERE line % 3 = 0), k AS (SELECT doc_id, line, CASE WHEN contains(t, 'token') THEN 'token' WHEN contains(t, 'password') THEN 'password' WHEN contains(t, 'licens') THEN 'licens' END AS keyword FROM c) SELECT doc_id AS file_id, keyword, min(line) AS line FROM k WHERE keyword IS NOT NULL GROUP BY 1, 2")
+@query("flt_commented_keywords", f"WITH {S.LINES}, c AS (SELECT doc_id, line, lower(trim('# ' || content)) AS t FROM lines), k AS (SELECT doc_id, line, CASE WHEN contains(t, 'token') THEN 'token' WHEN contains(t, 'password') THEN 'password' WHEN contains(t, 'licens') THEN 'licens' END AS keyword FROM c) SELECT doc_id AS file_id, keyword, min(line) AS line FROM k WHERE keyword IS NOT NULL GROUP BY 1, 2")
 def flt_commented(spark, d):
-    c = S.lines(spark, d).filter("line % 3 = 0").select(F.col("doc_id").alias("file_id"), "line", F.concat(F.lit("# "), "content").alias("content"))
+    c = S.lines(spark, d).select(F.col("doc_id").alias("file_id"), "line", F.concat(F.lit("# "), "content").alias("content"))
     return V.commented_keywords(c, ["token", "password", "licens"])
 
 
@@ -505,7 +505,7 @@ def ops_run_compare(spark, d):
     return V.compare_runs(run(t.filter("doc_id % 2 = 0 AND metric <> 'de'")), run(t.filter("doc_id % 2 = 1 AND metric <> 'fr'")))
 
 
-@query("ops_graph_validate", f"WITH {S.edges_sql(10)}, n AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 50 <> 0 UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 77 = 0 AND p_partkey % 50 <> 0) SELECT 'duplicate_node' AS problem, id FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'dangling_edge', id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM n)")
+@query("ops_graph_validate", f"WITH {S.edges_sql()}, n AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 50 <> 0 UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 77 = 0 AND p_partkey % 50 <> 0) SELECT 'duplicate_node' AS problem, id FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'dangling_edge', id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM n)")
 def ops_graph_validate(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id")).filter("id % 50 <> 0")
-    return V.graph_violations(p.unionByName(p.filter("id % 77 = 0")), S.edges(spark, d, 10))
+    return V.graph_violations(p.unionByName(p.filter("id % 77 = 0")), S.edges(spark, d))

@@ -1,7 +1,8 @@
 """The given tables in the shapes of the code graph, as DataFrames and as SQL of the same meaning.
 
-files: parts (path brand/type/key). edges: consecutive parts of an order's lines, for
-orders divisible by a modulus that thins the graph. calls: lines of suppliers and parts.
+files: parts (path brand/type/key). edges: consecutive parts of every order's lines; tree and
+jumps: a graph without and one with cycles over all parts, for what DuckDB can't follow on
+the edges. calls: lines of suppliers and parts.
 """
 
 from __future__ import annotations
@@ -21,15 +22,36 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 FILES = "files AS (SELECT p_partkey AS file_id, p_brand || '/' || p_type || '/' || CAST(p_partkey AS VARCHAR) AS path, p_brand AS module, p_type AS language FROM part)"
 
 
-def edges(spark: SparkSession, d: str, m: int, acyclic: bool = False) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src")).filter(F.col("l_orderkey") % m == 0)
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """Consecutive parts of every order's lines."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "src")
-    out = li.select("src", F.lead("src").over(w).alias("dst")).filter("dst IS NOT NULL AND src <> dst").distinct()
-    return out.filter("src < dst") if acyclic else out
+    return li.select("src", F.lead("src").over(w).alias("dst")).filter("dst IS NOT NULL AND src <> dst").distinct()
 
 
-def edges_sql(m: int, acyclic: bool = False) -> str:
-    return f"edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_orderkey % {m} = 0) WHERE dst IS NOT NULL AND src {'<' if acyclic else '<>'} dst)"
+def edges_sql() -> str:
+    return "edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"
+
+
+HALF, THIRD = "CAST(floor(p_partkey / 2) AS BIGINT)", "CAST(floor(p_partkey / 3) AS BIGINT)"
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """Every part imports those of half and a third of its number: no cycles, depth the logarithm of the parts."""
+    p = table(spark, d, "part")
+    return p.selectExpr("p_partkey AS src", f"{HALF} AS dst").unionByName(p.selectExpr("p_partkey AS src", f"{THIRD} AS dst")).filter("dst > 0").distinct()
+
+
+TREE = f"edges AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, {HALF} AS dst FROM part UNION ALL SELECT p_partkey, {THIRD} FROM part) WHERE dst > 0)"
+NEXT = "p_partkey * p_size % 1009 + 1"
+
+
+def jumps(spark: SparkSession, d: str) -> DataFrame:
+    """Every part imports one other, so that paths end in cycles."""
+    return table(spark, d, "part").selectExpr("p_partkey AS src", f"{NEXT} AS dst").filter("src <> dst").distinct()
+
+
+JUMPS = f"edges AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, {NEXT} AS dst FROM part) WHERE src <> dst)"
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:

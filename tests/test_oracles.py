@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgraph.plans import answers, catalogue, core, feeds, graphs  # noqa: F401
+from loomgraph.plans import answers, catalogue, core, feeds, graphs, tables  # noqa: F401
 from tests.oracle import connect, differences
 
 
