@@ -7,8 +7,10 @@ of the language. Only DataFrame functions are used; each row is judged by itself
 repeated rows and null ids stay as they are.
 
 Defined results: a null or empty text has no words and fails the base rules; a null
-language is one of its own; documents under ``min_words`` words, and languages with
-under ``min_reference`` words, aren't judged by divergence.
+language counts as the empty one; documents under ``min_words`` words, and languages with
+under ``min_reference`` words, aren't judged by divergence; texts of any length are taken
+whole; an empty table gives an empty result. Columns of ``docs`` named as those added
+(n_words to kept, and _w, _lang, _chars, _common, _shares) are overwritten; others stay.
 """
 
 from __future__ import annotations
@@ -157,3 +159,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_JS = "sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0.0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0.0 END)) / 2, 0.0))"
+_REST = "list_append({a}, greatest(1 - list_sum({a}), 0.0))"
+_COUNT = "length(regexp_replace({t}, '[^{k}]', '', 'g'))"
+_KINDS = ("A-Z", "0-9", "#*$%&|<>")
+ORACLE = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+ w AS (SELECT doc_id, lang, unnest(a) AS word FROM d), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY 1, 2),
+ r AS (SELECT lang, sum(n) AS n, [{', '.join(f"CAST(sum(n * {_COUNT.format(t='word', k=k)}) / greatest(sum(n * length(word)), 1) AS DOUBLE)" for k in _KINDS)}] AS shares FROM c GROUP BY lang HAVING sum(n) >= 10000),
+ b AS (SELECT lang, list(word ORDER BY k) AS common, list(n ORDER BY k) AS ns FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM c) WHERE k <= 32 GROUP BY lang),
+ l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+ g AS (SELECT doc_id, i, a[i:i + 7] AS g FROM (SELECT doc_id, a, unnest(range(1, len(a) - 6)) AS i FROM d WHERE len(a) > 8)),
+ h AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+ e AS (SELECT doc_id, sum(least(8, coalesce(i - before, 8))) AS rep FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM h) GROUP BY doc_id),
+ s AS (SELECT d.*, len(a) AS n_words, coalesce(list_sum(list_transform(a, lambda x: length(x))), 0) AS word_chars, {_COUNT.format(t='text', k=_KINDS[2])} AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN e USING (doc_id)),
+ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
+ v AS (SELECT doc_id, lang, word, count(*) AS n FROM w GROUP BY 1, 2, 3),
+ x AS (SELECT f.doc_id, list(coalesce(v.n, 0) / f.n_words ORDER BY k) AS p, any_value(ns) AS ns FROM f JOIN (SELECT lang, unnest(range(1, len(common) + 1)) AS k, unnest(common) AS word, ns FROM b) q ON q.lang = f.lang LEFT JOIN v ON v.doc_id = f.doc_id AND v.word = q.word WHERE f.n_words >= 50 AND NOT base_failed GROUP BY f.doc_id),
+ y AS (SELECT f.doc_id, {_REST.format(a='p')} AS p, {_REST.format(a='list_transform(ns, lambda z: CAST(z / r.n AS DOUBLE))')} AS q, {_REST.format(a='[' + ', '.join(f"CAST({_COUNT.format(t='text', k=k)} / greatest(word_chars, 1) AS DOUBLE)" for k in _KINDS) + ']')} AS cp, {_REST.format(a='shares')} AS cq FROM f JOIN x USING (doc_id) JOIN r ON r.lang = f.lang),
+ z AS (SELECT doc_id, {_JS.format(p='p', q='q')} > 0.42 OR {_JS.format(p='cp', q='cq')} > 0.29 AS far FROM y)
+ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept FROM f LEFT JOIN z USING (doc_id)"""

@@ -17,5 +17,7 @@ QUERIES = {
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
+    "op4_quality_rules": quality.ORACLE,
+    "op9_lm_scoring": scoring.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }
