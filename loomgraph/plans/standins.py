@@ -43,7 +43,7 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 TREE = f"edges AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, {HALF} AS dst FROM part UNION ALL SELECT p_partkey, {THIRD} FROM part) WHERE dst > 0)"
-NEXT = "p_partkey * p_size % 1009 + 1"
+NEXT = "p_partkey * p_size % 101 + 1"
 
 
 def jumps(spark: SparkSession, d: str) -> DataFrame:
