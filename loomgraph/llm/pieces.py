@@ -150,6 +150,8 @@ class Model:
         """Whether two pieces side by side are their own encoding."""
         got = self.fits.get((a, b))
         if got is None:
+            if len(self.fits) >= self.most:
+                self.fits.clear()
             got = self.fits[a, b] = (a + b)[len(a) - 1 : len(a) + 1] not in self.beside or self.merge(a + b) == [a, b]
         return got
 

@@ -135,10 +135,10 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's words, log score by n-grams of up to QUERY_ORDER words, and its mean for a word, to four and six places."""
+    """Every document's words, log score by n-grams of up to QUERY_ORDER words, and its mean for a word, to six places."""
     scored = backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_ORDER)
     mean = F.round(F.col("log_score") / F.greatest("n_words", F.lit(1)), 6)
-    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_score"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), mean.alias("mean_score"))
 
 
 #: The same from plain tables: a row for each word's place, joined to counts of one, two and three words, less the document's own.
@@ -152,4 +152,4 @@ ORACLE = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(tex
  LEFT JOIN u2 b ON b.doc_id = w.doc_id AND b.y = w.y AND b.z = w.z LEFT JOIN u1 q ON q.doc_id = w.doc_id AND q.z = w.y LEFT JOIN u3 t3 ON t3.doc_id = w.doc_id AND t3.x = w.x AND t3.y = w.y AND t3.z = w.z LEFT JOIN u2 b2 ON b2.doc_id = w.doc_id AND b2.y = w.x AND b2.z = w.y),
  s AS (SELECT doc_id, i, c3, k2, CASE WHEN i = 1 THEN s1 WHEN c2 > 0 THEN ln(c2 / greatest(k1, 1)) ELSE s1 + ln(0.4) END AS s2 FROM m),
  f AS (SELECT doc_id, sum(CASE WHEN i <= 2 THEN s2 WHEN c3 > 0 THEN ln(c3 / greatest(k2, 1)) ELSE s2 + ln(0.4) END) AS s FROM s GROUP BY 1)
- SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 4) AS log_score, round(coalesce(s, 0.0) / greatest(len(a), 1), 6) AS mean_score FROM d LEFT JOIN f USING (doc_id)"""
+ SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 6) AS log_score, round(coalesce(s, 0.0) / greatest(len(a), 1), 6) AS mean_score FROM d LEFT JOIN f USING (doc_id)"""

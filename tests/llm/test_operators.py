@@ -589,16 +589,77 @@ def test_chat_query_against_sql(spark, data):
 
 
 def test_pipeline(spark, data):
+    """Each stage's rows against brute force over what the stage before kept."""
     import corpus_pipeline
 
+    from loomgraph.llm import packing, quality, secrets
+    from loomgraph.storage import cut
+
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    names = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        n = docs.count()
-        docs = stage(spark, docs, data)
+    names, seen = docs.columns, [docs]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = cut(stage(spark, docs, data), name)
         if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == names and 0 < docs.count() <= n
-    assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
+            assert docs.columns == names and 0 < docs.count() <= seen[-1].count()
+        seen.append(docs)
+    texts = [{r.doc_id: r.text for r in d.collect()} for d in seen[:5]]
+    verdict = {r.doc_id: r.kept for r in quality.judge(seen[0]).select("doc_id", "kept").collect()}
+    assert texts[1] == {i: t for i, t in texts[0].items() if verdict[i]}
+    roots, _ = brute_classes(list(texts[1].items()), 5, 4, 5)
+    assert texts[2] == {i: t for i, t in texts[1].items() if roots.get(i, i) == i}
+    owner: dict = {}
+    for i, t in sorted(texts[3].items()):  # no passage of 51 words is left in two documents, and none has words of its own making
+        w = words_of(t)
+        assert not collections.Counter(w) - collections.Counter(words_of(texts[2][i]))
+        for a in range(len(w) - 50):
+            assert owner.setdefault(b" ".join(w[a : a + 51]), i) == i
+    assert set(texts[4]) == set(texts[3])
+    assert secrets.scan(seen[4]).filter("exists(spans, s -> s.kind IN ('access', 'hex'))").count() == 0
+    packed = seen[5].groupBy("doc_id").sum("length").collect()
+    own = {r.doc_id: r["sum(length)"] for r in packing.pieces(seen[4]).groupBy("doc_id").sum("length").collect()}
+    assert {r.doc_id: r["sum(length)"] for r in packed} == own
+    fill = seen[5].groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0]
+    assert fill <= 1024
+
+
+def test_pipeline_on_odd_tables(spark, odd):
+    import corpus_pipeline
+
+    for rows in (EMPTY, [*odd, odd[0], odd[8]]):
+        docs = docs_of(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, "")
+        assert docs.count() >= 0
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_registered_query(spark, data, n):
+    """The registered query as it stands, against its SQL where there is one, else a row for what its contract counts."""
+    from loomgraph.llm import queries
+    from tests.oracle import connect, differences
+
+    name = next(k for k in queries.QUERIES if k.startswith(f"op{n}_"))
+    df = queries.QUERIES[name](spark, data)
+    if name in queries.ORACLES:
+        assert differences(df, queries.ORACLES[name], connect(data)) == ""
+        return
+    n_docs = spark.read.parquet(f"{data}/documents.parquet").count()
+    if n in (5, 7):
+        assert df.count() == n_docs
+    elif n == 6:
+        assert df.count() == spark.read.parquet(f"{data}/embeddings.parquet").count()
+    elif n == 3:
+        assert df.select("doc_id").distinct().count() == n_docs
+    else:
+        assert df.count() > 0
+
+
+def test_quality_plan_derives_once(spark, data):
+    from loomgraph.llm import quality
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    plan = quality.judge(docs).filter("kept").select(*docs.columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_remove(split(") == 1
 
 
 def test_hash_words():
