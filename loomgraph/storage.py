@@ -7,6 +7,7 @@ dropped: by who made them, or all since a ``mark`` once a result has been writte
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,12 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more: Spark deletes them once the driver's JVM has collected garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` made and nothing reads any more."""
     for df in tables:
