@@ -5,35 +5,41 @@ seen with it, times BACKOFF for each word of context given up; at last count(wor
 A document's own n-grams are taken off the counts first, or each would vouch for itself.
 
 The relational plan is that of ORACLE: exploded n-grams joined to count tables, summed per
-document. Its rows are packed: documents are dealt into batches, and a batch sends its
-distinct n-grams, one list for each hash bucket, with their counts there; a bucket's task
-adds them up, which is the count table's partition, and joins the totals back to what each
-batch asked for; batches then sum per document. Nothing grows with a frequent n-gram: it
-is one entry of each batch. One row for each n-gram and document would move three to four
-times as much.
+document. Its rows are packed: each input partition packs its documents into batches
+(texts compressed, written once, so that a batch is the same whenever it is read), and a
+batch sends its distinct n-grams, one list for each range of hashes, with their counts
+there. A range's task adds them up, which is the count table's partition, and answers
+each list with its totals; batches then sum per document. Nothing grows with a frequent
+n-gram: it is one entry of each batch. Lists are sorted, so they travel as steps from one
+hash to the next, which takes six bytes rather than eight. Empty lists are not sent:
+however many batches and ranges there are, rows are never more than the exploded plan's,
+which would move three to four times as much.
 
 Defined results: null and empty texts have no words and score 0; a word that no other
 document has counts as seen once; rows of equal id are scored apart; texts of any length
-are taken whole; other columns are left alone; an empty table gives an empty result.
+are taken whole, one longer than a batch as a batch of its own; other columns are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shingles import mix, word_hashes
-from loomgraph.storage import cut
+from loomgraph.storage import cut, release
 
 BACKOFF, ORDER = 0.4, 2
 #: words of the longest n-grams that the query counts
 QUERY_ORDER = 3
-#: documents of a batch, and of the corpus for each bucket of n-grams
-BATCH_DOCS, BUCKET_DOCS = 2048, 2048
+#: bytes of text in a batch, documents of a batch at most, and documents of the corpus for each range of hashes
+BATCH_BYTES, BATCH_DOCS, BUCKET_DOCS = 8 << 20, 8192, 2048
+
+PACKED = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("known", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int64())), ("texts", pa.binary())])
 
 
 def ngrams(words: np.ndarray, order: int) -> list[np.ndarray]:
@@ -44,11 +50,67 @@ def ngrams(words: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of distinct hashes by bucket, then hash, and the bounds of the buckets."""
-    at = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    return order, np.searchsorted(at[order], np.arange(buckets + 1))
+def _pack(batch_bytes: int, batch_docs: int):
+    """Batches of a partition's documents: numbers, ids, where each text ends, and all texts compressed."""
+
+    def run(parts):
+        first, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def batch():
+            row = [first], [[i or 0 for i in ids]], [[i is not None for i in ids]], [np.cumsum([len(t) for t in texts])], [zstandard.compress(b"".join(texts))]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, PACKED)], schema=PACKED)
+
+        for part in parts:
+            for i, text in zip(part["doc_id"].to_pylist(), part["text"]):
+                t = text.as_py().encode()
+                if ids and (size + len(t) > batch_bytes or len(ids) == batch_docs):
+                    yield batch()
+                    first, ids, texts, size = first + 1, [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+        if ids:
+            yield batch()
+
+    return run
+
+
+def _texts(ends, packed: bytes) -> list[str]:
+    raw, at, out = zstandard.decompress(packed), 0, []
+    for end in ends:
+        out.append(raw[at:end].decode())
+        at = end
+    return out
+
+
+def _bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each of ``buckets`` equal ranges begins and ends in sorted hashes."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+
+
+def encode(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 as their bytes by place, the lowest first; only the highest place in use is compressible, unless there is but one or two."""
+    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    low = np.ascontiguousarray(planes[:, : width - 1].T).tobytes()
+    return bytes([width]) + len(numbers).to_bytes(8, "little") + (zstandard.compress(low, 1) if width < 4 else low) + zstandard.compress(planes[:, width - 1].tobytes(), 1)
+
+
+def decode(code: bytes) -> np.ndarray:
+    """What ``encode`` was given."""
+    width, n = code[0], int.from_bytes(code[1:9], "little")
+    planes, at = np.zeros((n, 8), np.uint8), 9
+    if width < 4:
+        reader = zstandard.ZstdDecompressor().decompressobj()
+        low = reader.decompress(code[at:])
+        at = len(code) - len(reader.unused_data)
+    else:
+        low = code[at : at + n * (width - 1)]
+        at += len(low)
+    planes[:, : width - 1] = np.frombuffer(low, np.uint8).reshape(width - 1, n).T
+    planes[:, width - 1] = np.frombuffer(zstandard.decompress(code[at:]), np.uint8)
+    return planes.view("<u8").ravel().astype(np.uint64)
 
 
 def _distinct(texts, order: int) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
@@ -58,29 +120,27 @@ def _distinct(texts, order: int) -> tuple[np.ndarray, np.ndarray, list[list[np.n
 
 
 def _ask(order: int, buckets: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        distinct, counts, grams = _distinct(pdf["text"], order)
-        by, bounds = _split(distinct, buckets)
-        rows = []
-        for b in range(buckets):
-            part = by[bounds[b] : bounds[b + 1]]
-            if len(part):
-                rows.append((b, pdf["batch"].iat[0], distinct[part].tobytes(), zlib.compress(counts[part].astype("<u4").tobytes(), 1), 0))
-        if rows:
-            rows[0] = (*rows[0][:4], sum(len(doc[0]) for doc in grams))
-        return pd.DataFrame(rows, columns=["bucket", "batch", "hashes", "counts", "tokens"])
+    def run(parts):
+        for pdf in parts:
+            for batch, ends, texts in zip(pdf["batch"], pdf["ends"], pdf["texts"]):
+                distinct, counts, grams = _distinct(_texts(ends, texts), order)
+                at, tokens, rows = _bounds(distinct, buckets), sum(len(doc[0]) for doc in grams), []
+                for b in np.flatnonzero(np.diff(at)):
+                    part = slice(at[b], at[b + 1])
+                    rows.append((b, batch, encode(np.diff(distinct[part], prepend=np.uint64(0))), encode(counts[part]), 0 if rows else tokens))
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "hashes", "counts", "tokens"])
 
     return run
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    hashes = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(c), "<u4") for c in pdf["counts"]])
-    table, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(at, weights=counts, minlength=len(table)).astype("<u8")
-    found = totals[at]
+    hashes = [np.cumsum(decode(h), dtype=np.uint64) for h in pdf["hashes"]]
     ends = np.cumsum([len(h) for h in hashes])
-    return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "totals": [zlib.compress(x.tobytes(), 1) for x in np.split(found, ends[:-1])], "tokens": pdf["tokens"]})
+    table, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = np.zeros(len(table), np.uint64)
+    for place, counts in zip(np.split(at, ends[:-1]), pdf["counts"]):
+        totals[place] += decode(counts)  # a list's hashes are distinct
+    return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "totals": [encode(totals[x]) for x in np.split(at, ends[:-1])], "tokens": pdf["tokens"]})
 
 
 def score_words(grams: list[np.ndarray], seen, n: int, backoff: float) -> float:
@@ -96,15 +156,15 @@ def score_words(grams: list[np.ndarray], seen, n: int, backoff: float) -> float:
     return float(best.sum())
 
 
-def _score(order: int, buckets: int, total: int, backoff: float):
+def _score(order: int, total: int, backoff: float):
     def run(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        distinct, _, grams = _distinct(docs["text"], order)
-        by, _ = _split(distinct, buckets)
-        counts = np.zeros(len(distinct), np.int64)
+        distinct, _, grams = _distinct(_texts(docs["ends"].iat[0], docs["texts"].iat[0]), order)
+        counts = np.zeros(0, np.int64)
         if len(distinct):
-            counts[by] = np.concatenate([np.frombuffer(zlib.decompress(x), "<u8") for x in answers.sort_values("bucket")["totals"]]).astype(np.int64)
+            counts = np.concatenate([decode(x) for x in answers.sort_values("bucket")["totals"]]).astype(np.int64)
+        ids = [int(i) if known else None for i, known in zip(docs["ids"].iat[0], docs["known"].iat[0])]
         rows = []
-        for doc, g in zip(docs["doc_id"], grams):
+        for g in grams:
             own = {}
             for x in g:
                 own[id(x)] = np.unique(x, return_inverse=True, return_counts=True)
@@ -114,24 +174,24 @@ def _score(order: int, buckets: int, total: int, backoff: float):
                 return (counts[np.searchsorted(distinct, values)] - times)[inverse]
 
             n = len(g[0])
-            rows.append((doc, n, score_words(g, seen, total - n, backoff) if n else 0.0))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "log_score"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
+            rows.append((n, score_words(g, seen, total - n, backoff) if n else 0.0))
+        out = pd.DataFrame(rows, columns=["n_words", "log_score"])
+        out.insert(0, "doc_id", pd.array(ids, "Int64"))
         return out
 
     return run
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, batch_docs: int = BATCH_DOCS, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, batch_docs: int = BATCH_DOCS, bucket_docs: int = BUCKET_DOCS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_words and log_score (natural logarithm, summed over the words) of every document."""
-    n = docs.count()
-    batches, buckets = max(1, -(-n // batch_docs)), max(1, -(-n // bucket_docs))
-    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), batch.alias("batch"))
-    asked = src.groupBy("batch").applyInPandas(_ask(order, buckets), "bucket bigint, batch bigint, hashes binary, counts binary, tokens bigint")
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = cut(src.mapInArrow(_pack(batch_bytes, batch_docs), "batch bigint, ids array<bigint>, known array<boolean>, ends array<bigint>, texts binary"), "batches")
+    n = packed.agg(F.sum(F.size("ids"))).first()[0] or 0
+    asked = packed.mapInPandas(_ask(order, max(1, -(-n // bucket_docs))), "bucket bigint, batch bigint, hashes binary, counts binary, tokens bigint")
     answers = cut(asked.groupBy("bucket").applyInPandas(_answer, "batch bigint, bucket bigint, totals binary, tokens bigint"), "counts")
+    release(answers.sparkSession)
     total = answers.agg(F.sum("tokens")).first()[0] or 0
-    return src.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_score(order, buckets, total, backoff), "doc_id bigint, n_words bigint, log_score double")
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_score(order, total, backoff), "doc_id bigint, n_words bigint, log_score double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -531,6 +531,22 @@ def test_lm_scores(spark, odd):
     assert collections.Counter((r.doc_id, r.n_words, round(r.log_score, 4) + 0.0) for r in rows) == want
 
 
+def test_lm_batches_and_their_codes(spark):
+    from loomgraph.llm import scoring
+
+    rng = np.random.default_rng(5)
+    for top in (1, 255, 256, 70000, 1 << 24, 1 << 46, (1 << 64) - 1):
+        for size in (0, 1, 500):
+            x = rng.integers(0, top, size, np.uint64, endpoint=True)
+            assert (scoring.decode(scoring.encode(x)) == x).all()
+    ids = [None, 2**62 + 1, 2**62 + 3, None, -(2**62) - 1]
+    docs = docs_of(spark, [(i, "a b c " * 9) for i in ids])
+    small = scoring.backoff_scores(docs, 3, batch_bytes=60, bucket_docs=1).collect()
+    whole = scoring.backoff_scores(docs, 3).collect()
+    assert collections.Counter(r.doc_id for r in small) == collections.Counter(ids)
+    assert sorted((str(r.doc_id), r.n_words, round(r.log_score, 9)) for r in small) == sorted((str(r.doc_id), r.n_words, round(r.log_score, 9)) for r in whole)
+
+
 def test_lm_query_counts_trigrams(spark, tmp_path):
     from loomgraph.llm import scoring
 
