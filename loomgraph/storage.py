@@ -7,12 +7,14 @@ dropped: by who made them, or all since a ``mark`` once a result has been writte
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which an execution deletes its shuffle files when it ends
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 _made: list[str] = []
 
@@ -29,20 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+    """``df`` written to the shared folder and read back; the write's own shuffle files go as soon as it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing refers to any more: Spark deletes them once the driver's JVM has collected garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` made and nothing reads any more."""
     for df in tables:
