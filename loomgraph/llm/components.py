@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.memory import released
 from loomgraph.storage import cut, drop
 
 EDGE = "a bigint, b bigint"
@@ -52,7 +53,7 @@ def _local(edges: DataFrame) -> DataFrame:
                 a, b = a[:0], b[:0]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).mapInArrow(run, EDGE)
+    return edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).mapInArrow(released(run), EDGE)
 
 
 def _print(edges: DataFrame) -> tuple:

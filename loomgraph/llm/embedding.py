@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components, stars
+from loomgraph.llm.memory import released
 from loomgraph.storage import cut
 
 #: sample rows for training; most centres; rows of a block; deviations of a step across a plane
@@ -169,7 +170,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SA
     step = reach(float(np.sqrt(max(0.0, 2 - 2 * threshold))), dim, sigmas)
     centres = spherical_kmeans(_unit(train, dim), cells_for(total, most_cells))
     kind = keyed.schema["v"].dataType.simpleString()
-    cells = reps.select("rep", "n", "v").mapInPandas(_guests(centres, step), f"cell int, home int, lower array<int>, rep bigint, n bigint, v {kind}")
+    cells = reps.select("rep", "n", "v").mapInPandas(released(_guests(centres, step)), f"cell int, home int, lower array<int>, rep bigint, n bigint, v {kind}")
     cells = cut(cells, "cells")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks"))  # at most ``most_cells`` rows
     placed = cells.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))

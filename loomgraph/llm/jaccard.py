@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.linking import HEAVY, link, prefix_length
+from loomgraph.llm.memory import released
 from loomgraph.llm.shingles import mix, parity, shingle_set
 from loomgraph.storage import cut, drop
 
@@ -133,17 +134,17 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     spark = docs.sparkSession
     src = docs.select("doc_id", "text")
     run, schema = _scan(k)
-    scanned = cut(src.mapInPandas(run, schema), "scan")
+    scanned = cut(src.mapInPandas(released(run), schema), "scan")
     shared = spark.sparkContext.broadcast(count_table(scanned))
     info = scanned.filter(F.col("part").isNull()).select("doc_id", "size", "h1", "h2", "sketch")
     full = info.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     reps = cut(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
-    keys = src.filter(F.col("doc_id").isNotNull()).mapInPandas(_prefixes(k, num, den, shared), "key bigint, salt int, item bigint, size int, pos int")
+    keys = src.filter(F.col("doc_id").isNotNull()).mapInPandas(released(_prefixes(k, num, den, shared)), "key bigint, salt int, item bigint, size int, pos int")
 
     def sets(needed: DataFrame) -> DataFrame:
         met = needed.join(reps.select("node", "doc_id", "h1", "h2"), "node").join(src, "doc_id")
-        return met.select("node", "h1", "h2", "text").mapInPandas(_sets(k), "node bigint, shingles binary")
+        return met.select("node", "h1", "h2", "text").mapInPandas(released(_sets(k)), "node bigint, shingles binary")
 
     linked = link(keys, reps.select(F.col("h1").alias("item"), "node", "size", "sketch"), sets, num, den)
     classes = reps.select("h1", "h2", "node", "doc_id").join(linked.withColumnRenamed("vertex", "node"), "node", "left")

@@ -24,6 +24,8 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.memory import released
+
 # Wordings of common licenses and notices.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -221,7 +223,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(run), SCHEMA)
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components, stars
+from loomgraph.llm.memory import released
 from loomgraph.llm.shingles import fold
 from loomgraph.storage import cut, drop
 
@@ -273,9 +274,9 @@ def salted(keys: DataFrame, most: int = HEAVY) -> DataFrame:
 def _candidates(keys: DataFrame, sketches: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(vertex, component) of what keys bring together and the cheap filters leave."""
     dealt = keys.select("key", "salt", "item", "size", "pos").repartition("key", "salt").sortWithinPartitions("key", "salt", "size", "item")
-    lists = cut(dealt.mapInPandas(_lists(num, den, block), LISTS), "lists")
+    lists = cut(dealt.mapInPandas(released(_lists(num, den, block)), LISTS), "lists")
     met = lists.filter("list IS NOT NULL").select("list", "item").distinct().join(sketches, "item").select("list", "node", "size", "sketch")
-    edges = met.repartition("list").sortWithinPartitions("list", "size", "node").mapInPandas(_filter(num, den), EDGE)
+    edges = met.repartition("list").sortWithinPartitions("list", "size", "node").mapInPandas(released(_filter(num, den)), EDGE)
     hot = lists.filter("key IS NOT NULL")
     if not hot.isEmpty():
         # the parts of a key have a hub each; hubs hang together by the least of the key's

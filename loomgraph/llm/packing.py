@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.memory import released
 from loomgraph.storage import cut
 
 SIZE, END_ID = 1024, 2
@@ -130,7 +131,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids:
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[: len(names)], kinds)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(released(run), PIECES + ", ids binary" * with_ids)
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -182,7 +183,7 @@ def _round(items: DataFrame, size: int, level: int, done: int) -> DataFrame:
                 rows = []
         yield _table(rows, pa)
 
-    return items.select("item", "fill").mapInArrow(run, "item bigint, bin bigint, shift bigint, fill bigint, open boolean")
+    return items.select("item", "fill").mapInArrow(released(run), "item bigint, bin bigint, shift bigint, fill bigint, open boolean")
 
 
 def _table(rows, pa):

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.memory import released
+
 CHUNK, MARK = 1 << 16, "▁"
 NONE = -np.inf
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -322,15 +324,15 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
 
-    done = src.filter(small).mapInArrow(whole, "doc_id bigint, ids array<int>")
+    done = src.filter(small).mapInArrow(released(whole), "doc_id bigint, ids array<int>")
     from loomgraph.storage import cut
 
     giant = cut(src.filter(~small).select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "giant")
-    parts = giant.select("doc", "text").mapInPandas(_chunks(chunk, margin), "doc bigint, k int, n int, s string, start int, end int")
+    parts = giant.select("doc", "text").mapInPandas(released(_chunks(chunk, margin)), "doc bigint, k int, n int, s string, start int, end int")
     parts = cut(parts.repartition("doc", "k"), "chunks")
-    matrices = parts.mapInPandas(_transfers(path), "doc bigint, k int, ins int, matrix binary")
+    matrices = parts.mapInPandas(released(_transfers(path)), "doc bigint, k int, ins int, matrix binary")
     states = matrices.groupBy("doc").applyInPandas(_choose, "doc bigint, k int, come int, go int")
-    traced = parts.join(states, ["doc", "k"]).select("doc", "k", "n", "s", "start", "end", "come", "go").mapInPandas(_traces(path), "doc bigint, k int, ids array<int>")
+    traced = parts.join(states, ["doc", "k"]).select("doc", "k", "n", "s", "start", "end", "come", "go").mapInPandas(released(_traces(path)), "doc bigint, k int, ids array<int>")
     joined = traced.groupBy("doc").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return done.unionByName(giant.select("doc", "doc_id").join(joined, "doc").select("doc_id", "ids"))
 
@@ -349,7 +351,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [m.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), "doc_id bigint, ids array<int>, text string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

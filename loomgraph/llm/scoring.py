@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.memory import released
 from loomgraph.llm.shingles import mix, word_hashes
 from loomgraph.storage import cut
 
@@ -185,9 +186,9 @@ def _score(order: int, total: int, backoff: float):
 def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, batch_docs: int = BATCH_DOCS, bucket_docs: int = BUCKET_DOCS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_words and log_score (natural logarithm, summed over the words) of every document."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    packed = cut(src.mapInArrow(_pack(batch_bytes, batch_docs), "batch bigint, ids array<bigint>, known array<boolean>, ends array<bigint>, texts binary"), "batches")
+    packed = cut(src.mapInArrow(released(_pack(batch_bytes, batch_docs)), "batch bigint, ids array<bigint>, known array<boolean>, ends array<bigint>, texts binary"), "batches")
     n = packed.agg(F.sum(F.size("ids"))).first()[0] or 0
-    asked = packed.mapInPandas(_ask(order, max(1, -(-n // bucket_docs))), "bucket bigint, batch bigint, hashes binary, counts binary, tokens bigint")
+    asked = packed.mapInPandas(released(_ask(order, max(1, -(-n // bucket_docs)))), "bucket bigint, batch bigint, hashes binary, counts binary, tokens bigint")
     answers = cut(asked.groupBy("bucket").applyInPandas(_answer, "batch bigint, bucket bigint, totals binary, tokens bigint"), "counts")
     total = answers.agg(F.sum("tokens")).first()[0] or 0
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_score(order, total, backoff), "doc_id bigint, n_words bigint, log_score double")

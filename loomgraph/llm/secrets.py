@@ -20,6 +20,8 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.memory import released
+
 KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -228,7 +230,7 @@ def scan(docs: DataFrame, net: Net | None = None) -> DataFrame:
             rows = [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, spans array<struct<start: bigint, end: bigint, kind: string>>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id bigint, spans array<struct<start: bigint, end: bigint, kind: string>>")
 
 
 def redact(docs: DataFrame, net: Net | None = None, mark: str = "[secret]") -> DataFrame:
@@ -254,7 +256,7 @@ def redact(docs: DataFrame, net: Net | None = None, mark: str = "[secret]") -> D
                 new["n_chars"] = pa.array([len(t) if t is not None else n for t, n in zip(out, batch.column("n_chars").to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.jaccard import set_hash
 from loomgraph.llm.linking import link, salted
+from loomgraph.llm.memory import released
 from loomgraph.llm.shingles import mix, parity, run_hashes, shingle_hashes, word_hashes
 from loomgraph.storage import cut
 
@@ -117,7 +118,7 @@ def _windows(window: int, radius: int):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
     """(doc_id, start, words, class_doc, kept) of windows that stand in two documents or more."""
-    rows = docs.mapInPandas(_windows(window, radius), "h1 bigint, h2 bigint, doc_id bigint, start int")
+    rows = docs.mapInPandas(released(_windows(window, radius)), "h1 bigint, h2 bigint, doc_id bigint, start int")
     twice = rows.groupBy("h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1")
     found = cut(rows.join(twice, "h1"), "windows")
     owner = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_doc"), F.max("doc_id").alias("hi")).filter("class_doc < hi").drop("hi")
@@ -194,7 +195,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     """(doc_id, start, words, class_doc, kept) of paragraphs in clusters of two or more."""
     kind = "doc_id bigint, start int, words int, size int, h1 bigint, h2 bigint, sketch binary, bands array<bigint>"
     bands = tune_bands(num / den, recall, rows)
-    info = cut(docs.mapInPandas(_info(k, least, bands, rows), kind).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
+    info = cut(docs.mapInPandas(released(_info(k, least, bands, rows)), kind).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
     first = F.min(F.struct("doc_id", "start", "pid"))
     reps = info.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     reps = cut(reps.select("h1", "h2", "n", "size", "sketch", "bands", F.col("f.pid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start")), "reps")
@@ -203,7 +204,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     def sets(needed: DataFrame) -> DataFrame:
         at = needed.join(reps.select("node", "doc_id", "start", "h1", "h2"), "node")
         at = at.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "h1", "h2")).alias("needed"))  # a document's own lines
-        return docs.join(at, "doc_id").select("text", "needed").mapInPandas(_sets(k, least), "node bigint, shingles binary")
+        return docs.join(at, "doc_id").select("text", "needed").mapInPandas(released(_sets(k, least)), "node bigint, shingles binary")
 
     linked = link(keys, reps.select(F.col("h1").alias("item"), "node", "size", "sketch"), sets, num, den)
     classes = reps.join(linked.withColumnRenamed("vertex", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
@@ -250,7 +251,7 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
             gone = [bool(c) and not (t or "").strip() for c, t in zip(batch.column("_cuts").to_pylist(), out)]
             yield rows.filter(pa.array([not g for g in gone]))
 
-    return docs.join(cuts, "doc_id", "left").select(*names, "_cuts").mapInArrow(run, schema)
+    return docs.join(cuts, "doc_id", "left").select(*names, "_cuts").mapInArrow(released(run), schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
