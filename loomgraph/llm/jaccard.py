@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.linking import HEAVY, link, prefix_length
@@ -41,24 +41,24 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
 
 def _scan(k: int):
     """One row for each document, then the parts of the task's count table."""
-    schema = "doc_id bigint, size int, h1 bigint, h2 bigint, sketch binary, part int, salt int, counts binary"
+    schema = "doc_id bigint, digest bigint, size int, h1 bigint, h2 bigint, sketch binary, part int, salt int, counts binary"
 
     def run(frames):
         table = np.zeros(COUNTERS, np.uint32)
         for pdf in frames:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, digest, text in zip(pdf["doc_id"], pdf["digest"], pdf["text"]):
                 s = shingle_set(text, k)
                 table[s & np.uint64(COUNTERS - 1)] += 1  # a document counts once for a counter
-                rows.append((doc, len(s), *set_hash(s), parity(s) if len(s) else b""))
-            out = pd.DataFrame(rows, columns=["doc_id", "size", "h1", "h2", "sketch"])
+                rows.append((doc, digest, len(s), *set_hash(s), parity(s) if len(s) else b""))
+            out = pd.DataFrame(rows, columns=["doc_id", "digest", "size", "h1", "h2", "sketch"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out.assign(part=pd.array([None] * len(out), "Int32"), salt=pd.array([None] * len(out), "Int32"), counts=None)
         pid = TaskContext.get().partitionId() % 64
         parts = np.split(table, PARTS)
         some = [i for i in range(PARTS) if parts[i].any()]
         none = pd.array([None] * len(some), "Int64")
-        yield pd.DataFrame({"doc_id": none, "size": pd.array([None] * len(some), "Int32"), "h1": none, "h2": none, "sketch": None, "part": pd.array(some, "Int32"), "salt": pd.array([pid] * len(some), "Int32"), "counts": [zlib.compress(parts[i].astype("<u8").tobytes(), 1) for i in some]})
+        yield pd.DataFrame({"doc_id": none, "digest": none, "size": pd.array([None] * len(some), "Int32"), "h1": none, "h2": none, "sketch": None, "part": pd.array(some, "Int32"), "salt": pd.array([pid] * len(some), "Int32"), "counts": [zlib.compress(parts[i].astype("<u8").tobytes(), 1) for i in some]})
 
     return run, schema
 
@@ -129,14 +129,24 @@ def _sets(k: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document; links have den * intersection >= num * union."""
+def text_digest(text: Column | str = "text") -> Column:
+    """What tells rows of one id apart: a 64-bit hash of the text."""
+    return F.xxhash64(text)
+
+
+def document_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, digest (of the text), class, n_shingles and component_id of each row; links have den * intersection >= num * union.
+
+    class is null for rows without an id or without shingles; it tells classes apart even
+    where an id stands on several texts, which component_id, a class's smallest doc_id,
+    can't.
+    """
     spark = docs.sparkSession
-    src = docs.select("doc_id", "text")
+    src = docs.select("doc_id", "text", text_digest().alias("digest"))
     run, schema = _scan(k)
     scanned = cut(src.mapInPandas(released(run), schema), "scan")
     shared = spark.sparkContext.broadcast(count_table(scanned))
-    info = scanned.filter(F.col("part").isNull()).select("doc_id", "size", "h1", "h2", "sketch")
+    info = scanned.filter(F.col("part").isNull()).select("doc_id", "digest", "size", "h1", "h2", "sketch")
     full = info.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
     reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     reps = cut(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
@@ -147,14 +157,34 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         return met.select("node", "h1", "h2", "text").mapInPandas(released(_sets(k)), "node bigint, shingles binary")
 
     linked = link(keys, reps.select(F.col("h1").alias("item"), "node", "size", "sketch"), sets, num, den)
-    classes = reps.select("h1", "h2", "node", "doc_id").join(linked.withColumnRenamed("vertex", "node"), "node", "left")
+    classes = reps.select("h1", "h2", "node", "doc_id").join(linked.withColumnRenamed("vertex", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(least, "component", "left").select("h1", "h2", F.coalesce("least", "doc_id").alias("component"))
-    out = full.select("doc_id", "size", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
-    rest = info.filter((F.col("size") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    classes = classes.join(least, "component", "left").select("h1", "h2", "class", F.coalesce("least", "doc_id").alias("component"))
+    out = full.select("doc_id", "digest", "size", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "digest", "class", F.col("size").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
+    rest = info.filter((F.col("size") == 0) | F.col("doc_id").isNull()).select("doc_id", "digest", F.lit(None).cast("bigint").alias("class"), F.col("size").cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)
 
 
+def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document; links have den * intersection >= num * union."""
+    return document_classes(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest doc_id; rows without an id or without words all stay.
+
+    Rows are told apart by id and text, so different texts of one id are judged each for
+    itself; rows that repeat both are one, whichever of them stays.
+    """
+    found = cut(document_classes(docs, k, num, den).filter("class IS NOT NULL").groupBy("class", "doc_id", "digest").agg(F.count("*").alias("n")), "classes")
+    best = found.groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("b"))
+    judged = found.join(best, "class").select("doc_id", F.col("digest").alias("_digest"), "n", ((F.col("doc_id") == F.col("b.doc_id")) & (F.col("digest") == F.col("b.digest"))).alias("best"))
+    rows, key = docs.withColumn("_digest", text_digest()), ["doc_id", "_digest"]
+    stay = rows.join(judged.filter("NOT best OR n > 1"), key, "left_anti")
+    once = rows.join(judged.filter("best AND n > 1"), key, "left_semi").dropDuplicates(key)
+    return stay.unionByName(once).select(*docs.columns)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class by three-word shingles and a similarity of 0.9 or more."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=9, den=10)

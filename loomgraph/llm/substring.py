@@ -12,7 +12,8 @@ Hashes are of words with A-Z lower-cased, so passages that differ in case alone
 
 Defined results: null and empty texts have no paragraphs; rows with a null id are left
 as they are; equal texts under different ids repeat each other, and rows that repeat an
-id too are judged as one document; texts of any length are taken whole; an empty table
+id too are judged as one document; different texts of one id are cut each by its own spans
+(rows are told apart by id and a hash of the text), but share passages freely; texts of any length are taken whole; an empty table
 gives an empty result; other columns are left alone.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.jaccard import set_hash
+from loomgraph.llm.jaccard import set_hash, text_digest
 from loomgraph.llm.linking import link, salted
 from loomgraph.llm.memory import released
 from loomgraph.llm.shingles import mix, parity, run_hashes, shingle_hashes, word_hashes
@@ -101,28 +102,29 @@ def anchors(h: np.ndarray, window: int = WINDOW, radius: int = RADIUS) -> np.nda
 def _windows(window: int, radius: int):
     def run(frames):
         for pdf in frames:
-            docs, starts, one, two = [], [], [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            docs, digests, starts, one, two = [], [], [], [], []
+            for doc, digest, text in zip(pdf["doc_id"], pdf["digest"], pdf["text"]):
                 h = word_hashes(text)
                 at = anchors(h, window, radius)
                 if len(at):
                     docs.append(np.full(len(at), doc, np.int64))
+                    digests.append(np.full(len(at), digest, np.int64))
                     starts.append(at.astype(np.int32))
                     one.append(run_hashes(h, at, window))
                     two.append(run_hashes(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), at, window))
             if docs:
-                yield pd.DataFrame({"h1": np.concatenate(one).view(np.int64), "h2": np.concatenate(two).view(np.int64), "doc_id": np.concatenate(docs), "start": np.concatenate(starts)})
+                yield pd.DataFrame({"h1": np.concatenate(one).view(np.int64), "h2": np.concatenate(two).view(np.int64), "doc_id": np.concatenate(docs), "digest": np.concatenate(digests), "start": np.concatenate(starts)})
 
     return run
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
     """(doc_id, start, words, class_doc, kept) of windows that stand in two documents or more."""
-    rows = docs.mapInPandas(released(_windows(window, radius)), "h1 bigint, h2 bigint, doc_id bigint, start int")
+    rows = docs.mapInPandas(released(_windows(window, radius)), "h1 bigint, h2 bigint, doc_id bigint, digest bigint, start int")
     twice = rows.groupBy("h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1")
     found = cut(rows.join(twice, "h1"), "windows")
     owner = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_doc"), F.max("doc_id").alias("hi")).filter("class_doc < hi").drop("hi")
-    return found.join(owner, ["h1", "h2"]).select("doc_id", "start", F.lit(window).alias("words"), "class_doc", (F.col("doc_id") == F.col("class_doc")).alias("kept"))
+    return found.join(owner, ["h1", "h2"]).select("doc_id", "digest", "start", F.lit(window).alias("words"), "class_doc", (F.col("doc_id") == F.col("class_doc")).alias("kept"))
 
 
 def _signatures(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int, salt: np.ndarray) -> np.ndarray:
@@ -139,7 +141,7 @@ def _info(k: int, least: int, bands: int, rows: int, seed: int = 11, at_once: in
     """Rows of INFO for every paragraph; some ``at_once`` words are worked on together."""
 
     def made(held: list) -> pd.DataFrame:
-        docs, starts, words, parts = zip(*held)
+        docs, digests, starts, words, parts = zip(*held)
         n = np.array([len(p) for p in parts])
         owner = np.repeat(np.arange(len(parts)), n)
         flat = np.concatenate(parts)
@@ -158,14 +160,14 @@ def _info(k: int, least: int, bands: int, rows: int, seed: int = 11, at_once: in
             sketch[i] = parity(flat[at[i] : at[i] + size[i]])
         salt = np.random.default_rng(seed).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
         keys = _signatures(flat, at, bands, rows, salt).view(np.int64)
-        return pd.DataFrame({"doc_id": docs, "start": starts, "words": words, "size": size, "h1": h1, "h2": h2, "sketch": sketch, "bands": list(keys)})
+        return pd.DataFrame({"doc_id": docs, "digest": digests, "start": starts, "words": words, "size": size, "h1": h1, "h2": h2, "sketch": sketch, "bands": list(keys)})
 
     def run(frames):
         held, count = [], 0
         for pdf in frames:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, digest, text in zip(pdf["doc_id"], pdf["digest"], pdf["text"]):
                 for start, words, shingles in paragraphs(text, k, least):
-                    held.append((doc, start, words, shingles))
+                    held.append((doc, digest, start, words, shingles))
                     count += words
                 if count >= at_once:
                     yield made(held)
@@ -193,12 +195,12 @@ def _sets(k: int, least: int):
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, least: int = MIN_WORDS, recall: float = 0.99, rows: int = 2) -> DataFrame:
     """(doc_id, start, words, class_doc, kept) of paragraphs in clusters of two or more."""
-    kind = "doc_id bigint, start int, words int, size int, h1 bigint, h2 bigint, sketch binary, bands array<bigint>"
+    kind = "doc_id bigint, digest bigint, start int, words int, size int, h1 bigint, h2 bigint, sketch binary, bands array<bigint>"
     bands = tune_bands(num / den, recall, rows)
     info = cut(docs.mapInPandas(released(_info(k, least, bands, rows)), kind).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
-    first = F.min(F.struct("doc_id", "start", "pid"))
+    first = F.min(F.struct("doc_id", "digest", "start", "pid"))
     reps = info.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    reps = cut(reps.select("h1", "h2", "n", "size", "sketch", "bands", F.col("f.pid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start")), "reps")
+    reps = cut(reps.select("h1", "h2", "n", "size", "sketch", "bands", F.col("f.pid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.digest").alias("digest"), F.col("f.start").alias("start")), "reps")
     keys = salted(reps.select(F.explode("bands").alias("key"), F.col("h1").alias("item"), "size", F.lit(0).alias("pos")))
 
     def sets(needed: DataFrame) -> DataFrame:
@@ -208,34 +210,34 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
     linked = link(keys, reps.select(F.col("h1").alias("item"), "node", "size", "sketch"), sets, num, den)
     classes = reps.join(linked.withColumnRenamed("vertex", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
-    owner = classes.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.sum("n").alias("all")).filter("`all` > 1")
+    owner = classes.groupBy("class").agg(F.min(F.struct("doc_id", "digest", "start")).alias("o"), F.sum("n").alias("all")).filter("`all` > 1")
     known = classes.select("h1", "h2", "class").join(owner, "class").select("h1", "h2", "o")
-    return info.select("doc_id", "start", "words", "h1", "h2").join(known, ["h1", "h2"]).select(
-        "doc_id", "start", "words", F.col("o.doc_id").alias("class_doc"), ((F.col("doc_id") == F.col("o.doc_id")) & (F.col("start") == F.col("o.start"))).alias("kept"))
+    own = (F.col("doc_id") == F.col("o.doc_id")) & (F.col("digest") == F.col("o.digest")) & (F.col("start") == F.col("o.start"))
+    return info.select("doc_id", "digest", "start", "words", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "digest", "start", "words", F.col("o.doc_id").alias("class_doc"), own.alias("kept"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Paragraphs and windows that repeat: (doc_id, start, words, class_doc, kept), words counted from 0."""
-    src = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    """Paragraphs and windows that repeat: (doc_id, digest of the text, start, words, class_doc, kept), words counted from 0."""
+    src = docs.select("doc_id", "text", text_digest().alias("digest")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return repeated_paragraphs(src).unionByName(repeated_windows(src))
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """Spans of a document that overlap or touch and are alike kept or not, joined: (doc_id, start, words, class_doc, kept)."""
+    """Spans of a document that overlap or touch and are alike kept or not, joined: (doc_id, digest, start, words, class_doc, kept)."""
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("doc_id", "kept").orderBy("start", F.desc("words"))
+    order = W.partitionBy("doc_id", "digest", "kept").orderBy("start", F.desc("words"))
     reach = F.max(F.col("start") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
     at = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     at = at.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    joined = at.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("words")).alias("end"), F.min("class_doc").alias("class_doc"))
-    return joined.select("doc_id", "start", (F.col("end") - F.col("start")).alias("words"), "class_doc", "kept")
+    joined = at.groupBy("doc_id", "digest", "kept", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("words")).alias("end"), F.min("class_doc").alias("class_doc"))
+    return joined.select("doc_id", "digest", "start", (F.col("end") - F.col("start")).alias("words"), "class_doc", "kept")
 
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the words of the spans that aren't kept, the blanks before each going too; documents left without words go."""
     names, schema = docs.columns, docs.schema
-    cuts = spans.filter("NOT kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("_cuts"))  # a document's own spans
+    cuts = spans.filter("NOT kept").groupBy("doc_id", F.col("digest").alias("_digest")).agg(F.collect_list(F.struct("start", "words")).alias("_cuts"))  # a document's own spans
 
     def run(batches):
         import pyarrow as pa
@@ -251,7 +253,7 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
             gone = [bool(c) and not (t or "").strip() for c, t in zip(batch.column("_cuts").to_pylist(), out)]
             yield rows.filter(pa.array([not g for g in gone]))
 
-    return docs.join(cuts, "doc_id", "left").select(*names, "_cuts").mapInArrow(released(run), schema)
+    return docs.withColumn("_digest", text_digest()).join(cuts, ["doc_id", "_digest"], "left").select(*names, "_cuts").mapInArrow(released(run), schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -268,4 +270,4 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's repeated spans: where they stand, which document holds the first, and whether this one stays."""
-    return merged(repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return merged(repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("digest")
