@@ -8,7 +8,6 @@ duplicate stages as they are.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm import jaccard, packing, quality, secrets, substring
 from loomgraph.storage import cut, drop
@@ -21,9 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies (five words, similarity 0.8)."""
-    classes = jaccard.jaccard_classes(docs)
-    others = classes.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
