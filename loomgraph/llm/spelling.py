@@ -42,7 +42,7 @@ from loomgraph.storage import cut, drop
 #: fixed values of the contract: letters of a run, one deletion in so many runs, least length and occurrences, how much commoner a form is
 RUN, EVERY, SHORTEST, LEAST, TIMES = "[A-Za-zÀ-ÿ]", 31, 7, 2, 10
 #: words that a task holds before it lets them go; code points of words whose keys are made at once
-HOLD, STRIP = 400_000, 1 << 20
+HOLD, STRIP = 150_000, 1 << 20
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: four primes below 2**31, and a base for each
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], np.uint64)[:, None]
