@@ -7,8 +7,10 @@ a plane that a step of the search radius may cross it is sent to the other cell
 guest, so the pair meets there; it is counted in one cell. A step in any of d dimensions
 moves along the plane's normal by the radius over the square root of d, as a standard
 deviation; SIGMAS of these are allowed for, and never more than the radius itself, which
-makes the search exact up to SIGMAS squared dimensions. Recall against brute force is
-tested. Cells of any size are compared in blocks; tasks return counts and a spanning
+makes the search exact up to SIGMAS squared dimensions. d is not the vectors' width but how
+many dimensions their spread within cells fills, by the training sample; and if of the near
+pairs in that sample any but a few in a thousand would not meet, the whole radius is used.
+Recall against brute force is tested, for vectors that fill few dimensions too. Cells of any size are compared in blocks; tasks return counts and a spanning
 forest, never the pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link
@@ -68,11 +70,49 @@ def _unit(values, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def reach(radius: float, dim: int, sigmas: float = SIGMAS) -> float:
+def free_dimensions(x: np.ndarray, centres: np.ndarray, least: int = 16, quantile: float = 0.1) -> float:
+    """How many dimensions the rows ``x`` fill around their centres: (sum of variances)^2 / (sum of their squares), corrected for the sample's size.
+
+    A low quantile over cells, by rows; 1 where no cell has ``least`` rows.
+    """
+    at = (x @ centres.T).argmax(1)
+    found = []
+    for c in range(len(centres)):
+        r = x[at == c]
+        n = len(r) - 1
+        if n + 1 < least:
+            continue
+        r = r - r.mean(0)
+        one, two = (r * r).sum() / n, ((r @ r.T) ** 2).sum() / n**2
+        if one < 1e-12:  # all alike
+            continue
+        squares = (two - one**2 / n) * n**2 / ((n - 1) * (n + 2))
+        found.append((one**2 / squares if squares > one**2 / x.shape[1] else x.shape[1], n + 1))
+    if not found:
+        return 1.0
+    d, n = (np.array(v) for v in zip(*sorted(found)))
+    return float(max(1.0, d[np.searchsorted(np.cumsum(n), quantile * n.sum())]))
+
+
+def missed(x: np.ndarray, centres: np.ndarray, step: float, threshold: float, queries: int = 2000) -> float:
+    """The share of near pairs of the sample ``x``, those of its first rows with any, that would not meet in a cell."""
+    home, near = _cells(x, centres, gaps(centres), step)
+    a, b = np.nonzero(x[:queries] @ x.T >= threshold)
+    a, b = a[a != b], b[a != b]
+    return float(((home[a] != home[b]) & ~near[a, home[b]] & ~near[b, home[a]]).mean()) if len(a) else 0.0
+
+
+def reach(radius: float, dim: float, sigmas: float = SIGMAS) -> float:
     """How far a step of ``radius`` is taken to go along a plane's normal."""
     return radius * min(1.0, sigmas / math.sqrt(dim))
 
 
+def step_of(train: np.ndarray, centres: np.ndarray, radius: float, threshold: float, sigmas: float = SIGMAS, most_missed: float = 0.005) -> float:
+    """How far a step of ``radius`` is taken to go along a plane's normal, for vectors such as the sample's."""
+    step = reach(radius, free_dimensions(train, centres), sigmas)
+    return radius if missed(train, centres, step, threshold) > most_missed else step
+
+
 def _cells(x: np.ndarray, centres: np.ndarray, gap: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
     """Each unit row's home cell, and which others it visits: those whose plane between the centres (``gap`` apart) is within half the step."""
     scores = x @ centres.T
@@ -167,8 +207,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SA
         return src.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     train = [r["v"] for r in reps.orderBy(F.xxhash64("rep")).select("v").limit(sample).collect()]
     # |x - y| for two unit vectors with this cosine
-    step = reach(float(np.sqrt(max(0.0, 2 - 2 * threshold))), dim, sigmas)
-    centres = spherical_kmeans(_unit(train, dim), cells_for(total, most_cells))
+    radius, train = float(np.sqrt(max(0.0, 2 - 2 * threshold))), _unit(train, dim)
+    centres = spherical_kmeans(train, cells_for(total, most_cells))
+    step = step_of(train, centres, radius, threshold, sigmas)
     kind = keyed.schema["v"].dataType.simpleString()
     cells = reps.select("rep", "n", "v").mapInPandas(released(_guests(centres, step)), f"cell int, home int, lower array<int>, rep bigint, n bigint, v {kind}")
     cells = cut(cells, "cells")

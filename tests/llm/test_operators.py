@@ -654,6 +654,63 @@ def test_pipeline_on_odd_tables(spark, odd):
             assert docs.count() == 0
 
 
+def test_hot_key_of_disjoint_sets_costs_no_blocks(spark, monkeypatch):
+    """Sets that share one common key and nothing else aren't compared, however many; near copies among them are still found."""
+    from loomgraph.llm import linking
+    from loomgraph.llm.shingles import parity
+
+    made, plain = [], linking.cut
+
+    def counted(df, name="t"):
+        out = plain(df, name)
+        if name in ("meets", "blocks"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "cut", counted)
+    for n in (400, 1600):
+        rng = np.random.default_rng(1)
+        sets = [np.unique(np.concatenate([[np.uint64(7)], rng.integers(1000, 1 << 62, 20).astype(np.uint64)])) for _ in range(n)]
+        sets[n - 1] = np.unique(np.concatenate([sets[3][:-1], [np.uint64(999)]]))
+        items = spark.createDataFrame([(i, i, len(x), bytearray(parity(x))) for i, x in enumerate(sets)], "item bigint, node bigint, size int, sketch binary")
+        keys = spark.createDataFrame([(7, 0, i, len(x), 0) for i, x in enumerate(sets)], "key bigint, salt int, item bigint, size int, pos int")
+        full = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node bigint, shingles binary")
+        got = linking.link(keys, items, lambda needed: full.join(needed, "node"), 4, 5, block=8)  # noqa: B023
+        assert {tuple(r) for r in got.collect()} == {(3, 3), (n - 1, 3)} and sum(made) == 0
+
+
+@pytest.mark.parametrize("width, free", [(64, 4), (768, 8), (64, 16), (64, 64)])
+def test_embedding_recall_by_free_dimensions(width, free):
+    """Pairs of vectors that fill few dimensions around their centres meet too."""
+    from loomgraph.llm import embedding
+
+    rng, rows = np.random.default_rng(free), []
+    for _ in range(20):
+        basis = np.linalg.qr(rng.normal(size=(width, free)))[0]
+        centre = rng.normal(size=width)
+        rows.append(centre / np.linalg.norm(centre) + 0.6 * rng.normal(size=(300, free)) / np.sqrt(free) @ basis.T)
+    x = np.concatenate(rows)
+    x = rng.permutation(x / np.linalg.norm(x, axis=1)[:, None])
+    centres = embedding.spherical_kmeans(x[:4000], 32)
+    step = embedding.step_of(x[:4000], centres, float(np.sqrt(0.2)), 0.9)
+    assert embedding.missed(x[2000:], centres, step, 0.9) < 0.01
+
+
+def test_embedding_links_of_few_dimensions(spark):
+    """The whole operator in several cells against brute force, on vectors that fill 4 of 32 dimensions."""
+    from loomgraph.llm import embedding
+
+    rng = np.random.default_rng(4)
+    rows = [c + 0.5 * rng.normal(size=(60, 4)) @ rng.normal(size=(4, 32)) / 8 for c in rng.normal(size=(8, 32))]
+    x = np.concatenate(rows)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    want = {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+    got = {r.vec_id: r.n_links for r in embedding.near_duplicates(df).collect()}
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 0 and all(got[i] <= want[i] for i in want)
+
+
 def test_pipeline_keeps_texts_of_one_id(spark):
     """An id on several texts loses none of them, and rows that repeat id and text become one."""
     import corpus_pipeline
