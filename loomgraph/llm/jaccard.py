@@ -15,22 +15,17 @@ empty table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.counts import COUNTERS, count_parts, count_table, rare_first
 from loomgraph.llm.linking import HEAVY, link, prefix_length
 from loomgraph.llm.memory import released
 from loomgraph.llm.shingles import mix, parity, shingle_set
 from loomgraph.storage import cut, drop
 
-#: counters of the shingle count table, and the parts it travels in
-COUNTERS, PARTS = 1 << 20, 64
-
 
 def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     """Two 64-bit hashes of a set of shingles, as signed integers."""
@@ -54,37 +49,13 @@ def _scan(k: int):
             out = pd.DataFrame(rows, columns=["doc_id", "digest", "size", "h1", "h2", "sketch"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out.assign(part=pd.array([None] * len(out), "Int32"), salt=pd.array([None] * len(out), "Int32"), counts=None)
-        pid = TaskContext.get().partitionId() % 64
-        parts = np.split(table, PARTS)
-        some = [i for i in range(PARTS) if parts[i].any()]
-        none = pd.array([None] * len(some), "Int64")
-        yield pd.DataFrame({"doc_id": none, "digest": none, "size": pd.array([None] * len(some), "Int32"), "h1": none, "h2": none, "sketch": None, "part": pd.array(some, "Int32"), "salt": pd.array([pid] * len(some), "Int32"), "counts": [zlib.compress(parts[i].astype("<u8").tobytes(), 1) for i in some]})
+        counts = count_parts(table)
+        none, small = pd.array([None] * len(counts), "Int64"), pd.array([None] * len(counts), "Int32")
+        yield counts.assign(doc_id=none, digest=none, size=small, h1=none, h2=none, sketch=None)[["doc_id", "digest", "size", "h1", "h2", "sketch", "part", "salt", "counts"]]
 
     return run, schema
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(c), "<u8") for c in pdf["counts"])
-    return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "salt": 0, "counts": [zlib.compress(total.tobytes(), 1)]})
-
-
-def count_table(scanned: DataFrame) -> np.ndarray:
-    """The summed count table: COUNTERS numbers, whatever the corpus. Summed in two levels."""
-    kind = "part int, salt int, counts binary"
-    parts = scanned.filter(F.col("part").isNotNull()).select("part", "salt", "counts")
-    parts = parts.groupBy("part", "salt").applyInPandas(_add, kind).groupBy("part").applyInPandas(_add, kind)
-    table = np.zeros((PARTS, COUNTERS // PARTS), np.uint64)
-    for row in parts.collect():  # at most PARTS rows of COUNTERS / PARTS numbers
-        table[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u8")
-    return table.ravel()
-
-
-def rare_first(shingles: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The shingles by count, then hash: one order for all documents. ``shingles`` is sorted."""
-    often = np.minimum(table[shingles & np.uint64(COUNTERS - 1)], np.uint64((1 << 24) - 1))
-    return shingles[np.argsort((often << np.uint64(40)) | (shingles >> np.uint64(24)), kind="stable")]
-
-
 def salts(shingles: np.ndarray, h1: int, table: np.ndarray, usual: int, heavy: int = HEAVY) -> np.ndarray:
     """0, or for shingles whose counter stands out from the ``usual`` one by more than ``heavy`` one of as many salts as give each about that many documents."""
     n = np.maximum(table[shingles & np.uint64(COUNTERS - 1)].astype(np.int64) - usual, 0) // heavy

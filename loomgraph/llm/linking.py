@@ -12,7 +12,11 @@ that say which items a key brings together, and a sketch of each item's set:
    bits than the threshold lets the sets differ in fall (the suffix filter's lower
    bound); of the rest a spanning forest is emitted. Stars go into it as they are. No
    linked pair is lost: its two sets are in one component of what remains;
-3. components are verified. Each one's sets are dealt into blocks, all pairs of a block
+3. components too large for a block go through these steps again by themselves, in the
+   order of their own counts: a key that all of a component's sets have is its commonest,
+   so no set of more than a few shingles has it among its first any more, and sets that
+   nothing but a hot key held together fall apart without being compared;
+4. components are verified. Each one's sets are dealt into blocks, all pairs of a block
    and all pairs with a few hubs of the component are compared exactly, and a forest of
    true links is emitted. Components of several blocks are then dealt again by the classes
    found so far and by size: blocks meet blocks, but neither those of one class nor those
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components, stars
+from loomgraph.llm.counts import count_table, rare_first, set_counts
 from loomgraph.llm.memory import released
 from loomgraph.llm.shingles import fold
 from loomgraph.storage import cut, drop
@@ -291,6 +296,46 @@ def _candidates(keys: DataFrame, sketches: DataFrame, num: int, den: int, block:
     return out
 
 
+def _own_keys(num: int, den: int, shared):
+    """Prefixes of sets (node, shingles) in the order of their own count table."""
+
+    def run(frames):
+        for pdf in frames:
+            keys, items, sizes, at = [], [], [], []
+            for node, shingles in zip(pdf["node"], pdf["shingles"]):
+                s = np.frombuffer(shingles, np.uint64)
+                p = prefix_length(len(s), num, den)
+                keys.append(rare_first(s, shared.value)[:p].view(np.int64))
+                items.append(np.full(p, node, np.int64))
+                sizes.append(np.full(p, len(s), np.int32))
+                at.append(np.arange(p, dtype=np.int32))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "item": np.concatenate(items), "size": np.concatenate(sizes), "pos": np.concatenate(at)})
+
+    return run
+
+
+def _apart(maybe: DataFrame, room: DataFrame, full: DataFrame, sketches: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """``maybe`` (node, component, size) with the components of several blocks found anew by their own counts; nodes without a candidate left go."""
+    many = room.filter("blocks > 1").select("component")
+    wide = cut(full.join(maybe.join(many, "component", "left_semi").select("node"), "node"), "wide")
+    shared = wide.sparkSession.sparkContext.broadcast(count_table(wide.select("shingles").mapInPandas(released(set_counts), "part int, salt int, counts binary")))
+    keys = wide.mapInPandas(released(_own_keys(num, den, shared)), "key bigint, item bigint, size int, pos int")
+    own = sketches.join(wide.select("node"), "node", "left_semi").select(F.col("node").alias("item"), "node", "size", "sketch")
+    found = _candidates(salted(keys), own, num, den, block)
+    small = maybe.join(many, "component", "left_anti").select("node", "component", "size")
+    anew = found.withColumnRenamed("vertex", "node").join(maybe.select("node", "size"), "node").select("node", "component", "size")
+    # components are named by their smallest node, so those found anew and those that stay can't share a name
+    out = cut(small.unionByName(anew), "maybe")
+    drop(wide)
+    return out
+
+
+def _room(maybe: DataFrame, block: int) -> DataFrame:
+    """(component, blocks) of candidates."""
+    return cut(maybe.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "room")
+
+
 def link(keys: DataFrame, sketches: DataFrame, sets, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """(vertex, component) of every node that is linked with another.
 
@@ -301,8 +346,13 @@ def link(keys: DataFrame, sketches: DataFrame, sets, num: int, den: int, block:
     """
     found = _candidates(keys, sketches, num, den, block)
     maybe = cut(found.join(sketches.select(F.col("node").alias("vertex"), "size"), "vertex").withColumnRenamed("vertex", "node"), "maybe")
-    room = cut(maybe.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "room")
+    room = _room(maybe, block)
     full = cut(sets(maybe.select("node")).select("node", "shingles"), "sets")
+    if not room.filter("blocks > 1").isEmpty():
+        before = maybe, room
+        maybe = _apart(maybe, room, full, sketches, num, den, block)
+        room = _room(maybe, block)
+        drop(*before)
 
     placed = maybe.join(room, "component").select("component", "node", "blocks")
     own = placed.select("node", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b"))
