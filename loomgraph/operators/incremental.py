@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.tablelog import TableLog
+
 
 def changes(disk: DataFrame, index: DataFrame) -> DataFrame:
     """(path, state) of disk (path, hash, blank) against index (path, hash): new, changed, unchanged, skipped or deleted."""
@@ -43,26 +45,12 @@ def index_complete(expected: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], root: str, keep: int = 3) -> int:
-    """Write a new version of every table under ``root``, then point CURRENT at it; older versions but ``keep`` go."""
-    spark: SparkSession = next(iter(tables.values())).sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(root).getFileSystem(conf)
-    fs.mkdirs(path(root))
-    found = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("v"))
-    version = (found[-1] if found else 0) + 1
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/v{version}/{name}")
-    out = fs.create(path(f"{root}/CURRENT.tmp"), True)
-    out.writeBytes(f"v{version}")
-    out.close()
-    fs.delete(path(f"{root}/CURRENT"), False)
-    fs.rename(path(f"{root}/CURRENT.tmp"), path(f"{root}/CURRENT"))
-    for old in [*found, version][:-keep]:
-        fs.delete(path(f"{root}/v{old}"), True)
+    """A new version of the tables under ``root``, seen whole or not at all; older versions but ``keep`` go."""
+    log = TableLog(next(iter(tables.values())).sparkSession, root)
+    version = log.replace(tables)
+    log.vacuum(keep)
     return version
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+    return TableLog(spark, root).read(name)

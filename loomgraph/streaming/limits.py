@@ -37,17 +37,24 @@ def rate_limited(requests: DataFrame, most: int = MOST, seconds: float = SECONDS
     return requests.groupBy("client").applyInPandas(run, OUT)
 
 
-def rate_limited_stream(requests: DataFrame, most: int = MOST, seconds: float = SECONDS) -> DataFrame:
-    """Stream form, exact over micro batches that arrive in order."""
+def rate_limited_stream(requests: DataFrame, most: int = MOST, seconds: float = SECONDS, idle: float = 10.0) -> DataFrame:
+    """Stream form, exact over micro batches that arrive in order.
+
+    A client that is silent for ``idle`` times the window leaves the state store.
+    """
 
     def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         taken = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(frames)).sort_values(["at", "request"])
         admitted, taken = admit(pdf["at"], taken, most, seconds)
         state.update((taken,))
+        state.setTimeoutDuration(int(seconds * idle * 1000))
         yield pdf.assign(admitted=admitted)[["client", "request", "at", "admitted"]]
 
-    return requests.groupBy("client").applyInPandasWithState(run, OUT, "taken array<double>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("client").applyInPandasWithState(run, OUT, "taken array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def newest_pushes(pushes: DataFrame) -> DataFrame:
