@@ -24,6 +24,8 @@ def admit(times, taken: list[float], most: int = MOST, seconds: float = SECONDS)
     return out, taken
 
 
+#: added to times in the stream form, whose watermark begins at the epoch: rows at it would be late
+DAY = 86_400
 OUT = "client bigint, request bigint, at double, admitted boolean"
 
 
@@ -37,10 +39,10 @@ def rate_limited(requests: DataFrame, most: int = MOST, seconds: float = SECONDS
     return requests.groupBy("client").applyInPandas(run, OUT)
 
 
-def rate_limited_stream(requests: DataFrame, most: int = MOST, seconds: float = SECONDS, idle: float = 10.0) -> DataFrame:
+def rate_limited_stream(requests: DataFrame, most: int = MOST, seconds: float = SECONDS, late: str = "10 seconds") -> DataFrame:
     """Stream form, exact over micro batches that arrive in order.
 
-    A client that is silent for ``idle`` times the window leaves the state store.
+    A client leaves the state store once the watermark has passed its last admission's window.
     """
 
     def run(key, frames, state: GroupState):
@@ -50,11 +52,16 @@ def rate_limited_stream(requests: DataFrame, most: int = MOST, seconds: float =
         taken = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(frames)).sort_values(["at", "request"])
         admitted, taken = admit(pdf["at"], taken, most, seconds)
-        state.update((taken,))
-        state.setTimeoutDuration(int(seconds * idle * 1000))
+        over = int((DAY + max(taken) + seconds) * 1000) + 1
+        if over > state.getCurrentWatermarkMs():
+            state.update((taken,))
+            state.setTimeoutTimestamp(over)
+        elif state.exists:
+            state.remove()
         yield pdf.assign(admitted=admitted)[["client", "request", "at", "admitted"]]
 
-    return requests.groupBy("client").applyInPandasWithState(run, OUT, "taken array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.select("client", "request", "at", F.timestamp_seconds(DAY + F.col("at")).alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("client").applyInPandasWithState(run, OUT, "taken array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_pushes(pushes: DataFrame) -> DataFrame:

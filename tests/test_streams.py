@@ -52,6 +52,14 @@ def test_killed_and_restarted_indexing(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in indexing.indexed(log).collect()} == want and log.read("index").filter("deleted").isEmpty()
 
 
+def drained(rows, checkpoint):
+    """All rows of what a stream has waiting, and how many keys its state holds then."""
+    out = []
+    q = rows.writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    return out, q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
 def brute_cache(rows, seconds=45):
     last, out = {}, set()
     for key, request, at in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
@@ -82,17 +90,13 @@ def test_cache_keys_leave_the_store(spark, tmp_path):
 
     arrive(0, ["a", "b", "c", "a"])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    q = cache.cached_stream(stream).writeStream.format("memory").queryName("answered").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        held = []
-        for k, keys in enumerate([None, ["a", "b"], ["b"], ["b"], ["b"], ["b"]]):
-            if keys:
-                arrive(k, keys)
-            q.processAllAvailable()
-            held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
-        got = {(r.key, r.request, r.hit) for r in spark.table("answered").collect()}
-    finally:
-        q.stop()
+    got, held = set(), []
+    for k, keys in enumerate([None, ["a", "b"], ["b"], ["b"], ["b"], ["b"]]):
+        if keys:
+            arrive(k, keys)
+        done, state = drained(cache.cached_stream(stream), str(tmp_path / "cp"))
+        got |= {(r.key, r.request, r.hit) for r in done}
+        held.append(state)
     assert got == brute_cache(rows)
     assert held[0] == 3 and held[-1] <= 1  # only b is asked any more
 
@@ -100,18 +104,14 @@ def test_cache_keys_leave_the_store(spark, tmp_path):
 def test_rate_limiter_forgets_silent_clients(spark, tmp_path):
     folder, schema = str(tmp_path / "in"), "client bigint, request bigint, at double"
     spark.createDataFrame([(c, c, 0.0) for c in range(5)], schema).coalesce(1).write.parquet(folder)
-    stream = spark.readStream.schema(schema).parquet(folder)
-    q = limits.rate_limited_stream(stream, 2, 0.01, idle=1.0).writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        q.processAllAvailable()
-        for k in range(3):
-            time.sleep(0.2)
-            spark.createDataFrame([(9, 90 + k, 100.0 + k)], schema).coalesce(1).write.mode("append").parquet(folder)
-            q.processAllAvailable()
-        held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
-    finally:
-        q.stop()
-    assert spark.table("admitted").count() == 8 and held <= 1
+    limited = limits.rate_limited_stream(spark.readStream.schema(schema).parquet(folder), 2, 5.0)
+    rows, held = drained(limited, str(tmp_path / "cp"))
+    assert held == 5
+    for k in range(2):
+        spark.createDataFrame([(9, 90 + k, 100.0 + k)], schema).coalesce(1).write.mode("append").parquet(folder)
+        more, held = drained(limited, str(tmp_path / "cp"))
+        rows += more
+    assert len(rows) == 7 and held <= 1
 
 
 def test_progress_table(spark, tmp_path):
