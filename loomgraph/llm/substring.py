@@ -28,7 +28,7 @@ from loomgraph.llm.jaccard import set_hash, text_digest
 from loomgraph.llm.linking import link, salted
 from loomgraph.llm.memory import released
 from loomgraph.llm.shingles import mix, parity, run_hashes, shingle_hashes, word_hashes
-from loomgraph.storage import cut
+from loomgraph.storage import cut, drop
 
 WINDOW, RADIUS, MIN_WORDS = 24, 6, 20
 #: words of a copied passage that has a window in common with its original for certain
@@ -120,9 +120,10 @@ def _windows(window: int, radius: int):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
     """(doc_id, start, words, class_doc, kept) of windows that stand in two documents or more."""
-    rows = docs.mapInPandas(released(_windows(window, radius)), "h1 bigint, h2 bigint, doc_id bigint, digest bigint, start int")
+    rows = cut(docs.mapInPandas(released(_windows(window, radius)), "h1 bigint, h2 bigint, doc_id bigint, digest bigint, start int"), "all-windows")
     twice = rows.groupBy("h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1")
     found = cut(rows.join(twice, "h1"), "windows")
+    drop(rows)
     owner = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_doc"), F.max("doc_id").alias("hi")).filter("class_doc < hi").drop("hi")
     return found.join(owner, ["h1", "h2"]).select("doc_id", "digest", "start", F.lit(window).alias("words"), "class_doc", (F.col("doc_id") == F.col("class_doc")).alias("kept"))
 
