@@ -10,7 +10,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import relational as R
 from loomgraph.operators import retrieval as T
 from loomgraph.plans import standins as S
-from loomgraph.plans.catalogue import query
+from loomgraph.plans.catalogue import ORACLES, query
 from loomgraph.plans.core import BIG, RISK, WITH10
 from loomgraph.session import table
 
@@ -128,6 +128,11 @@ def gr_centrality(spark, d):
     return G.centrality(S.tree(spark, d), 5).select("id", *BIG("fan_in", "fan_out"), "pagerank", "betweenness")
 
 
+@query("srt_top_central", f"WITH z AS MATERIALIZED (SELECT * FROM ({ORACLES['gr_centrality']})), m AS (SELECT 'betweenness' AS measure, id, betweenness AS value FROM z UNION ALL SELECT 'pagerank', id, pagerank FROM z) SELECT measure, rank, id, value FROM (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY value DESC, id) AS rank FROM m) WHERE rank <= 10")
+def srt_top_central(spark, d):
+    return G.top_central(gr_centrality(spark, d), 10).select("measure", *BIG("rank"), "id", "value")
+
+
 @query("gr_focused", f"WITH {S.edges_sql()}, t AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 50), n AS (SELECT id FROM t UNION SELECT dst FROM edges WHERE src IN (SELECT id FROM t)) SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
 def gr_focused(spark, d):
     return G.focused(S.edges(spark, d))
