@@ -142,12 +142,28 @@ def core_modules(deps: DataFrame, n: int = 3) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, percents: list[int]) -> DataFrame:
-    """sorted[min(int(n * p / 100), n - 1)] for each p, by rank over counts of distinct values; no list is gathered."""
+    """sorted[min(int(n * p / 100), n - 1)] for each p, by rank over counts of distinct values.
+
+    Counts are range-partitioned by value; the partitions' totals, a row each, say in which
+    one a rank lies, and only within that one are running sums compared.
+    """
+    from loomgraph.storage import cut
+
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    n = counts.agg(F.sum("c").alias("n"))
+    parts = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("part").agg(F.sum("c").alias("c"))
+    totals = totals.withColumn("below", F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("c"))
+    n = parts.agg(F.sum("c").alias("n"))
     asked = n.select("n", F.explode(F.array(*[F.lit(p) for p in percents])).alias("p")).select("p", F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1).alias("k"))
-    ranked = counts.withColumn("hi", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    return asked.join(ranked, F.col("hi") > F.col("k")).groupBy("p").agg(F.min("v").alias("value"))
+    placed = asked.join(totals, (F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("c"))).select("p", "k", "part", "below")
+    running = parts.withColumn("hi", F.sum("c").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    return running.join(placed, "part").filter(F.col("hi") + F.col("below") > F.col("k")).groupBy("p").agg(F.min("v").alias("value"))
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in an order; a partial aggregate, so a key with most rows costs no task more."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in rest])
 
 
 def hide_rejected(findings: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -295,9 +295,14 @@ def win_budget(spark, d):
     return N.budget_prefix(o, "o_custkey", "cost", 500000, F.asc("o_orderdate"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey", "used")
 
 
-@query("win_dedup_first", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+CHUNKS = "SELECT l_partkey AS file, l_suppkey AS symbol, CAST(l_linenumber AS BIGINT) AS start_line, CAST(l_linenumber + l_quantity AS BIGINT) AS end_line, l_orderkey AS hit, l_extendedprice AS score FROM lineitem"
+
+
+@query("win_dedup_first", f"SELECT file, symbol, start_line, end_line, hit, score FROM (SELECT *, row_number() OVER (PARTITION BY file, symbol, start_line, end_line ORDER BY hit, score) AS rn FROM ({CHUNKS})) WHERE rn = 1")
 def win_dedup(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    li = table(spark, d, "lineitem")
+    hits = li.select(F.col("l_partkey").alias("file"), F.col("l_suppkey").alias("symbol"), F.col("l_linenumber").cast("bigint").alias("start_line"), (F.col("l_linenumber") + F.col("l_quantity")).cast("bigint").alias("end_line"), F.col("l_orderkey").alias("hit"), F.col("l_extendedprice").alias("score"))
+    return R.first_of(hits, ["file", "symbol", "start_line", "end_line"], ["hit", "score"])
 
 
 @query("win_char_windows", "WITH w AS (SELECT doc_id, text, CASE WHEN length(text) <= 5000 THEN [0] ELSE range(0, length(text), 4600) END AS s FROM documents), e AS (SELECT doc_id, text, unnest(range(0, len(s))) AS chunk, unnest(s) AS start FROM w) SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, md5(substr(text, start + 1, 5000)) AS h FROM e WHERE length(trim(substr(text, start + 1, 5000))) > 0")
