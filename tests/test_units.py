@@ -243,3 +243,10 @@ def test_code_anchor(spark):
     rows = [("x = 1\n  async def Foo(a):",), ("class Bar:",), ("void run(int a)",), ("nothing here",)]
     got = [r[0] for r in spark.createDataFrame(rows, "c string").select(code_anchor(F.col("c"))).collect()]
     assert got == ["foo", "bar", "run", None]
+
+
+def test_gathered_keeps_the_first_of_an_id(spark):
+    from loomgraph.operators.evaluation import gathered
+
+    rows = lambda *xs: spark.createDataFrame(list(xs), "id int, text string")
+    assert [tuple(r) for r in gathered([rows((2, "b")), rows((1, "c"), (2, "a")), rows((1, "a"))]).collect()] == [(1, "c"), (2, "b")]
