@@ -250,3 +250,12 @@ def test_gathered_keeps_the_first_of_an_id(spark):
 
     rows = lambda *xs: spark.createDataFrame(list(xs), "id int, text string")
     assert [tuple(r) for r in gathered([rows((2, "b")), rows((1, "c"), (2, "a")), rows((1, "a"))]).collect()] == [(1, "c"), (2, "b")]
+
+
+def test_containing_takes_the_first_span(spark):
+    from loomgraph.operators.relational import containing
+
+    span = "file_id int, id int, start int, end int"
+    inner = spark.createDataFrame([(1, 7, 3, 4), (1, 8, 1, 9), (2, 7, 3, 4)], span)
+    outer = spark.createDataFrame([(1, 1, 2, 5, 2), (1, 2, 1, 4, 1), (1, 3, 3, 3, 0)], span + ", ordinal int")
+    assert pairs(containing(inner, outer)) == {(1, 7, 2)}
