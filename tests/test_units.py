@@ -259,3 +259,14 @@ def test_containing_takes_the_first_span(spark):
     inner = spark.createDataFrame([(1, 7, 3, 4), (1, 8, 1, 9), (2, 7, 3, 4)], span)
     outer = spark.createDataFrame([(1, 1, 2, 5, 2), (1, 2, 1, 4, 1), (1, 3, 3, 3, 0)], span + ", ordinal int")
     assert pairs(containing(inner, outer)) == {(1, 7, 2)}
+
+
+def test_calls_meet_one_symbol_a_name_and_file(spark):
+    from loomgraph.operators.relational import resolve_calls
+
+    calls = spark.createDataFrame([(1, 5, "f"), (2, 6, "f"), (3, None, "f"), (4, 5, "none")], "call_id int, file_id int, name string")
+    symbols = spark.createDataFrame([(9, 5, "f"), (8, 5, "f"), (3, 7, "f"), (1, None, "f"), (2, 5, None)], "symbol_id int, file_id int, name string")
+    assert pairs(resolve_calls(calls, symbols)) == {(1, 8, 1), (2, 1, 0), (3, 1, 0)}
+    many = spark.range(2000).selectExpr("id AS symbol_id", "1L AS file_id", "0L AS name")
+    found = resolve_calls(spark.range(3000).selectExpr("id AS call_id", "2L AS file_id", "0L AS name"), many).agg(F.count("*"), F.max("symbol_id"))
+    assert tuple(found.first()) == (3000, 0)
