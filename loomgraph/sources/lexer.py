@@ -32,9 +32,9 @@ SPACE, LINE, BLOCK = r"\s++", r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)"
 DOUBLE, SINGLE = (q + r"[^Q\\\n]*+(?:\\(?s:.)[^Q\\\n]*+){0,2000}+".replace("Q", q) + q for q in "\"'")
 LONG_DOUBLE, LONG_SINGLE = r'"""(?s:.*?)"""', r"'''(?s:.*?)'''"
 TEMPLATE, RAW = r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+){0,2000}+`", r"`[^`]*+`"
-REGEX = r"(?<=[=(,:!&|?;{}]\s{0,3})/(?![*/])(?:[^/\\\n\[]|\\.|\[[^\]\n]{0,200}\]){1,500}+/[a-z]*+"
+REGEX = r"/(?<=[=(,:!&|?;{}]\s{0,3}/)(?![*/])(?:[^/\\\n\[]|\\.|\[[^\]\n]{0,200}\]){1,500}+/[a-z]*+"
 TYPES = r"<[\w\s,.\[\]?<>]{0,200}>(?=\()"  # type arguments between a name and its parenthesis
-PARAMETERS = r"(?<=func\s{1,3}\w{1,80})\[[^\]\n]{1,200}\](?=\()"  # Go's, of a declared name
+PARAMETERS = r"\[(?<=func\s{1,3}\w{1,80}\[)[^\]\n]{1,200}\](?=\()"  # Go's, of a declared name; what stands before is looked at behind the first character only
 REST = r"[A-Za-z_$][\w$]*+|\d[\w.]*+|=>|(?s:.)"
 #: what a language's texts are cut by, in order of trial
 PARTS = {
@@ -45,7 +45,6 @@ PARTS = {
 }
 PARTS["typescript"] = PARTS["javascript"]
 LANGUAGES = tuple(PARTS)
-TRIVIA = r"^(?:\s|//|/\*|<(?s:.)*>$|\[(?s:.)+\]$)"
 
 #: words that stand before a parenthesis without being called, and those that can't stand before a declared name
 WORDS = ["if", "for", "while", "switch", "catch", "return", "typeof", "await", "yield", "throw", "else", "do", "function", "func", "super", "this", "new", "delete", "void", "in", "of", "case", "synchronized", "try", "assert", "defer", "go", "select", "range", "interface", "struct", "chan", "map", "class", "enum", "extends", "with", "is", "as", "var", "const", "let", "final", "type", "import"]
@@ -54,20 +53,47 @@ UNDECLARED_AFTER = [".", "=", "(", ",", "[", "@", "=>", ":", "!", "&", "|", "+",
 BETWEEN = ["async", "throws", "sync", "void", "is", "typeof", "extends"]
 
 
+#: a task's share of the texts, in characters; its tokens take some 40 bytes for each of these
+TASK_CHARS = 4_000_000
+FILE = ("f", "path")  # f, the path's hash, so that sorting compares numbers
+OVER_FILE = "OVER (PARTITION BY f, path ORDER BY pos)"
+OVER_LEVEL = "OVER (PARTITION BY f, path, level ORDER BY pos)"
+
+
+def _trivial(tok: Column) -> Column:
+    """Blanks, comments, and type arguments or parameters; only of these a token of two or more characters starts so."""
+    one = F.ascii(tok)
+    return one.isin(9, 10, 11, 12, 13, 32) | F.startswith(tok, F.lit("//")) | F.startswith(tok, F.lit("/*")) | (one.isin(ord("<"), ord("[")) & (F.length(tok) > 1))
+
+
+def _named(tok: Column) -> Column:
+    """Names and words, by the character that they start with."""
+    one = F.ascii(tok)
+    return one.between(65, 90) | one.between(97, 122) | one.isin(ord("_"), ord("$"))
+
+
 def tokens(files: DataFrame) -> DataFrame:
-    """path, language, pos, tok, line, level and opens/closes of files (path, language, content), without blanks and comments."""
+    """f, path, language, pos, tok, line, level and opens/closes of files (path, language, content), without blanks and comments.
+
+    Texts are dealt to tasks and sorted before they become tokens, so that no token is
+    shuffled and the windows find their rows in order.
+    """
     found = F.array().cast("array<string>")
     for language, parts in PARTS.items():
         found = F.when(F.col("language") == language, F.regexp_extract_all("content", F.lit("|".join(parts)), F.lit(0))).otherwise(found)
-    src = files.filter(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull())
-    rows = src.select("path", "language", F.posexplode(found).alias("pos", "tok"))
-    order = W.partitionBy("path").orderBy("pos")
+    src = files.filter(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull()).withColumn("f", F.xxhash64("path"))
+    chars = src.agg(F.sum(F.length("content"))).first()[0] or 0
+    src = src.repartition(chars // TASK_CHARS + 1, *FILE).sortWithinPartitions(*FILE)
+    rows = src.select(*FILE, "language", F.posexplode(found).alias("pos", "tok"))
+    order = W.partitionBy(*FILE).orderBy("pos")
+    trivial = _trivial(F.col("tok"))
+    rows = rows.filter(~trivial | F.contains("tok", F.lit("\n")))  # of blanks and comments, line breaks count
     breaks = F.length("tok") - F.length(F.translate("tok", "\n", ""))
     opens, closes = F.col("tok").isin("(", "[", "{"), F.col("tok").isin(")", "]", "}")
-    rows = rows.withColumn("line", (1 + F.coalesce(F.sum(breaks).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).cast("int"))
-    rows = rows.withColumn("opens", opens).withColumn("closes", closes)
-    level = F.sum(F.when(F.col("opens"), 1).when(F.col("closes"), -1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.withColumn("level", (level + F.when(F.col("closes"), 1).otherwise(0)).cast("int")).filter(~F.col("tok").rlike(TRIVIA))
+    line = (1 + F.coalesce(F.sum(breaks).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).cast("int")
+    level = F.sum(F.when(opens & ~trivial, 1).when(closes & ~trivial, -1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.select("*", line.alias("line"), opens.alias("opens"), closes.alias("closes"), (level + F.when(closes, 1).otherwise(0)).cast("int").alias("level"))
+    return rows.filter(~trivial)
 
 
 def _last(value: Column, order) -> Column:
@@ -75,37 +101,42 @@ def _last(value: Column, order) -> Column:
 
 
 def marked(files: DataFrame) -> DataFrame:
-    """Tokens that declare a name, open or close its body, or call: with the depth of scopes that they stand in."""
-    order, back = W.partitionBy("path").orderBy("pos"), W.partitionBy("path").orderBy(F.desc("pos"))
-    inside, inside_back = W.partitionBy("path", "level").orderBy("pos"), W.partitionBy("path", "level").orderBy(F.desc("pos"))
+    """Tokens that declare a name, open its body, or call: with the depth of scopes that they stand in.
+
+    All tokens go through one sort of their file. What only brackets, names before them and
+    ends of statements can settle goes on with these alone, and depths with the rows of scopes.
+    """
+    order, inside = W.partitionBy(*FILE).orderBy("pos"), W.partitionBy(*FILE, "level").orderBy("pos")
     tok, language = F.col("tok"), F.col("language")
     js, go, java, dart = language.isin("javascript", "typescript"), language == "go", language == "java", language == "dart"
-    name = tok.rlike(r"^[A-Za-z_$][\w$]*$")
-    t = tokens(files)
-    for k in (1, 2):
-        t = t.withColumn(f"before{k}", F.coalesce(F.lag("tok", k).over(order), F.lit("")))
-    t = t.withColumn("after", F.coalesce(F.lead("tok", 1).over(order), F.lit("")))
-    t = t.withColumn("after2", F.coalesce(F.lead("tok", 2).over(order), F.lit("")))
-    # the line of the statement that a token belongs to
-    t = t.withColumn("statement", F.last(F.when(F.col("before1").isin("", "{", "}", ";"), F.col("line")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    name = _named(tok)
+    near = [F.coalesce(x.over(order), F.lit("")).alias(k) for k, x in (("before1", F.lag("tok", 1)), ("before2", F.lag("tok", 2)), ("after", F.lead("tok", 1)))]
+    t = tokens(files).select("*", *near)
     # what settles how a declaration goes on: the next token that isn't part of a type
     part_of_type = (name & (~tok.isin(*WORDS) | tok.isin(*BETWEEN))) | tok.isin(":", ".", "?", "|", "&", "[", "]", "<", ">", ",")
     in_go = ~tok.isin("{") | F.col("before1").isin("interface", "struct")
     settles = F.when(go, ~in_go).otherwise(~part_of_type)
     here = F.struct(F.col("pos").alias("pos"), tok.alias("tok"), F.col("line").alias("line"))
-    t = t.withColumn("settled", _last(F.when(settles, here), back))
+    # the line of the statement that a token belongs to
+    statement = F.last(F.when(F.col("before1").isin("", "{", "}", ";"), F.col("line")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    t = t.withColumn("_s", F.when(settles, here)).select("*", statement.alias("statement"), F.expr(f"lead(_s) IGNORE NULLS {OVER_FILE}").alias("next")).drop("_s")
     # classes: the brace after ``class Name`` is its body
     kinds = F.when(js, tok == "class").when(java, tok.isin("class", "interface", "enum", "record")).when(dart, tok.isin("class", "mixin", "extension", "enum")).otherwise(F.lit(False))
-    declares = kinds & F.col("after").rlike(r"^[A-Za-z_$]") & (F.col("before1") != ".")
+    declares = kinds & _named(F.col("after")) & (F.col("before1") != ".")
+    plain = name & (F.col("after") == "(") & ~tok.isin(*WORDS)
+    t = t.filter(F.col("opens") | F.col("closes") | (tok == ";") | plain | declares | (tok == "func") | (F.col("after") == ""))
+    t = t.withColumn("settled", F.when(tok == ")", F.col("next"))).drop("next")
     counted = F.when(java, tok.isin("class", "interface")).otherwise(tok == "class")
     kind = F.struct(F.col("pos").alias("pos"), F.col("after").alias("name"), F.col("statement").alias("start"), counted.alias("counted"))
-    t = t.withColumn("kind", _last(F.when(declares, kind), order)).withColumn("fence", F.coalesce(_last(F.when(tok.isin("{", "}", ";"), F.col("pos")), order), F.lit(-1)))
+    fence = F.coalesce(_last(F.when(tok.isin("{", "}", ";"), F.col("pos")), order), F.lit(-1))
+    t = t.select("*", _last(F.when(declares, kind), order).alias("kind"), fence.alias("fence"))
     t = t.withColumn("class_body", F.coalesce((tok == "{") & (F.col("kind.pos") > F.col("fence")), F.lit(False)))
+    t = t.withColumn("kind", F.when(F.col("class_body"), F.col("kind"))).drop("fence")
     # brackets and their matches, level by level
     opened = F.struct(F.col("pos").alias("pos"), F.col("class_body").alias("class_body"))
-    t = t.withColumn("within", _last(F.when(F.col("opens"), opened), inside))
     closed = F.struct(F.col("pos").alias("pos"), F.col("line").alias("line"), F.col("settled").alias("settled"))
-    t = t.withColumn("match", F.when(F.col("opens"), _last(F.when(F.col("closes"), closed), inside_back)))
+    t = t.withColumn("_c", F.when(F.col("closes"), closed)).select("*", _last(F.when(F.col("opens"), opened), inside).alias("within"), F.expr(f"lead(_c) IGNORE NULLS {OVER_LEVEL}").alias("match"))
+    t = t.withColumn("match", F.when(F.col("opens"), F.col("match"))).drop("_c", "settled")
     t = t.withColumn("closing", F.lead(F.when(tok == "(", F.col("match"))).over(order))
     # a name before a parenthesis: declared or called
     body = F.coalesce(F.col("closing.settled.tok"), F.lit(""))
@@ -118,7 +149,7 @@ def marked(files: DataFrame) -> DataFrame:
         .when(java, in_class & free & body.isin("{", ";"))
         .when(dart, ((in_class & free) & body.isin("{", "=>", ";", "super", "this", "assert")) | ((F.col("level") == 0) & free & body.isin("{", "=>")))
     )
-    plain = name & (F.col("after") == "(") & F.col("closing").isNotNull() & ~tok.isin(*WORDS)
+    plain = plain & F.col("closing").isNotNull()
     t = t.withColumn("declared", F.coalesce(plain & declared, F.lit(False)))
     named_constructor = dart & in_class & (F.col("before1") == ".") & body.isin("{", "=>")
     t = t.withColumn("called", plain & ~F.col("declared") & ~named_constructor & ~F.col("before1").isin("new", "function", "func", "@"))
@@ -128,11 +159,15 @@ def marked(files: DataFrame) -> DataFrame:
     # bodies of what is declared are scopes
     own = (tok == "{") & (F.col("function.pos") == F.col("pos"))
     t = t.withColumn("scope", F.when(F.col("class_body"), F.col("kind.name")).when(own, F.col("function.name")))
-    t = t.withColumn("ends", F.col("closes") & F.coalesce(_last(F.when(F.col("opens"), F.col("scope").isNotNull()), inside), F.lit(False)))
-    t = t.withColumn("depth", F.sum(F.when(F.col("scope").isNotNull(), 1).when(F.col("ends"), -1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int"))
-    keep = F.col("declared") | F.col("called") | F.col("scope").isNotNull()
-    last_line = F.max("line").over(W.partitionBy("path"))
-    t = t.withColumn("close_line", F.coalesce("match.line", last_line)).filter(keep)
+    t = t.withColumn("keep", F.col("declared") | F.col("called") | F.col("scope").isNotNull()).filter(F.col("keep") | (F.col("after") == ""))
+    # a scope that is closed is a row where it opens and one where it ends
+    itself = F.struct(F.col("pos").alias("at"), F.when(F.col("scope").isNotNull(), 1).otherwise(0).alias("step"), F.col("keep").alias("keep"))
+    end = F.struct(F.col("match.pos").alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("keep"))
+    t = t.withColumn("e", F.explode(F.when(F.col("scope").isNotNull() & F.col("match").isNotNull(), F.array(itself, end)).otherwise(F.array(itself))))
+    at = W.partitionBy(*FILE).orderBy("e.at")
+    t = t.withColumn("depth", F.sum("e.step").over(at.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int"))
+    last_line = F.max("line").over(W.partitionBy(*FILE))
+    t = t.withColumn("close_line", F.coalesce("match.line", last_line)).filter("e.keep")
     return t.select("path", "language", "pos", "tok", "line", "depth", "declared", "called", "scope", "class_body", F.col("kind.counted").alias("counted"), F.col("kind.start").alias("class_start"), "function", F.col("closing.line").alias("signature"), F.col("closing.settled").alias("settled"), starts.alias("start"), "close_line")
 
 

@@ -173,3 +173,13 @@ def test_odd_sources(spark):
     symbols, calls = frames(spark, rows)
     assert ("u.ts", "function", "open", 1, 1, None) in symbols and ("z", 1, 5002) == next(s[2:5] for s in symbols if s[0] == "l.ts")
     assert {s[0] for s in symbols} <= {"u.ts", "b.ts", "l.ts"} and sum(c[0] == "l.ts" for c in calls) == 5000
+
+
+def test_windows_sort_no_token_twice_by_file(spark):
+    from loomgraph.sources import lexer
+
+    files = spark.createDataFrame([("a.ts", "typescript", TS), ("b.java", "java", JAVA)], "path string, language string, content string")
+    plan = lexer.marked(files)._jdf.queryExecution().executedPlan().toString()
+    assert "pos#" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    backwards = [line for line in plan.splitlines() if "Sort [" in line and "DESC" in line]
+    assert not backwards
