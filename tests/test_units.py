@@ -270,3 +270,26 @@ def test_calls_meet_one_symbol_a_name_and_file(spark):
     many = spark.range(2000).selectExpr("id AS symbol_id", "1L AS file_id", "0L AS name")
     found = resolve_calls(spark.range(3000).selectExpr("id AS call_id", "2L AS file_id", "0L AS name"), many).agg(F.count("*"), F.max("symbol_id"))
     assert tuple(found.first()) == (3000, 0)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    from loomgraph.functions.expressions import cosine_distance
+    from loomgraph.operators import retrieval as T
+
+    monkeypatch.setattr(T, "CHUNK_BLOCK", 40)
+    monkeypatch.setattr(T, "QUESTION_BLOCK", 7)
+    vec = F.expr("CASE WHEN id = 3 THEN NULL WHEN id = 9 THEN array(1.0D) ELSE array(sin(id % 90), cos(id % 31), (id % 7) / 7.0D) END")
+    c = spark.range(200).select(F.col("id").alias("c_id"), vec.alias("c_vec"))
+    q = c.filter("c_id % 10 < 2 OR c_id IN (3, 9)").select(F.col("c_id").alias("q_id"), F.col("c_vec").alias("q_vec"))
+    every = q.crossJoin(c).select("q_id", "c_id", F.round(cosine_distance(F.col("q_vec"), F.col("c_vec")), 6).alias("distance"))
+    want = every.selectExpr("*", "row_number() OVER (PARTITION BY q_id ORDER BY distance, c_id) AS rank").filter("rank <= 5")
+    assert pairs(T.nearest(q, c, 5).select("q_id", "c_id", "distance", "rank")) == pairs(want)
+
+
+def test_nearest_takes_many_questions(spark):
+    from loomgraph.operators import retrieval as T
+
+    q = spark.range(10_001).selectExpr("id AS q_id", "array(cos(id), sin(id)) AS q_vec")
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "c_id bigint, c_vec array<double>")
+    found = T.nearest(q, c, 1).agg(F.count("*"), F.sum(((F.col("c_id") == 1) != (F.cos("q_id") > 0)).cast("int")))
+    assert tuple(found.first()) == (10_001, 0)
