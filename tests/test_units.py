@@ -293,3 +293,15 @@ def test_nearest_takes_many_questions(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "c_id bigint, c_vec array<double>")
     found = T.nearest(q, c, 1).agg(F.count("*"), F.sum(((F.col("c_id") == 1) != (F.cos("q_id") > 0)).cast("int")))
     assert tuple(found.first()) == (10_001, 0)
+
+
+def test_lookup_pairs_are_not_shuffled(spark, monkeypatch):
+    from loomgraph.operators import retrieval as T
+
+    monkeypatch.setattr(T, "NAME_BLOCK", 3)
+    q = spark.createDataFrame([(1, "run alpha and beta"), (1, "run alpha"), (2, "Alpha gamma"), (3, None)], "q_id int, question string")
+    s = spark.createDataFrame([(i, "alpha") for i in range(10)] + [(3, "beta"), (3, "beta"), (4, "gamma"), (5, None)], "symbol_id int, name string")
+    found = [tuple(r) for r in T.symbol_lookup(q, s).collect()]
+    assert sorted(found) == sorted([(1, i) for i in range(10)] + [(2, 4)])
+    plan = T.symbol_lookup(q, s)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # nothing stands over all pairs
