@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.expressions import suffix_last
 from loomgraph.operators.windows import char_windows, sections
+from loomgraph.storage import cut
 
 LEAST = 20
 
@@ -51,7 +52,11 @@ def parse_all(docs: DataFrame) -> DataFrame:
 
 
 def code_chunks(files: DataFrame, symbols: DataFrame, most: int = 3000, overlap: int = 400) -> DataFrame:
-    """(path, chunk_type, name, piece, text): each symbol as a parent, and its code in child pieces of up to ``most`` characters."""
+    """(path, chunk_type, name, piece, text): each symbol as a parent, and its code in child pieces of up to ``most`` characters.
+
+    Symbols are written once, so that three readers don't parse all files three times.
+    """
+    symbols = cut(symbols.select("path", "name", "code", "start_line", "end_line"), "symbols")
     parent = symbols.select("path", F.lit("parent").alias("chunk_type"), "name", F.lit(0).alias("piece"), F.col("code").alias("text"))
     n = F.char_length("code")
     starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(most - overlap)))

@@ -305,3 +305,34 @@ def test_lookup_pairs_are_not_shuffled(spark, monkeypatch):
     assert sorted(found) == sorted([(1, i) for i in range(10)] + [(2, 4)])
     plan = T.symbol_lookup(q, s)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")  # nothing stands over all pairs
+
+
+def test_parsing_is_dealt_over_tasks(spark, monkeypatch):
+    from loomgraph.sources import code as C
+
+    monkeypatch.setattr(C, "TASK_CHARS", 400)
+    files = spark.createDataFrame([(f"m{i}.py", f"def f{i}():\n    g()\n") for i in range(200)], "path string, content string").coalesce(1)
+    symbols, calls = C.parse_python(files), C.extract_calls(files)
+    assert symbols.rdd.getNumPartitions() > 5 and calls.rdd.getNumPartitions() > 5
+    assert pairs(symbols.select("path", "name")) == {(f"m{i}.py", f"f{i}") for i in range(200)}
+    assert pairs(calls.select("path", "caller", "callee")) == {(f"m{i}.py", f"f{i}", "g") for i in range(200)}
+
+
+def test_chunks_parse_files_once(spark):
+    from loomgraph.sources import code as C
+    from loomgraph.sources import documents as P
+
+    files = spark.createDataFrame([("a.py", "import os\n\ndef f():\n    return 1\n"), ("b.py", None), ("c.py", "x = 1\n")], "path string, content string")
+    chunks = P.code_chunks(files, C.parse_python(files))
+    assert pairs(chunks.select("path", "chunk_type", "name")) == {("a.py", "parent", "f"), ("a.py", "child", "f"), ("a.py", "leftover", None), ("c.py", "leftover", None)}
+    assert "MapInPandas" not in chunks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_imports_are_resolved_once_each(spark):
+    from loomgraph.sources.code import resolve_imports
+
+    files = spark.createDataFrame([(f"a/m{i}.py",) for i in range(20)] + [("lib/os.py",)], "path string")
+    imports = spark.createDataFrame([(f"a/m{i}.py", r, "python") for i in range(20) for r in ("os", "none", ".m1", ".m1")] + [("a/x.py", None, "python")], "path string, raw string, language string")
+    found = resolve_imports(imports, files)
+    assert found.count() == 81 and pairs(found) == {(f"a/m{i}.py", r, t) for i in range(20) for r, t in (("os", "lib/os.py"), ("none", None), (".m1", "a/m1.py"))} | {("a/x.py", None, None)}
+    assert "Aggregate [target" in found._jdf.queryExecution().optimizedPlan().toString()
