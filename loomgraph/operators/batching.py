@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.expressions import basename, dirname
+from loomgraph.operators.windows import number_runs
 
 # What a test's path holds, and the extensions of code.
 BATCH_TEST_MARKS = ("_test.", ".test.", ".spec.", "/test/", "/tests/", "/test_")
@@ -72,7 +73,7 @@ def review_batches(files: DataFrame, most: int = 5) -> DataFrame:
     """(folder, batch, path) of files (ordinal, path): by folder, each source with its test, closed once ``most`` files are in; tests of no source under folder null.
 
     A source takes one or two places, so a batch closes at the first source with which it
-    reaches ``most``: a fold over one folder's sizes, inside the JVM.
+    reaches ``most``: a window of as many rows tells how many one that opens there holds.
     """
     pairs = test_pairs(files)
     own = files.select("ordinal", "path", is_batch_test(F.col("path")).alias("is_test"))
@@ -80,21 +81,16 @@ def review_batches(files: DataFrame, most: int = 5) -> DataFrame:
     sources = sources.withColumn("size", F.when(F.col("test").isNull(), 1).otherwise(2))
     loose = own.filter("is_test").join(pairs.select(F.col("test").alias("path")), "path", "left_anti").select("ordinal", "path", F.lit(None).cast("string").alias("test"), F.lit(None).cast("string").alias("folder"), F.lit(1).alias("size"))
     every = sources.select("ordinal", "path", "test", "folder", "size").unionByName(loose)
-    row = F.struct("ordinal", "path", "test", "size")
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    w = W.partitionBy("folder").orderBy("ordinal", "path", "test")
 
     def step(acc: Column, x: Column) -> Column:
-        full = acc["used"] >= most
-        return F.struct(
-            (F.when(full, 0).otherwise(acc["used"]) + x["size"]).alias("used"),
-            (acc["batch"] + full.cast("int")).alias("batch"),
-            F.concat(acc["out"], F.array(acc["batch"] + full.cast("int"))).alias("out"),
-        )
-
-    lists = every.groupBy("folder").agg(F.sort_array(F.collect_list(row)).alias("rows"))  # one folder's changed files
-    lists = lists.withColumn("b", F.aggregate("rows", start, step)["out"])
-    flat = lists.select("folder", F.explode(F.arrays_zip("rows", "b")).alias("r")).select("folder", F.col("r.b").cast("bigint").alias("batch"), F.array_compact(F.array("r.rows.path", "r.rows.test")).alias("paths"))
-    return flat.select("folder", "batch", F.explode("paths").alias("path"))
+        takes = (acc["used"] < most).cast("int")
+        return F.struct((acc["used"] + x * takes).alias("used"), (acc["n"] + takes).alias("n"))
+
+    ahead = F.collect_list("size").over(w.rowsBetween(0, most - 1))
+    rows = every.withColumn("k", F.row_number().over(w) - 1).withColumn("take", F.aggregate(ahead, F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), step)["n"])
+    flat = number_runs(rows.select("folder", "path", "test", "k", "take"), "folder", most)
+    return flat.select("folder", "batch", F.explode(F.array_compact(F.array("path", "test"))).alias("path"))
 
 
 def split_by_tokens(batches: DataFrame, budget: int, base: int = 0) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.storage import cut
+
 
 def position(df: DataFrame, *order: Column) -> DataFrame:
     """Rows with their place in a global order, numbered without one task sorting all.
@@ -15,8 +17,6 @@ def position(df: DataFrame, *order: Column) -> DataFrame:
     """
     first = [c for c in order]
     parts = df.repartitionByRange(*first).withColumn("_p", F.spark_partition_id())
-    from loomgraph.storage import cut
-
     parts = cut(parts, "ranges")
     sizes = parts.groupBy("_p").agg(F.count("*").alias("c"))
     shift = sizes.select("_p", (F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("shift"))  # a row for each partition
@@ -73,24 +73,71 @@ def newest_versions(df: DataFrame, group: str, version: str, keep: int = 3, acti
     return ranked.filter(cond | F.col(active) if active else cond).drop("_n")
 
 
+BLOCK = 512
+
+
+def number_runs(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """Rows (group, k, take, ...) with batch, from 0: ``k`` counts a group's rows from 0, ``take`` (1 to ``most``) is how many rows a batch that opens at one holds.
+
+    Batches hang together as a chain through their group. Blocks of rows are gone through
+    apart, from each of the ``most`` rows at which a block's first batch may open; what
+    comes out, some numbers a block, is chained by group, and each block numbers its rows.
+    """
+    rest = [c for c in rows.columns if c not in (group, "k", "take")]
+    block = F.floor(F.col("k") / max(BLOCK, most)).alias("block")
+    lists = cut(rows.groupBy(group, block).agg(F.sort_array(F.collect_list(F.struct("k", "take", *rest))).alias("rows")), "blocks")
+
+    def back(later: Column, x: Column) -> Column:
+        """Before the outcomes (offset in the next block, batches) of later rows that of a batch that opens here."""
+        met = F.get(later, x["take"] - 1)
+        exit_ = F.coalesce(met["exit"], x["take"] - 1 - F.size(later)).cast("int").alias("exit")
+        return F.slice(F.concat(F.array(F.struct(exit_, (F.coalesce(met["n"], F.lit(0)) + 1).cast("int").alias("n"))), later), 1, most)
+
+    ways = lists.select(group, "block", F.aggregate(F.reverse("rows"), F.array().cast("array<struct<exit:int,n:int>>"), back).alias("ways"))
+    chain = "struct<at:int,n:bigint,out:array<struct<block:bigint,entry:int,first:bigint>>>"
+
+    def follow(s: Column, x: Column) -> Column:
+        way = F.get(x["ways"], s["at"])
+        out = F.concat(s["out"], F.array(F.struct(x["block"].alias("block"), s["at"].alias("entry"), s["n"].alias("first"))))
+        return F.struct(F.coalesce(way["exit"], F.lit(0)).alias("at"), (s["n"] + F.coalesce(way["n"], F.lit(0))).alias("n"), out.alias("out")).cast(chain)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().alias("out")).cast(chain)
+    placed = ways.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("block", "ways"))).alias("w")).select(F.col(group).alias("_g"), F.explode(F.aggregate("w", start, follow)["out"]).alias("p"))
+    placed = placed.select("_g", F.col("p.block").alias("_b"), "p.entry", "p.first")
+
+    state = "struct<at:int,n:bigint,out:array<bigint>>"
+
+    def number(s: Column, x: Column) -> Column:
+        opens = s["at"] == 0
+        n = s["n"] + opens.cast("int")
+        return F.struct((F.when(opens, x["take"]).otherwise(s["at"]) - 1).alias("at"), n.alias("n"), F.concat(s["out"], F.array(n)).alias("out")).cast(state)
+
+    met = lists.join(placed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b")))
+    open_ = F.struct(F.col("entry").alias("at"), (F.col("first") - 1).alias("n"), F.array().alias("out")).cast(state)
+    flat = met.select(group, "rows", F.aggregate("rows", open_, number)["out"].alias("b")).select(group, F.explode(F.arrays_zip("rows", "b")).alias("x"))
+    return flat.select(group, *[F.col(f"x.rows.{c}").alias(c) for c in rest], F.col("x.b").alias("batch"))
+
+
 def pack_batches(items: DataFrame, group: str, cost: str, budget: int, most: int, *order: str) -> DataFrame:
     """(group, item, batch): items in order fill a batch until cost or number would overflow; an item over budget is alone.
 
-    A fold over each group's ordered array: greedy state has no window form. A group is
-    a directory's files, which bounds it.
+    A batch holds at most ``most`` items, so a window of as many tells how many one that
+    opens at an item would hold; ``number_runs`` finds which do.
     """
-    state = "struct<b: int, used: bigint, n: int, out: array<struct<item: bigint, batch: int>>>"
-    ordered = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(cost).cast("bigint").alias("c"), F.col("item").cast("bigint").alias("i")))).alias("a"))
-    start = F.from_json(F.lit('{"b":1,"used":0,"n":0,"out":[]}'), state)
+    own = items.select(group, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(cost).cast("bigint").alias("c"), F.col("item").cast("bigint").alias("item"))
+    w = W.partitionBy(group).orderBy(*[f"_o{i}" for i in range(len(order))], "c", "item")
+    state = "struct<used:bigint,n:int,open:boolean>"
 
     def step(s: Column, x: Column) -> Column:
-        full = (s["n"] > 0) & ((s["used"] + x["c"] > budget) | (s["n"] >= most))
-        b = F.when(full, s["b"] + 1).otherwise(s["b"])
-        used, n = F.when(full, x["c"]).otherwise(s["used"] + x["c"]), F.when(full, F.lit(1)).otherwise(s["n"] + 1)
-        return F.struct(b.alias("b"), used.alias("used"), n.alias("n"), F.concat(s["out"], F.array(F.struct(x["i"].alias("item"), b.alias("batch")))).alias("out"))
-
-    folded = ordered.select(group, F.aggregate("a", start.cast(state), lambda s, x: step(s, x).cast(state), lambda s: s["out"]).alias("o"))
-    return folded.select(group, F.explode("o").alias("x")).select(group, "x.item", "x.batch")
+        full = (s["n"] > 0) & (s["used"] + x["c"] > budget)
+        takes = s["open"] & ~F.coalesce(full, F.lit(False))
+        return F.struct((s["used"] + x["c"]).alias("used"), (s["n"] + takes.cast("int")).alias("n"), takes.alias("open")).cast(state)
+
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")).cast(state)
+    ahead = F.collect_list(F.struct("c")).over(w.rowsBetween(0, most - 1))
+    rows = own.select(group, "item", (F.row_number().over(w) - 1).alias("k"), ahead.alias("ahead"))
+    rows = rows.select(group, "item", "k", F.aggregate("ahead", start, step)["n"].alias("take"))
+    return number_runs(rows, group, most).select(group, "item", (F.col("batch") + 1).cast("int").alias("batch"))
 
 
 def diff_cap(lines: DataFrame, group: str, budget: int, *order: str) -> DataFrame:

@@ -336,3 +336,41 @@ def test_imports_are_resolved_once_each(spark):
     found = resolve_imports(imports, files)
     assert found.count() == 81 and pairs(found) == {(f"a/m{i}.py", r, t) for i in range(20) for r, t in (("os", "lib/os.py"), ("none", None), (".m1", "a/m1.py"))} | {("a/x.py", None, None)}
     assert "Aggregate [target" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _packed(items, budget, most):
+    out, b, used, n = [], 1, 0, 0
+    for i, c in items:
+        if n and (used + c > budget or n >= most):
+            b, used, n = b + 1, 0, 0
+        used, n = used + c, n + 1
+        out.append((i, b))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 512])
+def test_packing_over_blocks(spark, monkeypatch, block):
+    import random
+
+    from loomgraph.operators import windows as N
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    r = random.Random(3)
+    groups = {g: [(i, r.choice((0, 1, 10, 40, 101, 300))) for i in range(n)] for g, n in (("a", 200), ("b", 1), (None, 63), ("c", 14))}
+    items = spark.createDataFrame([(g, i, c) for g, rows in groups.items() for i, c in rows], "g string, item bigint, cost bigint")
+    want = {(g, *x) for g, rows in groups.items() for x in _packed(rows, 100, 5)}
+    assert pairs(N.pack_batches(items, "g", "cost", 100, 5, "item").select("g", "item", "batch")) == want
+
+
+def test_no_group_is_packed_as_one_list(spark, monkeypatch):
+    from loomgraph.operators import batching as B
+    from loomgraph.operators import windows as N
+
+    monkeypatch.setattr(N, "BLOCK", 8)
+    lists, whole = [], N.cut
+    monkeypatch.setattr(N, "cut", lambda df, name: lists.append(whole(df, name)) or lists[-1])
+    items = spark.range(300).selectExpr("'a' AS g", "id AS item", "id % 7 AS cost")
+    assert N.pack_batches(items, "g", "cost", 100, 5, "item").count() == 300
+    files = spark.range(300).selectExpr("id AS ordinal", "concat('src/m', id, '.py') AS path")
+    assert B.review_batches(files).groupBy("batch").count().filter("count <> 5").isEmpty()
+    assert len(lists) == 2 and all(t.agg(F.max(F.size("rows"))).first()[0] == 8 for t in lists)
