@@ -6,6 +6,7 @@ neither lineage nor a lost executor makes a later round repeat an earlier one.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame
@@ -26,19 +27,52 @@ def reach(edges: DataFrame, roots: DataFrame | None = None, depth: int | None =
     Reversed edges lead from a file to those that depend on it. Rounds go on until one has
     no new pairs. Without ``roots`` every vertex is one.
     """
-    step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("to")).distinct()
-    step = cut(step.filter("at <> to"), "step")
     front = (vertices(edges) if roots is None else roots.select("id")).select(F.col("id").alias("root"), F.col("id").alias("node"))
-    seen = None
-    for d in itertools.count(1) if depth is None else range(1, depth + 1):
-        new = front.join(step, front["node"] == step["at"]).select("root", F.col("to").alias("node")).distinct().filter("root <> node")
+    return _walk(_step(edges, reverse), front, depth).select("root", "node", "depth")
+
+
+def reach_of_groups(edges: DataFrame, starts: DataFrame, depth: int | None = None, reverse: bool = True) -> DataFrame:
+    """(root, node, depth) as ``reach``, for groups (root) of starts (root, node): the least depth from any start of a group, its starts left out."""
+    return _walk(_step(edges, reverse), cut(starts.select("root", "node").distinct(), "front"), depth, groups=True).select("root", "node", "depth")
+
+
+def _step(edges: DataFrame, reverse: bool) -> DataFrame:
+    step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("to")).distinct()
+    return cut(step.filter("at <> to"), "step")
+
+
+def _walk(step: DataFrame, front: DataFrame, depth: int | None = None, groups: bool = False, paths: bool = False) -> DataFrame:
+    """(root, node, depth): least depths of all that the pairs in ``front`` lead to; with ``paths``, sigma too, how many shortest paths lead there.
+
+    What earlier rounds have is taken out at rounds 1, 2, 4, 8 and so on, not at each, since
+    every time all of it is shuffled. In between, a round walks on from pairs of its own
+    depth, also those that a shorter path has met; what they lead to has a shorter path too,
+    and goes at the next of these rounds with them.
+    """
+    seen, pending, out = front if groups else None, [], None
+    more = ["sigma"] if paths else []
+    front = front.withColumn("sigma", F.lit(1.0)) if paths else front
+    for d in itertools.count(1):
+        met = front.join(step, front["node"] == step["at"]).select("root", F.col("to").alias("node"), *more)
+        met = met.groupBy("root", "node").agg(F.sum("sigma").alias("sigma")) if paths else met.distinct()
+        met = met if groups else met.filter("root <> node")
+        front = cut(met.select("root", "node", *more, F.lit(d).alias("depth")), "front")
+        pending.append(front)
+        last = d == depth or front.isEmpty()
+        if not last and d & (d - 1):
+            continue
+        new = functools.reduce(DataFrame.unionByName, pending)
+        if len(pending) > 1:
+            new = new.groupBy("root", "node").agg(F.min(F.struct("depth", *more)).alias("m")).select("root", "node", "m.*")
         if seen is not None:
-            new = new.join(seen.select(F.col("root").alias("r"), F.col("node").alias("n")), (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")), "left_anti")
-        front = cut(new.select("root", "node", F.lit(d).alias("depth")), "front")
-        seen = front if seen is None else seen.unionByName(front)
-        if front.isEmpty():
-            break
-    return seen
+            new = new.join(seen, ["root", "node"], "left_anti")
+        fresh = cut(new.select("root", "node", *more, "depth"), "seen")
+        drop(*pending)
+        pending, front = [], fresh.filter(F.col("depth") == d)
+        out = fresh if out is None else out.unionByName(fresh)
+        seen = fresh.select("root", "node") if seen is None else seen.unionByName(fresh.select("root", "node"))
+        if last or front.isEmpty():
+            return out
 
 
 def blast(edges: DataFrame, files: DataFrame, depth: int | None = None, total: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
@@ -207,25 +241,21 @@ def betweenness(edges: DataFrame) -> DataFrame:
     Holds a row for each reachable pair, so it is for graphs of small reach; rounds go on until no path is new.
     """
     step = cut(edges.filter("src <> dst").select("src", "dst").distinct(), "step")
-    front = cut(vertices(edges).select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"), F.lit(0).alias("depth")), "front")
-    fronts, seen = [front], front.select("root", "node")
-    for d in itertools.count(1):
-        met = front.join(step, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("to")).agg(F.sum("sigma").alias("sigma"))
-        met = met.select("root", F.col("to").alias("node"), "sigma", F.lit(d).alias("depth"))
-        front = cut(met.join(seen, ["root", "node"], "left_anti").select("root", "node", "sigma", "depth"), "front")
-        if front.isEmpty():
-            break
-        fronts.append(front)
-        seen = seen.unionByName(front.select("root", "node"))
-    delta, total = None, None
-    for d in range(len(fronts) - 1, 0, -1):
-        below = fronts[d]
-        below = below.withColumn("delta", F.lit(0.0)) if delta is None else below.join(delta, ["root", "node"], "left").na.fill(0.0, ["delta"])
-        own = below.filter("root <> node").select(F.col("node").alias("id"), "delta")
-        total = own if total is None else total.unionByName(own)
-        up = below.select("root", F.col("node").alias("dst"), F.col("sigma").alias("s2"), "delta").join(step, "dst")
-        up = up.join(fronts[d - 1].select("root", F.col("node").alias("src"), "sigma"), ["root", "src"])
-        delta = cut(up.groupBy("root", F.col("src").alias("node")).agg(F.sum(F.col("sigma") / F.col("s2") * (1 + F.col("delta"))).alias("delta")), "delta")
+    ids = vertices(edges).select(F.col("id").alias("root"), F.col("id").alias("node"))
+    pairs = _walk(step.select(F.col("src").alias("at"), F.col("dst").alias("to")), ids, paths=True)
+    deepest = pairs.agg(F.max("depth")).first()[0] or 0
+    below, total = None, None
+    for d in range(deepest, 0, -1):
+        own = pairs.filter(F.col("depth") == d).select("root", "node", "sigma")
+        if below is None:
+            own = own.withColumn("delta", F.lit(0.0))
+        else:
+            up = below.select("root", F.col("node").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("w")).join(step, "dst")
+            up = up.groupBy("root", F.col("src").alias("node")).agg(F.sum("w").alias("w"))
+            own = own.join(up, ["root", "node"], "left").select("root", "node", "sigma", F.coalesce(F.col("sigma") * F.col("w"), F.lit(0.0)).alias("delta"))
+        below = cut(own, "delta")
+        each = below.select(F.col("node").alias("id"), "delta")
+        total = each if total is None else total.unionByName(each)
     all_ids = vertices(edges)
     if total is None:
         return all_ids.select("id", F.lit(0.0).alias("betweenness"))

@@ -374,3 +374,54 @@ def test_no_group_is_packed_as_one_list(spark, monkeypatch):
     files = spark.range(300).selectExpr("id AS ordinal", "concat('src/m', id, '.py') AS path")
     assert B.review_batches(files).groupBy("batch").count().filter("count <> 5").isEmpty()
     assert len(lists) == 2 and all(t.agg(F.max(F.size("rows"))).first()[0] == 8 for t in lists)
+
+
+def _distances(edges):
+    out = {}
+    for root in {x for e in edges for x in e}:
+        front, d = {root}, 0
+        while front:
+            d += 1
+            front = {b for a, b in edges if a in front} - {n for r, n in out if r == root} - {root}
+            out |= {(root, n): d for n in front}
+    return {(r, n, d) for (r, n), d in out.items()}
+
+
+def test_walks_and_groups_on_random_graphs(spark, edges):
+    import random
+
+    from loomgraph.operators import graph as G
+
+    r = random.Random(5)
+    some = sorted({(f"v{r.randrange(9):02}", f"v{r.randrange(9):02}") for _ in range(14)} | {("c00", "c01"), ("c01", "c02"), ("c02", "c03"), ("c03", "c00"), ("c03", "v01")})
+    want = _distances(some)
+    assert pairs(G.reach(edges(some), reverse=False)) == want
+    assert pairs(G.reach(edges(some), depth=3, reverse=False)) == {x for x in want if x[2] <= 3}
+    starts = {("g0", "c03"), ("g0", "v07"), ("g1", "v01"), ("g1", "c00")}
+    least = {}
+    for g, s in starts:
+        for root, n, d in want:
+            if root == s and (g, n) not in starts:
+                least[g, n] = min(d, least.get((g, n), d))
+    found = G.reach_of_groups(edges(some), spark.createDataFrame(sorted(starts), "root string, node string"), reverse=False)
+    assert pairs(found) == {(g, n, d) for (g, n), d in least.items()}
+    dist = {(a, b): d for a, b, d in want}
+    sigma = {}
+    for (a, b), d in sorted(dist.items(), key=lambda x: x[1]):
+        sigma[a, b] = 1 if d == 1 else sum(sigma[a, p] for p, q in some if q == b and p != b and dist.get((a, p)) == d - 1)
+    b = {}
+    for (s, v), d1 in dist.items():
+        for (w, t), d2 in dist.items():
+            if w == v and t != s and dist.get((s, t)) == d1 + d2:
+                b[v] = b.get(v, 0) + sigma[s, v] * sigma[v, t] / sigma[s, t]
+    got = {x.id: round(x.betweenness, 6) for x in G.betweenness(edges(some)).collect()}
+    assert got == {v: round(b.get(v, 0), 6) for v in {x for e in some for x in e}}
+
+
+def test_seen_pairs_are_not_met_every_round(edges, monkeypatch):
+    from loomgraph.operators import graph as G
+
+    made, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: made.append(name) or cut(df, name))
+    assert G.reach(edges([(f"{i:02}", f"{i + 1:02}") for i in range(13)])).count() == 91
+    assert made.count("seen") <= 5 < made.count("front")
