@@ -47,3 +47,31 @@ def test_diagram_caps(spark):
     links = {tuple(x) for x in links.collect()}
     assert {x for x in links if x[1] == "call"} == {(1, "call", "0", "1")} | ({(1, "call", "11", "100")} if "100" in {n.id for n in inside} else set())
     assert (1, "import", "0", "14") in links and (1, "import", "0", "15") not in links and (1, "import", "2", "3") in links
+
+
+def shuffled_records(spark) -> int:
+    """Rows that all stages so far have written for shuffles."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_diagram_of_a_hub(spark):
+    """Questions on a file with many neighbours don't each shuffle all of them; equal paths, repeated edges and self-loops count once."""
+    files = spark.createDataFrame([(k, f"p{k // 2:03d}") for k in range(600)], "file_id bigint, path string")
+    pairs = [(0, k) for k in range(1, 600)] + [(k, 0) for k in range(300, 600)] + [(0, 0), (0, 7), (0, 999), (5, 6)]
+    edges = spark.createDataFrame(pairs + pairs, "src bigint, dst bigint")
+    symbols = spark.createDataFrame([(k, k, "class", 0) for k in range(600)], "symbol_id bigint, file_id bigint, type string, start bigint")
+    own = {q: {0, 3 * q % 600, 2} for q in range(300)}
+    seeds = spark.createDataFrame([(q, f) for q, fs in own.items() for f in fs] + [(1, 999)], "q_id bigint, file_id bigint")
+    calls = spark.createDataFrame([(0, 2), (0, 2), (2, 599), (1, 3)], "src bigint, dst bigint")
+    before = shuffled_records(spark)
+    nodes, links = research.diagram(seeds, files, edges, symbols, calls)
+    nodes, links = nodes.collect(), [tuple(x) for x in links.collect()]
+    assert shuffled_records(spark) - before < 60_000  # the hub's 599 neighbours for each of 300 questions would be 180,000
+    chosen = {q: fs | set(sorted(set(range(600)) - fs, key=lambda f: (f // 2, f))[: 16 - len(fs)]) for q, fs in own.items()}
+    for kind in ("seed", "file", "symbol"):
+        assert sorted((n.q_id, int(n.id)) for n in nodes if n.kind == kind) == sorted((q, f) for q in own for f in {"seed": own[q], "file": chosen[q] - own[q], "symbol": chosen[q]}[kind])
+    want = [(q, "import", str(a), str(b)) for q in own for a, b in set(pairs) if {a, b} <= chosen[q]] + [(q, "call", str(a), str(b)) for q in own for a, b in {(0, 2), (2, 599), (1, 3)} if {a, b} <= chosen[q]]
+    assert sorted(links) == sorted(want)
