@@ -12,16 +12,9 @@ from loomgraph.storage import cut
 def position(df: DataFrame, *order: Column) -> DataFrame:
     """Rows with their place in a global order, numbered without one task sorting all.
 
-    Rows are range-partitioned by the first order column; each partition is numbered by
-    itself and shifted by the sizes of those before it.
+    Rows are range-partitioned by the order and sorted in their partitions.
     """
-    first = [c for c in order]
-    parts = df.repartitionByRange(*first).withColumn("_p", F.spark_partition_id())
-    parts = cut(parts, "ranges")
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("c"))
-    shift = sizes.select("_p", (F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("shift"))  # a row for each partition
-    own = parts.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    return own.join(shift, "_p").withColumn("position", (F.col("_n") + F.col("shift")).cast("bigint")).drop("_p", "_n", "shift")
+    return numbered(df.repartitionByRange(*order).sortWithinPartitions(*order))
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -425,3 +425,16 @@ def test_seen_pairs_are_not_met_every_round(edges, monkeypatch):
     monkeypatch.setattr(G, "cut", lambda df, name: made.append(name) or cut(df, name))
     assert G.reach(edges([(f"{i:02}", f"{i + 1:02}") for i in range(13)])).count() == 91
     assert made.count("seen") <= 5 < made.count("front")
+
+
+def test_position_does_not_shuffle_again(spark):
+    """Places come from the range partitions as they stand, several of them, ties and all."""
+    from loomgraph.operators.windows import position
+
+    df = spark.range(5000).selectExpr("id * 7919 % 1000 AS a", "id AS b").repartition(5)
+    out = position(df, F.desc("a"), F.asc("b"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(_p") <= 1 and "SortMergeJoin" not in plan  # that one counts the partitions' rows
+    got = [(r.a, r.b) for r in sorted(out.collect(), key=lambda r: r.position)]
+    assert got == sorted(((r.a, r.b) for r in df.collect()), key=lambda r: (-r[0], r[1]))
+    assert position(df.filter("a < 0"), F.asc("a")).count() == 0
