@@ -17,6 +17,11 @@ from loomgraph.functions.expressions import risk_level
 from loomgraph.storage import cut, drop
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffles: a table that grows with the graph would, while it is under Spark's limit, be broadcast in every round, through the driver."""
+    return df.hint("merge")
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
 
@@ -126,14 +131,14 @@ def levels(edges: DataFrame) -> DataFrame:
     rest = cut(vertices(edges), "rest")
     out = None
     for level in itertools.count():
-        free = rest.join(left.select(F.col("dst").alias("id")), "id", "left_anti").join(loops, "id", "left_anti")
+        free = rest.join(_large(left.select(F.col("dst").alias("id"))), "id", "left_anti").join(_large(loops), "id", "left_anti")
         free = cut(free.select("id", F.lit(level).alias("level")), "level")
         if free.isEmpty():
             break
         out = free if out is None else out.unionByName(free)
         done = free.select(F.col("id").alias("src"))
-        new_left = cut(left.join(done, "src", "left_anti").select("src", "dst"), "left")
-        new_rest = cut(rest.join(free.select("id"), "id", "left_anti"), "rest")
+        new_left = cut(left.join(_large(done), "src", "left_anti").select("src", "dst"), "left")
+        new_rest = cut(rest.join(_large(free.select("id")), "id", "left_anti"), "rest")
         drop(left, rest)
         left, rest = new_left, new_rest
     rest = rest.select("id", F.lit(-1).alias("level"))
@@ -147,11 +152,11 @@ def condensed_levels(edges: DataFrame) -> DataFrame:
     the members of a component share a level. Order by level, component and id reads every
     component after all that lead to it.
     """
-    own = cut(vertices(edges).join(scc(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "own")
-    ends = [own.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("src", "dst")]
+    own = cut(vertices(edges).join(_large(scc(edges)), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "own")
+    ends = [_large(own.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))) for x in ("src", "dst")]
     between = cut(edges.join(ends[0], "src").join(ends[1], "dst").filter("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct(), "between")
     met = levels(between).select(F.col("id").alias("component"), "level")
-    return own.join(met, "component", "left").select("id", "component", F.coalesce("level", F.lit(0)).alias("level"))
+    return own.join(_large(met), "component", "left").select("id", "component", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def is_dag(edges: DataFrame) -> bool:
@@ -164,10 +169,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(both, "both")
     label = cut(vertices(edges).select("id", F.col("id").alias("c")), "label")
     while True:
-        near = both.join(label.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
-        low = label.join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
+        near = both.join(_large(label.select(F.col("id").alias("dst"), "c")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
+        low = label.join(_large(near), "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
         low = cut(low, "low")
-        new = cut(low.join(low.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", F.least("c", "cc").alias("c")), "label")
+        new = cut(low.join(_large(low.select(F.col("id").alias("c"), F.col("c").alias("cc"))), "c").select("id", F.least("c", "cc").alias("c")), "label")
         same = new.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0] == label.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
         drop(label, low)
         label = new
@@ -179,12 +184,12 @@ def _colours(edges: DataFrame) -> DataFrame:
     """(id, c) of every vertex: the smallest one that leads to it, or itself; labels jump to their label's label each round."""
     label = cut(vertices(edges).select("id", F.col("id").alias("c")), "label")
     while True:
-        near = edges.join(label.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-        low = cut(label.join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")), "low")
+        near = edges.join(_large(label.select(F.col("id").alias("src"), "c")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+        low = cut(label.join(_large(near), "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")), "low")
         if low.filter("moved").isEmpty():
             drop(low)
             return label
-        new = cut(low.join(low.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", F.least("c", "cc").alias("c")), "label")
+        new = cut(low.join(_large(low.select(F.col("id").alias("c"), F.col("c").alias("cc"))), "c").select("id", F.least("c", "cc").alias("c")), "label")
         drop(label, low)
         label = new
 
@@ -200,24 +205,24 @@ def scc(edges: DataFrame) -> DataFrame:
     out = None
     while not core.isEmpty():
         n = core.count()
-        kept = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
+        kept = cut(core.join(_large(core.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(_large(core.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi").select("src", "dst"), "core")
         drop(core)
         core = kept
         if core.count() < n:
             continue
         colour = _colours(core)
-        ends = [colour.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst")]
+        ends = [_large(colour.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}"))) for x in ("src", "dst")]
         inside = cut(core.join(ends[0], "src").join(ends[1], "dst").filter("c_src = c_dst").select("src", "dst", F.col("c_src").alias("c")), "inside")
         back = _colours(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found = cut(back.withColumnRenamed("c", "component").join(colour, "id").filter("component = c").select("id", "component"), "found")
+        found = cut(back.withColumnRenamed("c", "component").join(_large(colour), "id").filter("component = c").select("id", "component"), "found")
         out = found if out is None else out.unionByName(found)
-        rest = inside.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
+        rest = inside.join(_large(found.select(F.col("id").alias("src"))), "src", "left_anti").join(_large(found.select(F.col("id").alias("dst"))), "dst", "left_anti")
         rest = cut(rest.select("src", "dst"), "core")
         drop(core, colour, inside, back)
         core = rest
     if out is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    return out.join(out.filter("id <> component").select("component").distinct(), "component", "left_semi").select("id", "component")
+    return out.join(_large(out.filter("id <> component").select("component").distinct()), "component", "left_semi").select("id", "component")
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -293,7 +298,7 @@ def feedback_arcs(edges: DataFrame) -> DataFrame:
     A heuristic: the smallest such set is NP-hard to find. Self-loops belong to it.
     """
     inside = scc(edges)
-    both = edges.select("src", "dst").distinct().join(inside.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src").join(inside.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst")
+    both = edges.select("src", "dst").distinct().join(_large(inside.select(F.col("id").alias("src"), F.col("component").alias("c1"))), "src").join(_large(inside.select(F.col("id").alias("dst"), F.col("component").alias("c2"))), "dst")
     back = both.filter("c1 = c2 AND src > dst").select("src", "dst")
     return back.unionByName(edges.filter("src = dst").select("src", "dst").distinct())
 

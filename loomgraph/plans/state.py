@@ -11,7 +11,7 @@ from loomgraph.operators import splitting as T
 from loomgraph.plans import standins as S
 from loomgraph.plans.catalogue import query
 from loomgraph.session import table
-from loomgraph.storage import shared_dir
+from loomgraph.storage import cut, shared_dir
 from loomgraph.streaming import cache as C
 from loomgraph.streaming import indexing as I
 from loomgraph.tablelog import SESSION, Sessions, TableLog, counted
@@ -84,15 +84,19 @@ def ret_split_texts(spark, d):
 @query("gr_condensed_levels")
 def gr_condensed_levels(spark, d):
     """Levels of the graph of all orders' edges, which has cycles; SQL can't follow, brute force does on fixtures."""
-    return G.condensed_levels(S.edges(spark, d)).select("id", "component", F.col("level").cast("bigint").alias("level"))
+    return _condensed(cut(S.edges(spark, d), "edges"))
+
+
+def _condensed(edges):
+    return G.condensed_levels(edges).select("id", "component", F.col("level").cast("bigint").alias("level"))
 
 
 @query("gr_condensed_proof", f"WITH {S.edges_sql()}, v AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM edges) AS edges, 0::BIGINT AS unplaced, 0::BIGINT AS backward, 0::BIGINT AS misnamed")
 def gr_condensed_proof(spark, d):
     """One row: all vertices placed, no edge between components that doesn't lead to a higher level, and every component named by its smallest vertex."""
-    edges = S.edges(spark, d)
-    lv = gr_condensed_levels(spark, d)
-    ends = [lv.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"), F.col("level").alias(f"l_{x}")) for x in ("src", "dst")]
+    edges = cut(S.edges(spark, d), "edges")
+    lv = cut(_condensed(edges), "levels")
+    ends = [lv.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"), F.col("level").alias(f"l_{x}")).hint("merge") for x in ("src", "dst")]
     met = edges.join(ends[0], "src").join(ends[1], "dst")
     backward = F.count_if((F.col("c_src") != F.col("c_dst")) & (F.col("l_src") >= F.col("l_dst")))
     one = met.agg(F.count("*").alias("edges"), backward.alias("backward"))

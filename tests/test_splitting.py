@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
 from loomgraph.operators import splitting as S
@@ -101,3 +102,23 @@ def test_condensed_levels(spark, seed):
     edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(12 + 4 * seed)} | {(20, 21), (21, 22), (22, 20), (22, 23), (30, 30)}
     df = spark.createDataFrame(sorted(edges), "src bigint, dst bigint")
     assert {tuple(r) for r in G.condensed_levels(df).collect()} == brute_levels(edges)
+
+
+def sent_bytes(spark) -> int:
+    """Bytes of results that all tasks so far have sent to the driver, broadcast tables among them."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).resultSize() for k in range(stages.size()))
+
+
+def test_condensed_levels_stay_off_the_driver(spark):
+    """Rings of three, each leading to one of the first ten, whose labels are under Spark's broadcast limit."""
+    rings = spark.range(50_000).select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    ring = rings.select((F.col("id") * 3 + F.col("k")).alias("src"), (F.col("id") * 3 + (F.col("k") + 1) % 3).alias("dst"))
+    down = spark.range(10, 50_000).select((F.col("id") * 3).alias("src"), (F.col("id") % 10 * 3 + 1).alias("dst"))
+    before = sent_bytes(spark)
+    got = G.condensed_levels(ring.unionByName(down))
+    wrong = got.filter((F.col("component") != F.col("id") - F.col("id") % 3) | (F.col("level") != (F.col("id") < 30).cast("int")))
+    assert got.count() == 150_000 and wrong.isEmpty()
+    assert sent_bytes(spark) - before < 4_000_000
