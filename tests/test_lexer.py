@@ -183,3 +183,28 @@ def test_windows_sort_no_token_twice_by_file(spark):
     assert "pos#" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
     backwards = [line for line in plan.splitlines() if "Sort [" in line and "DESC" in line]
     assert not backwards
+
+
+def test_marks_are_neither_sorted_nor_shuffled(spark):
+    """Every token went through sorts and windows of its file, which took most of the time."""
+    from loomgraph.sources import lexer
+
+    files = spark.createDataFrame([("a.ts", "typescript", TS), ("b.java", "java", JAVA)], "path string, language string, content string")
+    for df, shuffles in zip(lexer.symbols_and_calls(files), (1, 2)):  # of files, and of distinct calls
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == shuffles and "Sort [" not in plan and "Window [" not in plan and "Generate " not in plan
+
+
+def test_files_in_one_or_many_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from loomgraph.sources import lexer
+
+    rows = [(f"{k}{lang}", lang, text) for k in range(3) for lang, text in (("go", " "), ("typescript", TS), ("java", ""), ("java", JAVA), ("dart", "// x"), ("go", GO), ("dart", DART), ("go", "}"))]
+    cut = lexer.tokens(spark.createDataFrame(rows, "path string, language string, content string")).collect()
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in cut])
+    whole = [r for b in lexer._marks([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(lexer, "SLICE", 50)
+    sliced = [b.to_pylist() for b in lexer._marks([batch])]
+    assert len(sliced) > 5 and [r for b in sliced for r in b] == whole
+    assert list(lexer._marks([batch.slice(0, 0)])) == []
