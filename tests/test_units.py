@@ -438,3 +438,17 @@ def test_position_does_not_shuffle_again(spark):
     got = [(r.a, r.b) for r in sorted(out.collect(), key=lambda r: r.position)]
     assert got == sorted(((r.a, r.b) for r in df.collect()), key=lambda r: (-r[0], r[1]))
     assert position(df.filter("a < 0"), F.asc("a")).count() == 0
+
+
+def test_symbol_lookup_repeats_short_lists_of_symbols(spark):
+    """Pairs of a question came with up to 10,000 symbols at a time, and blocks in turn, so that written pairs grew with their number."""
+    from itertools import groupby
+
+    from loomgraph.operators.retrieval import symbol_lookup
+
+    questions = spark.createDataFrame([(q, "the parser") for q in range(20)], "q_id bigint, question string")
+    symbols = spark.range(20_000).selectExpr("id AS symbol_id", "'parser' AS name")
+    rows = [(r[0], r[1], r[2]) for r in symbol_lookup(questions, symbols).selectExpr("spark_partition_id()", "q_id", "symbol_id").collect()]
+    lists = [tuple(x[2] for x in g) for _, g in groupby(rows, key=lambda r: r[:2])]
+    assert len(set(rows)) == 400_000 and len({(q, s) for _, q, s in rows}) == 400_000
+    assert max(map(len, lists)) < 2_048 and len(set(lists)) == len(lists) / 20 and sum(a == b for a, b in zip(lists, lists[1:])) >= len(lists) * 0.9
