@@ -9,6 +9,8 @@ from __future__ import annotations
 import functools
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -240,31 +242,77 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return rank.select("id", "rank")
 
 
+#: roots, consecutive by id, whose walks one task follows; edges of a task's part of the graph at most; cells of its tables of roots by vertices
+BLOCK_ROOTS, MOST_EDGES, CELLS = 2_000, 500_000, 2_000_000
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
-    """(id, betweenness), directed and not normalized: Brandes' sums over all sources at once, by depth.
+    """(id, betweenness), directed and not normalized: Brandes' sums over all sources.
 
-    Holds a row for each reachable pair, so it is for graphs of small reach; rounds go on until no path is new.
+    Blocks of roots are walked as groups, so rows are of blocks and vertices, not of reachable
+    pairs; a task gets the edges that its block reaches, and sums up its roots' pairs. Blocks
+    that reach too many edges for a task go on pair by pair, as rows. Both go on until no path is new.
     """
-    step = cut(edges.filter("src <> dst").select("src", "dst").distinct(), "step")
-    ids = vertices(edges).select(F.col("id").alias("root"), F.col("id").alias("node"))
-    pairs = _walk(step.select(F.col("src").alias("at"), F.col("dst").alias("to")), ids, paths=True)
+    from loomgraph.operators.windows import numbered
+
+    step = cut(edges.filter("src <> dst").select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct(), "step")
+    ids = numbered(vertices(edges).repartitionByRange("id").sortWithinPartitions("id"))
+    ids = cut(ids.select(F.floor((F.col("position") - 1) / BLOCK_ROOTS).alias("root"), F.col("id").alias("node")), "roots")
+    met = _walk(step, ids, groups=True).select("root", "node", F.lit(False).alias("start")).unionByName(ids.withColumn("start", F.lit(True)))
+    parts = cut(met.join(step, F.col("node") == F.col("at")).select(F.col("root").alias("block"), "at", "to", "start"), "parts")
+    wide = cut(parts.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_EDGES).select("block"), "wide")
+    total = parts.join(wide, "block", "left_anti").groupBy("block").applyInPandas(_block_sums, f"id {edges.schema['src'].dataType.simpleString()}, delta double")
+    if not wide.isEmpty():
+        total = total.unionByName(_pair_sums(step, ids.join(wide.withColumnRenamed("block", "root"), "root", "left_semi").select("node")))
+    return vertices(edges).join(total.groupBy("id").agg(F.sum("delta").alias("b")), "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+
+
+def _block_sums(part: pd.DataFrame) -> pd.DataFrame:
+    """(id, delta): Brandes' sums of a block's roots over the edges that they reach, a few roots by all vertices at a time."""
+    ids, ends = np.unique(part[["at", "to"]].to_numpy().ravel(), return_inverse=True)
+    ends, n = ends.reshape(-1, 2), len(ids)
+    order = np.argsort(ends[:, 0], kind="stable")
+    first, to = np.searchsorted(ends[order, 0], np.arange(n + 1)), ends[order, 1]
+    roots, sums, most = np.unique(ends[part["start"].to_numpy(), 0]), np.zeros(n), max(1, CELLS // n)
+    for k in range(0, len(roots), most):
+        own = roots[k : k + most]
+        own = own + np.arange(len(own)) * n  # a cell for each root and vertex
+        sigma, delta, seen = np.zeros(len(own) * n), np.zeros(len(own) * n), np.zeros(len(own) * n, bool)
+        sigma[own], seen[own], front, rounds = 1, True, own, []
+        while len(front):
+            node = front % n
+            steps = first[node + 1] - first[node]
+            place = np.arange(steps.sum()) + np.repeat(first[node] - np.cumsum(steps) + steps, steps)
+            source, target = np.repeat(front, steps), np.repeat(front - node, steps) + to[place]
+            new = ~seen[target]
+            source, target = source[new], target[new]
+            np.add.at(sigma, target, sigma[source])
+            rounds.append((source, target))
+            front = np.unique(target)
+            seen[front] = True
+        for source, target in reversed(rounds):
+            np.add.at(delta, source, sigma[source] / sigma[target] * (1 + delta[target]))
+        delta[own] = 0
+        sums += delta.reshape(len(own), n).sum(axis=0)
+    return pd.DataFrame({"id": ids[sums > 0], "delta": sums[sums > 0]})
+
+
+def _pair_sums(step: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, delta) of some roots (node), with a row for each reachable pair, by depth."""
+    pairs = _walk(step, roots.select(F.col("node").alias("root"), "node"), paths=True)
     deepest = pairs.agg(F.max("depth")).first()[0] or 0
-    below, total = None, None
+    below, total = None, roots.select(F.col("node").alias("id"), F.lit(0.0).alias("delta"))
     for d in range(deepest, 0, -1):
         own = pairs.filter(F.col("depth") == d).select("root", "node", "sigma")
         if below is None:
             own = own.withColumn("delta", F.lit(0.0))
         else:
-            up = below.select("root", F.col("node").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("w")).join(step, "dst")
-            up = up.groupBy("root", F.col("src").alias("node")).agg(F.sum("w").alias("w"))
+            up = below.select("root", F.col("node").alias("to"), ((1 + F.col("delta")) / F.col("sigma")).alias("w")).join(step, "to")
+            up = up.groupBy("root", F.col("at").alias("node")).agg(F.sum("w").alias("w"))
             own = own.join(up, ["root", "node"], "left").select("root", "node", "sigma", F.coalesce(F.col("sigma") * F.col("w"), F.lit(0.0)).alias("delta"))
         below = cut(own, "delta")
-        each = below.select(F.col("node").alias("id"), "delta")
-        total = each if total is None else total.unionByName(each)
-    all_ids = vertices(edges)
-    if total is None:
-        return all_ids.select("id", F.lit(0.0).alias("betweenness"))
-    return all_ids.join(total.groupBy("id").agg(F.sum("delta").alias("b")), "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+        total = total.unionByName(below.select(F.col("node").alias("id"), "delta"))
+    return total
 
 
 def shortest_path(edges: DataFrame, start, goal) -> list:

@@ -452,3 +452,43 @@ def test_symbol_lookup_repeats_short_lists_of_symbols(spark):
     lists = [tuple(x[2] for x in g) for _, g in groupby(rows, key=lambda r: r[:2])]
     assert len(set(rows)) == 400_000 and len({(q, s) for _, q, s in rows}) == 400_000
     assert max(map(len, lists)) < 2_048 and len(set(lists)) == len(lists) / 20 and sum(a == b for a, b in zip(lists, lists[1:])) >= len(lists) * 0.9
+
+
+def test_betweenness_holds_no_row_for_each_pair(spark, monkeypatch):
+    """Every reachable pair was a row, shuffled and written several times."""
+    import random
+
+    from loomgraph.operators import graph as G
+    from loomgraph.storage import cut
+
+    rows = []
+    monkeypatch.setattr(G, "cut", lambda df, name="t": (made := cut(df, name), rows.append(made.count()))[0])
+    tree = spark.range(2, 2_000).selectExpr("id AS src", "id div 2 AS dst")  # 15,964 pairs
+    got = {r[0]: r[1] for r in G.betweenness(tree).collect()}
+    below = {k: sum(k << d <= i < (k + 1) << d for d in range(1, 12) for i in range(k << d, min((k + 1) << d, 2_000))) for k in (1, 2, 7, 999)}
+    assert {k: got[k] for k in below} == {k: below[k] * (k.bit_length() - 1) for k in below} and max(rows) < 5_000
+
+    random.seed(3)
+    pairs = {(random.randrange(30), random.randrange(30)) for _ in range(70)}
+    want = dict.fromkeys({x for p in pairs for x in p}, 0.0)
+    for root in want:
+        depth, sigma, order = {root: 0}, {root: 1}, [root]
+        for v in order:
+            for a, b in pairs:
+                if a == v and b not in depth:
+                    depth[b], sigma[b] = depth[v] + 1, 0
+                    order.append(b)
+                if a == v and depth[b] == depth[v] + 1:
+                    sigma[b] += sigma[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for a, b in pairs:
+                if b == w and depth.get(a) == depth[w] - 1:
+                    delta[a] += sigma[a] / sigma[w] * (1 + delta[w])
+            want[w] += delta[w] if w != root else 0
+    edges = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint")
+    for most in (500_000, 20, 0):  # all blocks whole, some, none
+        monkeypatch.setattr(G, "BLOCK_ROOTS", 7)
+        monkeypatch.setattr(G, "MOST_EDGES", most)
+        got = {r[0]: r[1] for r in G.betweenness(edges).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
